@@ -19,5 +19,24 @@ with lines as (
 select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed,
        sha256(coalesce(body, '')) as kept_sha256
 from documents d left join clean using (doc_id)
+""",
+    "op10_substring_dedup": """
+with words as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), windows as (
+  select doc_id, i, array_to_string(w[i : i + 12], ' ') as body
+  from words, unnest(range(1, len(w) - 11)) as r(i)
+), firsts as (
+  select body, min(doc_id) as first_id from windows group by body
+), gone as (
+  select distinct doc_id, p from windows join firsts using (body), unnest(range(i, i + 13)) as r(p) where first_id < doc_id
+), each_word as (
+  select doc_id, p, w[p] as word from words, unnest(range(1, len(w) + 1)) as r(p)
+), kept as (
+  select e.doc_id, string_agg(word, ' ' order by p) as body, count(*) as n
+  from each_word e anti join gone g on e.doc_id = g.doc_id and e.p = g.p group by e.doc_id
+)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(body, '')) as kept_sha256
+from words left join kept using (doc_id)
 """,
 }

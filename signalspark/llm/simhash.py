@@ -50,34 +50,38 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(scan, f"id {kind}, fp long")
 
 
-def _cut_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+TILE_NAMES = ["pc", "tid", *[f"lo{k}" for k in range(1, 5)], *[f"hi{k}" for k in range(1, 5)], "fps"]
+_TILE_SCHEMA = "pc int, tid long, " + ", ".join(f"{n} int" for n in TILE_NAMES[2:10]) + ", fps binary"
+
+
+def _cut_tiles(size: int):
     """Rows (pc, q1..q4, fp), sorted by these, into tiles of one population count."""
-    from pyspark import TaskContext
-
-    base, serial, held = TaskContext.get().partitionId() << 32, 0, None
-
-    def tile(block: np.ndarray) -> pa.RecordBatch:
-        nonlocal serial
-        low, high = block[:, 1:5].min(axis=0), block[:, 1:5].max(axis=0)
-        columns = [[int(block[0, 0])], [base + serial], *[[int(x)] for x in low], *[[int(x)] for x in high], [block[:, 5].tobytes()]]
-        serial += 1
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.int64(), *[pa.int32()] * 8, pa.binary()])], TILE_NAMES)
-
-    for batch in batches:
-        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-        held = rows if held is None else np.concatenate([held, rows])
-        while len(held):
-            same = int(np.searchsorted(held[:, 0], held[0, 0], side="right"))
-            if same < TILE and same == len(held):
-                break
-            yield tile(held[: min(same, TILE)])
-            held = held[min(same, TILE) :]
-    if held is not None and len(held):
-        yield tile(held)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-TILE_NAMES = ["pc", "tid", *[f"lo{k}" for k in range(1, 5)], *[f"hi{k}" for k in range(1, 5)], "fps"]
-_TILE_SCHEMA = "pc int, tid long, " + ", ".join(f"{n} int" for n in TILE_NAMES[2:10]) + ", fps binary"
+        base, serial, held = TaskContext.get().partitionId() << 32, 0, None
+
+        def tile(block: np.ndarray) -> pa.RecordBatch:
+            nonlocal serial
+            low, high = block[:, 1:5].min(axis=0), block[:, 1:5].max(axis=0)
+            columns = [[int(block[0, 0])], [base + serial], *[[int(x)] for x in low], *[[int(x)] for x in high], [block[:, 5].tobytes()]]
+            serial += 1
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.int64(), *[pa.int32()] * 8, pa.binary()])], TILE_NAMES)
+
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            held = rows if held is None else np.concatenate([held, rows])
+            while len(held):
+                same = int(np.searchsorted(held[:, 0], held[0, 0], side="right"))
+                if same < size and same == len(held):
+                    break
+                yield tile(held[: min(same, size)])
+                held = held[min(same, size) :]
+        if held is not None and len(held):
+            yield tile(held)
+
+    return run
 
 
 def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,10 +143,10 @@ def _links(radius: int, flush: int = 500_000):
     return compare
 
 
-def linked_fingerprints(distinct: DataFrame, *, radius: int = 3) -> DataFrame:
+def linked_fingerprints(distinct: DataFrame, *, radius: int = 3, tile: int = TILE) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column fp) within `radius` bits.
 
-    Each population count is cut into tiles of 2048; a tile meets only tiles whose
+    Each population count is cut into tiles of `tile`; a tile meets only tiles whose
     count differs by the radius at most, and whose ranges of the counts of the four
     16-bit quarters are no farther apart in sum (a Hamming distance is never less).
     The links come as spanning forests of what each task saw: no connection is lost,
@@ -154,7 +158,7 @@ def linked_fingerprints(distinct: DataFrame, *, radius: int = 3) -> DataFrame:
     counted = distinct.select(F.bit_count("fp").alias("pc"), *[q.alias(f"q{k + 1}") for k, q in enumerate(quarter)], "fp")
     order = ["pc", "q1", "q2", "q3", "q4"]
     parts = max(2, shuffle_partitions(spark) // 4)
-    tiles = materialize(counted.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_cut_tiles, _TILE_SCHEMA), "tiles")
+    tiles = materialize(counted.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_cut_tiles(tile), _TILE_SCHEMA), "tiles")
     # At most 65 rows: tiles for each population count.
     per_count = {r["pc"]: r["n"] for r in tiles.groupBy("pc").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not per_count:
