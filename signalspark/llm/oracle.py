@@ -19,6 +19,16 @@ with lines as (
 select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed,
        sha256(coalesce(body, '')) as kept_sha256
 from documents d left join clean using (doc_id)
+""",
+    "op6_exact_topk": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+), scored as (
+  select a.vec_id as query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint as score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from scored qualify rank <= 5
 """,
     "op10_substring_dedup": """
 with words as (

@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sentence_pieces
+from .ann import nearest
+from .bitsliced import exact_topk
+from .license_scan import scan_licenses
 from .line_dedup import line_dedup
 from .packing import pack_documents
 from .secret_scan import KINDS, scan_secrets
@@ -37,6 +41,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document with coverage and span."""
+    return scan_licenses(_documents(spark, sf_dir))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of every document, counted and digested by kind."""
     found, _ = scan_secrets(_documents(spark, sf_dir), columns=["doc_id"])
@@ -52,6 +61,20 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op5_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found of every hundredth vector."""
+    return nearest(_embeddings(spark, sf_dir), F.col("id") % 100 == 0, k=10)
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest quantised inner products of every fiftieth vector."""
+    return exact_topk(_embeddings(spark, sf_dir), F.col("id") % 50 == 0, k=5)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of 4096 tokens."""
     return pack_documents(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
@@ -63,6 +86,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, counted and digested, and a digest of the decoded text."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    encoded = sentence_pieces.encode(_documents(spark, sf_dir).select("doc_id", "text"), model).select("doc_id", "ids")
+    out = sentence_pieces.ids_digest(sentence_pieces.decode(encoded, model))
+    return out.select("doc_id", "n_ids", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words kept of every document once repeated passages are removed."""
     out = remove_repeats(_documents(spark, sf_dir))
@@ -72,8 +103,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_secret_scan": op4_secret_scan,
+    "op5_approximate_neighbours": op5_approximate_neighbours,
+    "op6_exact_topk": op6_exact_topk,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_toxicity": op8_toxicity,
+    "op9_sentence_pieces": op9_sentence_pieces,
     "op10_substring_dedup": op10_substring_dedup,
 }
