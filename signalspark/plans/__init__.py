@@ -1,4 +1,4 @@
 """Registered queries over the given tables, by group of operators."""
 
-from . import events, features, stores  # noqa: F401
+from . import events, features, stores, training, vectors  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
