@@ -65,7 +65,7 @@ def f7(spark, d):
 @query(
     "f8_recall_at_k",
     f"""with {_SCORED}, f as (select *, row_number() over (partition by query_id order by score desc, item_id) as frank from ranked where item_id % 7 <> 0),
-    s as (select t.query_id, k, count(*) filter (t.rank <= k and frank <= k) / k as share from ranked t left join f using (query_id, item_id), (values (1), (5), (10), (50), (100)) v(k) group by all)
+    s as (select t.query_id, k, count(*) filter (t.rank <= k and frank <= k) / k as share from ranked t left join f using (query_id, item_id), (values (1), (5), (10), (50), (100)) v(k) group by t.query_id, k)
     select k, round(avg(share), 6) as recall from s group by k""",
 )
 def f8(spark, d):
