@@ -30,7 +30,7 @@ flagged as (
   select *, sum(is_new) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint as session_no from flagged
 )"""
 _FEATURES = f"""{_SESSIONS}, featured as (
-  select *, epoch(ts) - epoch(min(ts) over s) as session_seconds, count(*) over u as total_events, count(*) over s as session_events,
+  select *, (epoch_us(ts) - epoch_us(min(ts) over s)) / 1000000.0::double as session_seconds, count(*) over u as total_events, count(*) over s as session_events,
          len(list_distinct(list(item_id) over s))::bigint as unique_items, len(list_distinct(list(item_category) over s))::bigint as unique_categories
   from sessions window u as (partition by user_id order by ts, event_id rows unbounded preceding), s as (partition by user_id, session_no order by ts, event_id rows unbounded preceding)
 )"""
