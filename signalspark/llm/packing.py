@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ._shared import arrow_batches, materialize
 
 _CACHE: dict = {}
-#: Words whose ids a Python worker keeps; the cache starts anew beyond that.
+#: Words in a generation of a Python worker's cache, of which two are kept.
 CACHE_WORDS = 400_000
 
 
@@ -30,21 +31,51 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        # Words in use, and those of the generation before, which are still looked up.
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: set[str]) -> None:
+        """Put the ids of `new` words into the cache; a mark that ends a word is a token of its own."""
+        words, older = self.words, self.older
+        words.update((w, older[w]) for w in new if w in older)
+        ended = {w: w[:-1] for w in new if w not in words and w[-1] in _MARKS and w[:-1].isalpha()}
+        fresh = {w for w in new if w not in words and w not in ended}.union(s for s in ended.values() if s not in words)
+        plain = [w for w in fresh if w.isalpha()]
+        other = [w for w in fresh if not w.isalpha()] + [m for m in _MARKS if m not in words]
+        words.update(zip(plain, self._cut(plain)))
+        words.update(zip(other, self._ids(other)))
+        words.update((w, words[s] + words[w[-1]]) for w, s in ended.items())
+
+    def _cut(self, plain: list[str]) -> list[bytes]:
+        """Ids of words of letters alone: as one text, cut after each id that ends a word."""
+        if not plain:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        stops = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+        if len(stops) != len(plain):
+            return self._ids(plain)
+        body = ids.tobytes()
+        return [body[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist())]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_words(t) for t in texts]
         whole = iter(self._ids([t for t, w in zip(texts, split) if w is None]))
-        words = self.words
-        new = list({x for w in split if w for x in w if x not in words})
-        if len(words) + len(new) > CACHE_WORDS:
-            words.clear()
-            new = list({x for w in split if w for x in w})
-        words.update(zip(new, self._ids(new)))
-        return [next(whole) if w is None else b"".join(map(words.__getitem__, w)) for w in split]
+        new = set(filterfalse(self.words.__contains__, chain.from_iterable(w for w in split if w)))
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.older, self.words, new = self.words, {}, set().union(*(w for w in split if w))
+        self._learn(new)
+        get = self.words.__getitem__
+        return [next(whole) if w is None else b"".join(map(get, w)) for w in split]
+
+
+#: Marks that form a token of their own after a word of letters.
+_MARKS = ".,;:!?"
 
 
 def _words(text: str) -> list[str] | None:
