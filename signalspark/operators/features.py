@@ -86,10 +86,18 @@ def session_features(df: DataFrame, *, user: str = "user_id", ts: str = "ts", ti
     own = Window.partitionBy(user).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
     session = Window.partitionBy(user, "session_no").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
     seconds = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.min(ts).over(session).cast("timestamp"))) / F.lit(1e6)
-    rows = sessionize(df, user=user, ts=ts, tie=tie).select(
+
+    def first_seen(c: str) -> Column:
+        nth = F.row_number().over(Window.partitionBy(user, "session_no", c).orderBy(ts, tie))
+        return F.when(F.col(c).isNotNull() & (nth == 1), 1).otherwise(0)
+
+    # Running distinct counts as sums of first sightings: linear in a session's length, and
+    # all of these windows share the partitioning by user.
+    rows = sessionize(df, user=user, ts=ts, tie=tie).withColumns({"__item": first_seen("item_id"), "__category": first_seen("item_category")})
+    rows = rows.select(
         "*", seconds.alias("session_seconds"), F.count(F.lit(1)).over(own).alias("total_events"), F.count(F.lit(1)).over(session).alias("session_events"),
-        F.size(F.collect_set("item_id").over(session)).cast("long").alias("unique_items"), F.size(F.collect_set("item_category").over(session)).cast("long").alias("unique_categories"),
-    )
+        F.sum("__item").over(session).alias("unique_items"), F.sum("__category").over(session).alias("unique_categories"),
+    ).drop("__item", "__category")
     return rows.withColumn("events_per_minute", F.col("total_events") / F.greatest(F.col("session_seconds") / 60.0, F.lit(1.0)))
 
 
