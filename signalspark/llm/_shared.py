@@ -2,37 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows per Arrow batch: texts may be long, so that a batch stays at some megabytes.
-ARROW_ROWS = 256
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, named by spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) a local folder is made.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="signalspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from ..sources.scratch import materialize, scratch_dir
 
+__all__ = ["ARROW_ROWS", "arrow_batches", "materialize", "scratch_dir", "shuffle_partitions"]
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write `df` as a table in the shared folder and read it back.
-
-    The table survives lost executors, and a later stage reads only the columns it needs.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/signalspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+# Rows per Arrow batch: texts may be long, so that a batch stays at some megabytes.
+ARROW_ROWS = 256
 
 
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -45,12 +22,3 @@ def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """Drop input columns that an operator's own output columns replace."""
-    return df.drop(*names)
-
-
-def packed_row(df: DataFrame, name: str = "row"):
-    """All columns of `df` as one struct, so that none can clash with helper columns."""
-    return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(name)

@@ -95,14 +95,10 @@ class _Outbox:
             yield from self._rows(hashes[first], docs[first], (hashes[first] % np.uint64(self.buckets)).astype(np.int64))
         self.ids, self.parts, self.size = [], [], 0
 
-    def _rows(self, hashes: np.ndarray, docs: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((docs, bucket))
-        hashes, docs, bucket = hashes[order], docs[order], bucket[order]
-        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
-        for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
-            ids, counts = np.unique(docs[a:b], return_counts=True)
-            blob = pack_entries(ids, counts, hashes[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "entries"])
+    @staticmethod
+    def _rows(hashes: np.ndarray, docs: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for key, blob in _blobs(docs, hashes, bucket):
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "entries"])
 
 
 def pack_entries(ids: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> bytes:
@@ -117,14 +113,28 @@ def unpack_entries(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(ids, counts), np.frombuffer(blob, np.uint64, -1, 8 + 12 * n)
 
 
-def _resolve(both: bool):
-    """Per bucket: which documents share their hashes with a (smaller) document."""
+def _blobs(docs: np.ndarray, hashes: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(key, packed entries) for each key."""
+    order = np.lexsort((docs, keys))
+    docs, hashes, keys = docs[order], hashes[order], keys[order]
+    cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist() if len(keys) else []
+    for a, b in zip(cuts, [*cuts[1:], len(keys)]):
+        ids, counts = np.unique(docs[a:b], return_counts=True)
+        yield int(keys[a]), pack_entries(ids, counts, hashes[a:b])
+
+
+def _entries(table: pa.Table, column: str = "entries") -> tuple[np.ndarray, np.ndarray]:
+    docs, hashes = zip(*(unpack_entries(b.as_buffer()) for b in table.column(column)))
+    return np.concatenate(docs), np.concatenate(hashes)
+
+
+def _resolve(both: bool, buckets: int):
+    """Per bucket: which documents share their hashes with a (smaller) document, packed
+    by the document's own bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        parts = [unpack_entries(b.as_buffer()) for b in table.column("entries")]
-        docs, hashes = (np.concatenate(x) for x in zip(*parts))
-        if bucket >= 0:
+        docs, hashes = _entries(table)
+        if table.column("bucket")[0].as_py() >= 0:
             order = np.lexsort((docs, hashes))
             docs, hashes = docs[order], hashes[order]
             first = np.r_[True, hashes[1:] != hashes[:-1]]
@@ -135,23 +145,30 @@ def _resolve(both: bool):
                 shared[group[found]] = True
                 found = shared[group]
             docs, hashes = docs[found], hashes[found]
-        order = np.argsort(docs, kind="stable")
-        docs, hashes = docs[order], hashes[order]
-        cuts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, int)
-        blobs = [hashes[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(docs)])]
-        return pa.table({"doc_id": pa.array(docs[cuts], pa.int64()), "hashes": pa.array(blobs, pa.binary())})
+        rows = list(_blobs(docs, hashes, docs % buckets))
+        return pa.table({"home": pa.array([k for k, _ in rows], pa.int32()), "entries": pa.array([b for _, b in rows], pa.binary())})
 
     return run
 
 
-def _shared(hashed: DataFrame, both: bool) -> DataFrame:
-    """doc_id and the list of its hashes that another (with both) or a smaller one holds."""
-    found = hashed.groupBy("bucket").applyInArrow(_resolve(both), "doc_id long, hashes binary")
-    return found.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+def _gather(table: pa.Table) -> pa.Table:
+    """Per home bucket: one row for each document, with all of its hashes."""
+    docs, hashes = _entries(table)
+    order = np.argsort(docs, kind="stable")
+    docs, hashes = docs[order], hashes[order]
+    cuts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+    blobs = [hashes[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(docs)])]
+    return pa.table({"doc_id": pa.array(docs[cuts], pa.int64()), "hashes": pa.array(blobs, pa.binary())})
+
+
+def _shared(hashed: DataFrame, both: bool, buckets: int) -> DataFrame:
+    """doc_id and its hashes that another (with both) or a smaller document holds."""
+    found = hashed.groupBy("bucket").applyInArrow(_resolve(both, buckets), "home int, entries binary")
+    return found.groupBy("home").applyInArrow(_gather, "doc_id long, hashes binary")
 
 
-def _hash_set(blobs: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in blobs])) if blobs else np.zeros(0, np.uint64)
+def _hash_set(blob: bytes | None) -> np.ndarray:
+    return np.unique(np.frombuffer(blob, np.uint64)) if blob else np.zeros(0, np.uint64)
 
 
 def _isin(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -187,7 +204,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         raise ValueError(f"no difference cover of period {period} for windows of {window}")
     spark = docs.sparkSession
     arrow_batches(spark)
-    buckets = 2 * max(16, shuffle_partitions(spark))
+    buckets = max(16, shuffle_partitions(spark))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     anchor = window - period + 1
 
@@ -203,11 +220,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box = _Outbox(buckets, both=False, held=held)
         for batch in batches:
-            for doc_id, raw, blobs in zip(*(c.to_pylist() for c in batch.columns)):
-                if not blobs:
+            for doc_id, raw, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if not blob:
                     continue
                 text = _Text(raw)
-                at = _candidate_windows(text, _hash_set(blobs), window, period)
+                at = _candidate_windows(text, _hash_set(blob), window, period)
                 if len(at):
                     yield from box.add(doc_id, text.hashes(at, window))
         yield from box.flush()
@@ -215,8 +232,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_words, n_removed = [], [], []
-            for raw, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                known, words = _hash_set(blobs), _words(raw)
+            for raw, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                known, words = _hash_set(blob), _words(raw)
                 gone = np.zeros(len(words), bool)
                 if len(known):
                     text = _Text(raw)
@@ -233,10 +250,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
 
     entries = "bucket int, entries binary"
-    shared = _shared(texts.where("doc_id is not null").mapInArrow(anchors, entries), both=True)
+    shared = _shared(texts.where("doc_id is not null").mapInArrow(anchors, entries), True, buckets)
     # Both joins have `texts` on the left, so that its exchange is made once and reused.
     holders = texts.join(shared.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "hashes")
     candidates = holders.mapInArrow(windows, entries)
-    earlier = _shared(candidates, both=False)
+    earlier = _shared(candidates, False, buckets)
     joined = texts.join(earlier.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "hashes")
     return joined.mapInArrow(strip, "doc_id long, text string, n_words long, n_removed long")
