@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from ._shared import arrow_batches
 
 SPACE = "▁"
+#: Units in a generation of the cache, of which two are kept.
 CACHE_WORDS = 300_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -35,11 +37,9 @@ class Pieces:
         self.scores = np.array(scores, np.float64)
         self.special = special | set(byte_ids) | {unknown}
         self.ids = {p: i for i, p in enumerate(pieces) if i not in self.special}
-        joined = {c for p in self.ids if len(p) > 1 for c in p}
-        # Characters of no longer piece stand alone; a space opens a word if no piece holds it later.
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        alone = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
-        self.units = None if inner else re.compile(rf"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
+        self.units = self._unit_pattern()
+        # Units in use, and those of the generation before, which are still looked up.
+        self.older: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.bytes = [p.replace(SPACE, " ").encode() for p in pieces]
         for i in self.special:
@@ -51,6 +51,27 @@ class Pieces:
         else:
             self._probe_pairs()
 
+    def _unit_pattern(self) -> re.Pattern | None:
+        """Pattern of the units that no piece crosses, None if a piece may cross any.
+
+        Neighbouring characters that no piece holds side by side never come into one
+        piece: a unit ends before a space, and where no piece joins letters to ASCII
+        marks also between these.
+        """
+        pairs = {x for p in self.ids for x in zip(p, p[1:])}
+        if any(b == SPACE and a != SPACE for a, b in pairs):
+            return None
+        joined = {c for x in pairs for c in x}
+        alone = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
+        tail = rf"|{SPACE}+" + (f"|[{alone}]" if alone else "")
+        whole = rf"{SPACE}*[^{SPACE}{alone}]+"
+        # ASCII marks and digits; letters but for those that a piece joins to such a mark.
+        mark = r"[!-@\[-^`{-~]"
+        bound = {x for a, b in pairs for x, y in ((a, b), (b, a)) if re.match(r"[^\W\d_]", x) and re.match(mark, y)}
+        letter = rf"[^\W\d_{''.join(sorted(bound))}]"
+        end = rf"{SPACE}{alone}"
+        return re.compile(rf"{SPACE}*{letter}+(?={mark}|[{end}]|\Z)|{SPACE}*{mark}+(?={letter}|[{end}]|\Z)|{whole}" + tail)
+
     # -- tables ------------------------------------------------------------------------
 
     def _probe_pairs(self) -> None:
@@ -79,24 +100,23 @@ class Pieces:
         for t in texts:
             marked = SPACE + t.replace(" ", SPACE) if t else ""
             split.append(self.units.findall(marked) if self.units else [marked])
-        new = {u for s in split for u in s if u not in self.known}
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = {u for s in split for u in s}
+            self.older, self.known, new = self.known, {}, set().union(*split)
+        self.known.update((u, self.older[u]) for u in new if u in self.older)
         groups: dict[int, list[str]] = {}
-        for u in new:
+        for u in new.difference(self.known):
             groups.setdefault(len(u), []).append(u)
         for n, words in groups.items():
             if n:
                 step = max(1, 200_000 // n)
                 for at in range(0, len(words), step):
                     part = words[at : at + step]
-                    segments = self._viterbi(part) if self.unigram else self._merge(part)
-                    self.known.update((w, np.array(self._with_bytes(w, s), "<u4").tobytes()) for w, s in zip(part, segments))
+                    self.known.update(zip(part, self._viterbi(part) if self.unigram else self._merge(part)))
         return [b"".join(map(self.known.__getitem__, s)) if s != [""] else b"" for s in split]
 
-    def _with_bytes(self, word: str, segments: list[tuple[int, int]]) -> list[int]:
-        """Ids of (piece id, length) segments; an unknown one becomes its bytes."""
+    def _with_bytes(self, word: str, segments: list[tuple[int, int]]) -> bytes:
+        """Packed ids of (piece id, length) segments; an unknown one becomes its bytes."""
         out, at = [], 0
         for i, n in segments:
             if i >= 0:
@@ -106,9 +126,9 @@ class Pieces:
             else:
                 out.append(self.unknown)
             at += n
-        return out
+        return np.array(out, "<u4").tobytes()
 
-    def _merge(self, words: list[str]) -> list[list[tuple[int, int]]]:
+    def _merge(self, words: list[str]) -> list[bytes]:
         """Best merge first, for all words of one length at once."""
         n, size, none = len(words[0]), len(self.pieces), len(self.pieces)
         ids = np.array([[self.ids.get(c, none) for c in w] for w in words], np.int64)
@@ -127,8 +147,15 @@ class Pieces:
                 going = valid[np.arange(len(rows)), best]
             else:
                 going = np.zeros(len(rows), bool)
-            for r in np.flatnonzero(~going):
-                out[rows[r]] = [(i if i < none else -1, m) for i, m in zip(ids[r, : used[r]].tolist(), lengths[r, : used[r]].tolist())]
+            done = np.flatnonzero(~going)
+            packed, unknown = ids[done].astype("<u4"), ((ids[done] == none) & (np.arange(ids.shape[1]) < used[done, None])).any(axis=1)
+            for k, (r, n_used) in enumerate(zip(rows[done].tolist(), used[done].tolist())):
+                if unknown[k]:
+                    own = done[k]
+                    segments = zip(ids[own, :n_used].tolist(), lengths[own, :n_used].tolist())
+                    out[r] = self._with_bytes(words[r], [(i if i < none else -1, m) for i, m in segments])
+                else:
+                    out[r] = packed[k, :n_used].tobytes()
             if not going.any():
                 return out
             ids, lengths, rows, used, best, merged = ids[going], lengths[going], rows[going], used[going], best[going], merged[going]
@@ -138,7 +165,7 @@ class Pieces:
             take = columns[None, :] + (columns[None, :] > best[:, None])
             ids, lengths, used = np.take_along_axis(ids, take, 1), np.take_along_axis(lengths, take, 1), used - 1
 
-    def _viterbi(self, words: list[str]) -> list[list[tuple[int, int]]]:
+    def _viterbi(self, words: list[str]) -> list[bytes]:
         """Largest sum of scores, for all words of one length at once."""
         n = len(words[0])
         codes = np.array([[ord(c) for c in w] for w in words], np.uint64)
@@ -162,7 +189,7 @@ class Pieces:
             while end:
                 path.append((int(piece[r, end]), int(end - back[r, end])))
                 end = int(back[r, end])
-            out.append(path[::-1])
+            out.append(self._with_bytes(words[r], path[::-1]))
         return out
 
     # -- decoding ----------------------------------------------------------------------
