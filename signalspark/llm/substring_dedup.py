@@ -64,6 +64,7 @@ class _Outbox:
 
     def __init__(self, buckets: int, both: bool, held: int):
         self.buckets, self.both, self.held = buckets, both, held
+        self.kept = _narrow if both else (lambda hashes: hashes)
         self.ids: list[int] = []
         self.parts: list[np.ndarray] = []
         self.size = self.serial = 0
@@ -90,9 +91,9 @@ class _Outbox:
                 told = known | (first & shared[np.cumsum(first) - 1])
             else:
                 told = known
-            yield from self._rows(hashes[told], docs[told], -1 - (docs[told] % self.buckets))
+            yield from self._rows(self.kept(hashes[told]), docs[told], -1 - (docs[told] % self.buckets))
             # A shared hash still goes to its bucket, for the other tasks' sake.
-            yield from self._rows(hashes[first], docs[first], (hashes[first] % np.uint64(self.buckets)).astype(np.int64))
+            yield from self._rows(self.kept(hashes[first]), docs[first], (hashes[first] % np.uint64(self.buckets)).astype(np.int64))
         self.ids, self.parts, self.size = [], [], 0
 
     @staticmethod
@@ -101,16 +102,22 @@ class _Outbox:
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "entries"])
 
 
+def _narrow(hashes: np.ndarray) -> np.ndarray:
+    """The upper half of anchor hashes: with the bucket, whose number grows with the data,
+    and the exact windows that follow, it suffices to name candidates."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
 def pack_entries(ids: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> bytes:
     return np.int64(len(ids)).tobytes() + ids.astype(np.int64).tobytes() + counts.astype(np.int32).tobytes() + hashes.tobytes()
 
 
-def unpack_entries(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack_entries(blob: bytes, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """(doc ids, hashes), one of each per entry."""
     n = int(np.frombuffer(blob, np.int64, 1)[0])
     ids = np.frombuffer(blob, np.int64, n, 8)
     counts = np.frombuffer(blob, np.int32, n, 8 + 8 * n)
-    return np.repeat(ids, counts), np.frombuffer(blob, np.uint64, -1, 8 + 12 * n)
+    return np.repeat(ids, counts), np.frombuffer(blob, kind, -1, 8 + 12 * n)
 
 
 def _blobs(docs: np.ndarray, hashes: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -123,8 +130,8 @@ def _blobs(docs: np.ndarray, hashes: np.ndarray, keys: np.ndarray) -> Iterator[t
         yield int(keys[a]), pack_entries(ids, counts, hashes[a:b])
 
 
-def _entries(table: pa.Table, column: str = "entries") -> tuple[np.ndarray, np.ndarray]:
-    docs, hashes = zip(*(unpack_entries(b.as_buffer()) for b in table.column(column)))
+def _entries(table: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    docs, hashes = zip(*(unpack_entries(b.as_buffer(), kind) for b in table.column("entries")))
     return np.concatenate(docs), np.concatenate(hashes)
 
 
@@ -133,7 +140,7 @@ def _resolve(both: bool, buckets: int):
     by the document's own bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, hashes = _entries(table)
+        docs, hashes = _entries(table, np.uint32 if both else np.uint64)
         if table.column("bucket")[0].as_py() >= 0:
             order = np.lexsort((docs, hashes))
             docs, hashes = docs[order], hashes[order]
@@ -151,24 +158,28 @@ def _resolve(both: bool, buckets: int):
     return run
 
 
-def _gather(table: pa.Table) -> pa.Table:
+def _gather(both: bool):
     """Per home bucket: one row for each document, with all of its hashes."""
-    docs, hashes = _entries(table)
-    order = np.argsort(docs, kind="stable")
-    docs, hashes = docs[order], hashes[order]
-    cuts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-    blobs = [hashes[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(docs)])]
-    return pa.table({"doc_id": pa.array(docs[cuts], pa.int64()), "hashes": pa.array(blobs, pa.binary())})
+
+    def run(table: pa.Table) -> pa.Table:
+        docs, hashes = _entries(table, np.uint32 if both else np.uint64)
+        order = np.argsort(docs, kind="stable")
+        docs, hashes = docs[order], hashes[order]
+        cuts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+        blobs = [hashes[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(docs)])]
+        return pa.table({"doc_id": pa.array(docs[cuts], pa.int64()), "hashes": pa.array(blobs, pa.binary())})
+
+    return run
 
 
 def _shared(hashed: DataFrame, both: bool, buckets: int) -> DataFrame:
     """doc_id and its hashes that another (with both) or a smaller document holds."""
     found = hashed.groupBy("bucket").applyInArrow(_resolve(both, buckets), "home int, entries binary")
-    return found.groupBy("home").applyInArrow(_gather, "doc_id long, hashes binary")
+    return found.groupBy("home").applyInArrow(_gather(both), "doc_id long, hashes binary")
 
 
-def _hash_set(blob: bytes | None) -> np.ndarray:
-    return np.unique(np.frombuffer(blob, np.uint64)) if blob else np.zeros(0, np.uint64)
+def _hash_set(blob: bytes | None, kind: type = np.uint64) -> np.ndarray:
+    return np.unique(np.frombuffer(blob, kind)) if blob else np.zeros(0, kind)
 
 
 def _isin(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -182,7 +193,7 @@ def _candidate_windows(text: _Text, known: np.ndarray, window: int, period: int)
     """Starts of the windows that hold an anchor known to be shared."""
     anchor, n = window - period + 1, len(text.words)
     at = _cover_positions(n, period, anchor)
-    at = at[_isin(text.hashes(at, anchor), known)]
+    at = at[_isin(_narrow(text.hashes(at, anchor)), known)]
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, np.maximum(at - (period - 1), 0), 1)
     np.add.at(edge, np.minimum(at, n - window) + 1, -1)
@@ -224,7 +235,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 if not blob:
                     continue
                 text = _Text(raw)
-                at = _candidate_windows(text, _hash_set(blob), window, period)
+                at = _candidate_windows(text, _hash_set(blob, np.uint32), window, period)
                 if len(at):
                     yield from box.add(doc_id, text.hashes(at, window))
         yield from box.flush()
