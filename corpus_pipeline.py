@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from signalspark.llm import queries as q
 from signalspark.llm._shared import materialize
 from signalspark.llm.line_dedup import line_dedup
+from signalspark.llm.near_copies import drop_near_copies
 from signalspark.llm.packing import pack_documents
 from signalspark.llm.secret_scan import redact, scan_secrets
-from signalspark.llm.simhash import near_dedup
 from signalspark.llm.toxicity import toxicity_scores
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -39,8 +39,8 @@ def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates."""
-    return near_dedup(docs).select(*COLUMNS)
+    """Keep one document of each group linked by five-word Jaccard similarity 0.8 or more."""
+    return drop_near_copies(docs).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
