@@ -38,7 +38,7 @@ def f3(spark, d):
 def f4(spark, d):
     items = fx.items(spark, d)
     index, centroids = op.build_ivf(items, nlist=16)
-    return rounded(op.ivf_search(index, centroids, _queries(items), 10, nprobe=4))
+    return rounded(op.ivf_search(index, centroids, _queries(items), 10, nprobe=12))
 
 
 @query("f5_encode_pq")
@@ -50,7 +50,7 @@ def f5(spark, d):
 @query("f6_pq_search")
 def f6(spark, d):
     items = fx.items(spark, d)
-    books = op.train_pq(items, m=8, nbits=4)
+    books = op.train_pq(items, m=32, nbits=8)
     return rounded(op.pq_search(op.encode_pq(items, books), books, _queries(items), 100))
 
 
