@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,80 +19,87 @@ from ._shared import arrow_batches, materialize
 _CACHE: dict = {}
 #: Words in a generation of a Python worker's cache, of which two are kept.
 CACHE_WORDS = 400_000
+#: Bytes of text that are tokenized at once.
+CHUNK = 16 << 20
+#: Texts that do not go word by word: characters beyond Latin-1, which the normalizer may
+#: compose, white space that libraries see differently, and marks of special tokens.
+_WHOLE = r"[^\x00-\x1b\x20-\x{84}\x{86}-\x{9f}\x{a1}-\x{ff}]|<\|"
 
 
 class _Encoder:
-    """Ids as little-endian bytes, by words between white space where that is exact.
+    """Ids of texts, by distinct words between white space where that is exact.
 
-    The tokenizer normalizes (NFC, white space, lower case) and cuts at white space, so
-    that a text of Latin-1 characters is the concatenation of its words' ids.  Texts
-    with other characters, rare control characters or "<|" go through it whole.
+    A tokenizer that normalizes to lower case, cuts at white space and by one pattern, and
+    merges the bytes of each cut by itself gives a text of Latin-1 characters the ids of
+    its words, and a word those of its cuts.  Other texts and tokenizers go through whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size()
-        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.cuts = _cut_pattern(path)
+        self.packed = [np.array([i], "<u4").tobytes() for i in range(self.tokenizer.get_vocab_size())]
         # Words in use, and those of the generation before, which are still looked up.
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
-        """Put the ids of `new` words into the cache; a mark that ends a word is a token of its own."""
-        words, older = self.words, self.older
-        words.update((w, older[w]) for w in new if w in older)
-        ended = {w: w[:-1] for w in new if w not in words and w[-1] in _MARKS and w[:-1].isalpha()}
-        fresh = {w for w in new if w not in words and w not in ended}.union(s for s in ended.values() if s not in words)
-        plain = [w for w in fresh if w.isalpha()]
-        other = [w for w in fresh if not w.isalpha()] + [m for m in _MARKS if m not in words]
-        words.update(zip(plain, self._cut(plain)))
-        words.update(zip(other, self._ids(other)))
-        words.update((w, words[s] + words[w[-1]]) for w, s in ended.items())
-
-    def _cut(self, plain: list[str]) -> list[bytes]:
-        """Ids of words of letters alone: as one text, cut after each id that ends a word."""
-        if not plain:
-            return []
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-        stops = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
-        if len(stops) != len(plain):
-            return self._ids(plain)
-        body = ids.tobytes()
-        return [body[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist())]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_words(t) for t in texts]
-        whole = iter(self._ids([t for t, w in zip(texts, split) if w is None]))
-        new = set(filterfalse(self.words.__contains__, chain.from_iterable(w for w in split if w)))
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.older, self.words, new = self.words, {}, set().union(*(w for w in split if w))
-        self._learn(new)
-        get = self.words.__getitem__
-        return [next(whole) if w is None else b"".join(map(get, w)) for w in split]
-
-
-#: Marks that form a token of their own after a word of letters.
-_MARKS = ".,;:!?"
-
-
-def _words(text: str) -> list[str] | None:
-    """Lower-case words of a text that can be encoded word by word, else None."""
-    try:
-        raw = text.encode("latin-1")
-    except UnicodeEncodeError:
+    def _learn(self, words: list[str]) -> None:
+        """Put the ids of `words` into the cache."""
+        known, older = self.words, self.older
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > CACHE_WORDS:
+            self.older, self.words, new = known, {"": b""}, words
+            known, older = self.words, self.older
+        known.update((w, older[w]) for w in new if w in older)
+        new = [w for w in new if w not in known]
+        cut = {w: self.cuts.findall(w) for w in new if not w.isalpha()}
+        parts = {w for w in new if w.isalpha()}.union(*cut.values())
+        fresh = [w for w in parts if w not in known]
+        plain, other = [w for w in fresh if w.isascii() and w.isprintable()], [w for w in fresh if not (w.isascii() and w.isprintable())]
+        # Letters that stand for bytes; only printable ASCII stands for itself, and not the space.
+        spelled = plain + (self.spell(" ".join(other))[0][0].split(self.spell(" ")[0][0]) if other else [])
+        merge, packed, join = self.tokenizer.model.tokenize, self.packed, b"".join
+        known.update(zip(plain + other, [join([packed[t.id] for t in merge(s)]) for s in spelled], strict=True))
+        known.update((w, join([known[c] for c in own])) for w, own in cut.items())
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by `end_id`; offsets of the texts in them)."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, _WHOLE) if self.cuts else pa.array(np.ones(len(texts), bool))
+        split = pc.ascii_split_whitespace(pc.if_else(whole, "", pc.utf8_lower(texts)))
+        flat = split.flatten().dictionary_encode()
+        words = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(words)
+        found = [*map(self.words.__getitem__, words), np.array([end_id], "<u4").tobytes()]
+        at = whole.to_numpy(zero_copy_only=False).nonzero()[0]
+        found += self._whole(texts.take(pa.array(at)).to_pylist())
+        # After the words of each text: its ids as a whole, if any, and the end.
+        stops = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        extra = np.stack([np.full(len(texts), -1), np.full(len(texts), len(words))], axis=1)
+        extra[at, 0] = len(words) + 1 + np.arange(len(at))
+        given = extra >= 0
+        order = np.insert(flat.indices.to_numpy(), np.repeat(stops, 2)[given.ravel()], extra[given])
+        joined = pa.array(found, pa.large_binary()).take(pa.array(order))
+        bounds = np.frombuffer(joined.buffers()[1], np.int64, len(order) + 1) // 4
+        last = np.cumsum(np.diff(stops, prepend=0) + given.sum(axis=1))
+        return np.frombuffer(joined.buffers()[2], "<u4", bounds[-1]), np.r_[0, bounds[last]]
+
+
+def _cut_pattern(path: str) -> regex.Pattern | None:
+    """The pattern that cuts words, if the tokenizer works word by word as _Encoder states."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normal = [(n["type"], n.get("content")) for n in (spec["normalizer"] or {}).get("normalizers", ())]
+    cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", ())
+    same = normal == [("NFC", None), ("Replace", " "), ("Lowercase", None)] and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+    if not same or cuts[0]["behavior"] != "Removed" or not cuts[0]["invert"] or cuts[1]["use_regex"] or cuts[1]["add_prefix_space"] or spec["model"]["type"] != "BPE" or spec["model"]["dropout"]:
         return None
-    if b"<|" in raw or raw.translate(None, _ODD) != raw:
-        return None
-    return text.lower().split()
-
-
-#: White space that libraries see differently.
-_ODD = b"\x1c\x1d\x1e\x1f\x85\xa0"
+    return regex.compile(cuts[0]["pattern"]["Regex"])
 
 
 def _encoder(path: str) -> _Encoder:
@@ -99,6 +108,19 @@ def _encoder(path: str) -> _Encoder:
     return _CACHE[path]
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Batches joined until they hold `size` bytes."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, total = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -110,26 +132,25 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
     """
     arrow_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
-    step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seen, encoder = TaskContext.get().partitionId(), Counter(), _encoder(tokenizer_path)
-        for batch in batches:
-            rows = []
-            for at, ids in enumerate(encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
-                ids += end
-                for k in range(0, len(ids), step):
-                    own = ids[k : k + step]
-                    rows.append((at, k // step, k // 4, len(own) // 4, zlib.crc32(own), part, seen[len(own)], own))
-                    seen[len(own)] += 1
-            at, *columns, own = zip(*rows) if rows else [()] * 8
+        for chunk in _chunks(batches, CHUNK):
+            ids, offsets = encoder.encode(chunk.column(1).combine_chunks(), end_id)
+            rows, bounds = [], [0]
+            for at, (first, stop) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                for k in range(first, stop, capacity):
+                    size = min(capacity, stop - k)
+                    rows.append((at, (k - first) // capacity, k - first, size, zlib.crc32(ids[k : k + size]), part, seen[size]))
+                    seen[size] += 1
+                    bounds.append(k + size)
+            at, *columns = zip(*rows) if rows else [()] * 7
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            arrays = [batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types)]]
+            arrays = [chunk.column(0).combine_chunks().take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types)]]
             if keep_ids:
-                arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in own], pa.list_(pa.int32())))
+                arrays.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32))))
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", *["ids"] * keep_ids])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(cut, f"doc_id {kind}, {PIECE_SCHEMA}" + ", ids array<int>" * keep_ids)

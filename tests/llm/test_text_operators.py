@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -306,3 +307,30 @@ def test_digests_match_hashlib(spark):
     rows = queries.op10_substring_dedup(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 200 and all(len(r.kept_sha256) == 64 for r in rows)
     assert any(r.n_removed == 0 for r in rows) and hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_encoder_equals_the_library(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    marks = ["'s", "'ll", "\"'s", "don't", "<|endoftext|>", " ", "\n", "a1b2", "²¼", "中文", "é", "İ", "\x85", "\xa0", "\x1c", "__x__"]
+    letters = [*"abc def ghi'.,;!? ", *map(chr, range(1, 256))]
+    texts = [None, "", "  a  b ", *("".join(rng.choice(marks if rng.random() < 0.1 else letters) for _ in range(rng.integers(0, 40))) for _ in range(300))]
+    monkeypatch.setattr(packing, "CACHE_WORDS", 500)
+    encoder = packing._Encoder(queries.tokenizer_file("word_bpe_49k.json"))
+    for _ in range(2):
+        for at in range(0, len(texts), 50):
+            ids, offsets = encoder.encode(pa.array(texts[at : at + 50], pa.string()), 1)
+            got = [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])]
+            assert got == _token_ids(texts[at : at + 50])
+    ids, offsets = encoder.encode(pa.array([], pa.string()), 1)
+    assert not len(ids) and offsets.tolist() == [0]
+
+
+def test_op7_columns(spark):
+    folder = "/root/testdata/sf0.001"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = queries.op7_best_fit_packing(spark, folder).collect()
+    assert {(r.doc_id, r.piece) for r in rows} == {(i, k) for i, t in text.items() for k in range(-(-len(_token_ids([t])[0]) // 4096))}
+    for r in rows:
+        own = _token_ids([text[r.doc_id]])[0][r.start : r.start + r.length]
+        assert r.start == 4096 * r.piece and len(own) == r.length and r.ids_crc32 == zlib.crc32(np.array(own, "<u4").tobytes())
