@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -160,7 +161,7 @@ def library():
 
 def test_pieces_equal_the_library(spark, library):
     texts = ODD_TEXTS + [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).collect()]
-    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, None, 1)]
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, None, 1), (2, texts[2], 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int")
     path = queries.tokenizer_file("piece_bpe_32k.model")
     encoded = sentence_pieces.encode(docs, path)
@@ -191,12 +192,28 @@ def test_unigram_viterbi_against_search():
 
     rng = np.random.default_rng(0)
     for text in ["".join(rng.choice(list("abcx "), int(rng.integers(1, 12)))) for _ in range(60)]:
-        ids = np.frombuffer(model.encode([text])[0], "<u4")
+        ids = model.encode(pa.array([text]))[0].astype(int)
         want = [u for unit in model.units.findall("▁" + text.replace(" ", "▁")) for u in best(unit)[1]]
         total = sum(score.get(u, min(scores) - 10) for u in want)
         assert sum(scores[i - 1] if i else min(scores) - 10 for i in ids) == pytest.approx(total)
 
 
+def test_pairs_share_a_slot(library, monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "PAIR_SLOTS", 64)
+    monkeypatch.setattr(sentence_pieces, "CACHE_WORDS", 300)
+    model = sentence_pieces.load_pieces.__wrapped__(queries.tokenizer_file("piece_bpe_32k.model"))
+    rng = np.random.default_rng(4)
+    syllables = "eux ach ti an ber ion the re wh qu é ß 7 ! \n  x".split(" ")
+    texts = [" ".join("".join(rng.choice(syllables, rng.integers(0, 6))) for _ in range(30)) for _ in range(60)] + ["長い文字列" * 40, "x" * 500]
+    ids, offsets = model.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [library.encode(t) for t in texts]
+
+
+def test_no_pieces():
+    model = sentence_pieces.Pieces(["<unk>"], [0.0], [], 0, set(), False)
+    assert model.encode(pa.array(["ab c", None, ""]))[0].tolist() == [0] * 5
+
+
 def test_op9_digests(spark, library):
     text = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     for r in queries.op9_sentence_pieces(spark, "/root/testdata/sf0.001").collect():
