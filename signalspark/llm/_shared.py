@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import materialize, scratch_dir
 
-__all__ = ["ARROW_ROWS", "arrow_batches", "materialize", "scratch_dir", "shuffle_partitions"]
+__all__ = ["ARROW_BYTES", "arrow_batches", "materialize", "scratch_dir", "shuffle_partitions"]
 
-# Rows per Arrow batch: texts may be long, so that a batch stays at some megabytes.
-ARROW_ROWS = 256
+#: Bytes of one Arrow batch: texts, sets and tiles may be long.
+ARROW_BYTES = 8 << 20
 
 
-def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of one Arrow batch for this session."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def arrow_batches(spark: SparkSession, size: int = ARROW_BYTES) -> None:
+    """Bound the bytes of one Arrow batch for this session.
+
+    Plans read the setting when they run, after this library has returned them, so that it
+    stays set; it cuts batches and changes no result.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{size}b")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
