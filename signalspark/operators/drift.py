@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -151,49 +152,80 @@ def current_sample(df: DataFrame, n: int = 10_000, min_n: int = 1000, *, order:
 
 
 class Gate:
-    """State of one model's alert gate: run of confirmed checks and time of the last alert."""
+    """State of one model's alert gate: run of confirmed checks and time of the last alert.
 
-    def __init__(self, run: int = 0, last: pd.Timestamp | None = None, *, persistence: int = 3, cooldown: int = 1800, count_unconfirmed: bool = False):
+    Within `cooldown` seconds of an alert checks are not looked at: they neither alert nor
+    reset the run.  Outside, a clean check resets the run; a drifted one alerts once the
+    run has reached `persistence`, or by itself by its PSI or confidence.
+    """
+
+    def __init__(self, run: int = 0, last: np.datetime64 | None = None, *, persistence: int = 3, cooldown: int = 1800, count_unconfirmed: bool = False):
         self.run, self.last = run, last
-        self.persistence, self.cooldown, self.count_unconfirmed = persistence, cooldown, count_unconfirmed
-
-    def step(self, at: pd.Timestamp, drift: bool, psi_value: float, confidence: float) -> bool:
-        """Whether a check raises an alert.  A clean check resets the run."""
-        if not drift:
-            self.run = 0
-            return False
-        confirmed = self.run >= self.persistence or psi_value > 2 * PSI_LIMIT or confidence > 0.8
-        ready = self.last is None or (at - self.last).total_seconds() >= self.cooldown
-        alert = confirmed and ready
-        if alert or self.count_unconfirmed:
-            self.run += 1
-        if alert:
-            self.last = at
-        return alert
+        self.persistence, self.cooldown, self.count_unconfirmed = persistence, np.timedelta64(cooldown, "s"), count_unconfirmed
+
+    def fold(self, at: np.ndarray, drift: np.ndarray, psi_value: np.ndarray, confidence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(alert, run length) of checks in order of time, from one alert to the next."""
+        n = len(at)
+        alert, runs = np.zeros(n, bool), np.zeros(n, np.int32)
+        clean = np.append(np.flatnonzero(~drift), n)
+        strong = np.append(np.flatnonzero(drift & ((psi_value > 2 * PSI_LIMIT) | (confidence > 0.8))), n)
+        since = np.arange(n) - np.maximum.accumulate(np.where(drift, -1, np.arange(n))) if n else np.zeros(0, np.int64)
+        long = np.append(np.flatnonzero(drift & (since > self.persistence)), n)
+        after = lambda places, k: int(places[np.searchsorted(places, k)])
+        k = 0
+        while k < n:
+            if self.last is not None and (stop := max(k, int(np.searchsorted(at, self.last + self.cooldown)))) > k:
+                runs[k:stop], k = self.run, stop
+                continue
+            reset = after(clean, k)
+            hit = after(strong, k)
+            if self.count_unconfirmed:
+                hit = min(hit, k + max(0, self.persistence - self.run) if k + max(0, self.persistence - self.run) < reset else after(long, reset))
+            elif self.run >= self.persistence and reset > k:
+                hit = k
+            reset = min(reset, hit)
+            runs[k:reset] = self.run + (np.arange(1, reset - k + 1) if self.count_unconfirmed else 0)
+            runs[reset:hit] = np.where(drift[reset:hit], since[reset:hit], 0) if self.count_unconfirmed else 0
+            self.run = int(runs[hit - 1]) if hit > k else self.run
+            if hit < n:
+                self.run += 1
+                alert[hit], runs[hit], self.last = True, self.run, at[hit]
+            k = hit + 1
+        return alert, runs
 
 
 def alert_gate(checks: DataFrame, *, persistence: int = 3, cooldown: int = 1800, count_unconfirmed: bool = False) -> DataFrame:
     """checks (model, checked_at, drift, psi, confidence) with alert and run_length.
 
     An ordered fold per model over two numbers of state, streamed over sorted partitions.
+    Nulls: a null drift is a clean check; a null PSI or confidence confirms nothing.
     """
     rows = checks.repartition("model").sortWithinPartitions("model", "checked_at")
+    new = lambda: Gate(persistence=persistence, cooldown=cooldown, count_unconfirmed=count_unconfirmed)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, gate = None, Gate()
+        current, gate = None, new()
         for batch in batches:
-            alerts, runs = [], []
-            for r in batch.itertuples(index=False):
-                if r.model != current:
-                    current, gate = r.model, Gate(persistence=persistence, cooldown=cooldown, count_unconfirmed=count_unconfirmed)
-                alerts.append(gate.step(r.checked_at, r.drift, r.psi, r.confidence))
-                runs.append(gate.run)
+            model = batch["model"].to_numpy()
+            cuts = [0, *(np.flatnonzero(model[1:] != model[:-1]) + 1).tolist(), len(batch)]
+            alerts, runs = np.zeros(len(batch), bool), np.zeros(len(batch), np.int32)
+            columns = gate_columns(batch)
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    if model[a] != current:
+                        current, gate = model[a], new()
+                    alerts[a:b], runs[a:b] = gate.fold(*(c[a:b] for c in columns))
             yield batch.assign(alert=alerts, run_length=runs)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in checks.schema)
     return rows.mapInPandas(fold, f"{fields}, alert boolean, run_length int")
 
 
+def gate_columns(batch: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """The arrays that Gate.fold takes."""
+    return batch["checked_at"].to_numpy(), batch["drift"].fillna(False).to_numpy(bool), *(batch[c].fillna(0.0).to_numpy(float) for c in ("psi", "confidence"))
+
+
 def severity_action(df: DataFrame) -> DataFrame:
     """Add severity and action by PSI or confidence."""
     level = F.lit("low")
@@ -204,8 +236,8 @@ def severity_action(df: DataFrame) -> DataFrame:
 
 
 def affected_features(feature_metrics: DataFrame, model_col: str = "model") -> DataFrame:
-    """Per model the sorted features whose PSI exceeds the limit."""
-    return feature_metrics.groupBy(model_col).agg(F.array_sort(F.collect_set(F.when(F.col("psi") > PSI_LIMIT, F.col("feature")))).alias("affected"))
+    """Per model the sorted features that drift by their own test (PSI, KL or p-value)."""
+    return feature_metrics.groupBy(model_col).agg(F.array_sort(F.collect_set(F.when(F.col("drift"), F.col("feature")))).alias("affected"))
 
 
 def drift_impact(df: DataFrame, performance: DataFrame, model_col: str = "model") -> DataFrame:

@@ -98,13 +98,16 @@ def h9(spark, d):
 
 
 _CHECKS = "chk as (select concat('m', user_no % 4) as model, ts as checked_at, value > 60 as drift, value / 400 as psi, k / 110.0::double as confidence, row_number() over (partition by user_no % 4 order by ts) as n from interactions)"
+_HIT = "c.drift and (g.run >= 3 or c.psi > 0.2 or c.confidence > 0.8)"
+_RESTS = "g.last is not null and c.checked_at - g.last < interval 43200 seconds"
+# Within the cool-down nothing changes; outside, a clean check resets the run.
 _GATE = f"""{_CHECKS}, gate(model, n, checked_at, drift, psi, confidence, run, last, alert) as (
   select model, n, checked_at, drift, psi, confidence, case when drift and (psi > 0.2 or confidence > 0.8) then 1 else 0 end, case when drift and (psi > 0.2 or confidence > 0.8) then checked_at end, drift and (psi > 0.2 or confidence > 0.8) from chk where n = 1
   union all
   select c.model, c.n, c.checked_at, c.drift, c.psi, c.confidence,
-    case when not c.drift then 0 when (g.run >= 3 or c.psi > 0.2 or c.confidence > 0.8) and (g.last is null or c.checked_at - g.last >= interval 43200 seconds) then g.run + 1 else g.run end,
-    case when c.drift and (g.run >= 3 or c.psi > 0.2 or c.confidence > 0.8) and (g.last is null or c.checked_at - g.last >= interval 43200 seconds) then c.checked_at else g.last end,
-    c.drift and (g.run >= 3 or c.psi > 0.2 or c.confidence > 0.8) and (g.last is null or c.checked_at - g.last >= interval 43200 seconds)
+    case when {_RESTS} then g.run when not c.drift then 0 when {_HIT} then g.run + 1 else g.run end,
+    case when {_RESTS} then g.last when {_HIT} then c.checked_at else g.last end,
+    case when {_RESTS} then false else {_HIT} end
   from gate g join chk c on c.model = g.model and c.n = g.n + 1)"""
 
 
@@ -127,7 +130,7 @@ def h11(spark, d):
     return op.severity_action(_checks(spark, d)).select("model", "checked_at", "severity", "action")
 
 
-@query("h11_affected_features", f"with {_METRICS} select 'm' as model, coalesce(string_agg(feature, ',' order by feature) filter (psi > 0.1), '') as affected from metrics")
+@query("h11_affected_features", f"with {_METRICS} select 'm' as model, coalesce(string_agg(feature, ',' order by feature) filter (drift), '') as affected from metrics")
 def h11_affected(spark, d):
     f = op.feature_drift(*_samples(spark, d), min_n=100).withColumn("model", F.lit("m"))
     return op.affected_features(f).select("model", F.array_join("affected", ",").alias("affected"))

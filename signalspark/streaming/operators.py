@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import events as event_ops
-from ..operators.drift import Gate
-from ..operators.features import event_weight
+from ..operators.drift import Gate, gate_columns
+from ..operators.features import event_weight, firings
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: A session's state lives so long without events (fixed value, seconds).
@@ -92,15 +93,11 @@ class _Debounce(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        last = pd.Timestamp(self.last.get()[0]).tz_localize(None) if self.last.exists() else None
-        fires = []
-        for t in batch["ts"]:
-            fire = last is None or (t - last).total_seconds() >= self.seconds
-            last = t if fire else last
-            fires.append(fire)
+        last = np.datetime64(pd.Timestamp(self.last.get()[0]).tz_localize(None), "us") if self.last.exists() else None
+        fires, last = firings(batch["ts"].to_numpy(), self.seconds, last)
         if last is not None:
-            self.last.update((last.to_pydatetime(),))
-        yield batch[fires][["user_id", "ts", "event_id"]]
+            self.last.update((pd.Timestamp(last).to_pydatetime(),))
+        yield batch.iloc[fires][["user_id", "ts", "event_id"]]
 
     def close(self) -> None:
         pass
@@ -128,12 +125,9 @@ class _Gates(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("checked_at", kind="stable")
         run, last = self.state.get() if self.state.exists() else (0, None)
-        gate = Gate(run, pd.Timestamp(last).tz_localize(None) if last is not None else None, **self.options)
-        alerts, runs = [], []
-        for r in batch.itertuples(index=False):
-            alerts.append(gate.step(r.checked_at, r.drift, r.psi, r.confidence))
-            runs.append(gate.run)
-        self.state.update((gate.run, gate.last.to_pydatetime() if gate.last is not None else None))
+        gate = Gate(run, np.datetime64(pd.Timestamp(last).tz_localize(None), "us") if last is not None else None, **self.options)
+        alerts, runs = gate.fold(*gate_columns(batch))
+        self.state.update((gate.run, pd.Timestamp(gate.last).to_pydatetime() if gate.last is not None else None))
         yield pd.DataFrame({"model": key[0], "checked_at": batch["checked_at"].to_numpy(), "alert": alerts, "run_length": runs})
 
     def close(self) -> None:

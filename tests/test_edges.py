@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,11 +228,34 @@ def test_chi_square_p(spark):
     assert [round(v, 5) for v in got] == [0.05, 0.05, 0.05, 1.0]
 
 
+@pytest.mark.parametrize("count", [False, True])
+def test_gate_equals_a_fold_by_rows(count):
+    rng = np.random.default_rng(5)
+    for cooldown in (0, 70, 400):
+        n = 300
+        times = np.datetime64("2024-01-01", "us") + np.cumsum(rng.integers(0, 60, n)).astype("timedelta64[s]")
+        flags, psi, sure = rng.random(n) < 0.8, rng.random(n) * 0.22, rng.random(n) * 0.83
+        run, last, want = 0, None, []
+        for t, d, p, c in zip(times, flags, psi, sure):
+            hit = False
+            if last is None or (t - last) / np.timedelta64(1, "s") >= cooldown:
+                hit = d and (run >= 3 or p > 0.2 or c > 0.8)
+                run = 0 if not d else run + 1 if hit or count else run
+                last = t if hit else last
+            want.append((bool(hit), run))
+        gate = drift.Gate(cooldown=cooldown, count_unconfirmed=count)
+        halves = [gate.fold(times[a:b], flags[a:b], psi[a:b], sure[a:b]) for a, b in ((0, 130), (130, 130), (130, n))]
+        assert [(bool(a), int(r)) for part in halves for a, r in zip(*part)] == want
+
+
 def test_gate(spark):
     rows = [("m", at(60 * i), d, p, c) for i, (d, p, c) in enumerate([(True, 0.15, 0.1), (True, 0.3, 0.1), (True, 0.3, 0.1), (False, 0.9, 0.9), (True, 0.1, 0.9)])]
     df = spark.createDataFrame(rows, "model string, checked_at timestamp_ntz, drift boolean, psi double, confidence double")
     assert [r.alert for r in drift.alert_gate(df).orderBy("checked_at").collect()] == [False, True, False, False, False]
     assert [r.alert for r in drift.alert_gate(df, cooldown=0).orderBy("checked_at").collect()] == [False, True, True, False, True]
+    quiet = [("m", at(60 * i), d, p, 0.1) for i, (d, p) in enumerate([(True, 0.3), (False, 0.0), (True, 0.15)])]
+    kept = drift.alert_gate(spark.createDataFrame(quiet, df.schema), cooldown=90).orderBy("checked_at").collect()
+    assert [r.run_length for r in kept] == [1, 1, 1]  # the clean check fell into the cool-down
     weak = [("m", at(i), True, 0.15, 0.1) for i in range(5)]
     weak = spark.createDataFrame(weak, df.schema)
     assert not any(r.alert for r in drift.alert_gate(weak).collect())
