@@ -135,11 +135,20 @@ def session_categories(df: DataFrame) -> DataFrame:
     return last.where("item_category is not null").select("user_id", "item_category").distinct()
 
 
+def category_items(catalog: DataFrame, n: int = 20) -> DataFrame:
+    """The first `n` items (by id) of each category; a task keeps `n` of a category before the shuffle."""
+    first = Window.partitionBy("item_category").orderBy("item_id")
+    return catalog.withColumn("n", F.row_number().over(first)).where(F.col("n") <= n).select("item_id", "item_category")
+
+
 def category_candidates(sess: DataFrame, catalog: DataFrame, n: int = 20) -> DataFrame:
     """Up to `n` catalog items (by id) for each category seen by a user: user_id, item_id."""
-    first = Window.partitionBy("item_category").orderBy("item_id")
-    few = catalog.withColumn("n", F.row_number().over(first)).where(F.col("n") <= n).select("item_id", "item_category")
-    return sess.join(few, "item_category").select("user_id", "item_id").distinct()
+    return sess.join(category_items(catalog, n), "item_category").select("user_id", "item_id").distinct()
+
+
+def item_facts(items: DataFrame, pop: DataFrame, catalog: DataFrame) -> DataFrame:
+    """item_id, popularity and item_category of `items`, null where unknown."""
+    return items.select("item_id").join(pop.select("item_id", "popularity"), "item_id", "left").join(catalog.select("item_id", "item_category"), "item_id", "left")
 
 
 def all_candidates(users: DataFrame, popular: DataFrame, by_category: DataFrame) -> DataFrame:
@@ -151,9 +160,27 @@ def all_candidates(users: DataFrame, popular: DataFrame, by_category: DataFrame)
     return every.unionByName(by_category.select("user_id", "item_id")).distinct()
 
 
+def known_candidates(users: DataFrame, pop: DataFrame, sess: DataFrame, catalog: DataFrame, n: int = 100) -> DataFrame:
+    """all_candidates with popularity and item_category, as score_items takes them.
+
+    The facts are joined to the `n` popular items and to the few items of each category
+    before these meet the users: no popular item becomes a key that all users share.
+    """
+    popular = item_facts(popular_items(pop, n), pop, catalog)
+    few = category_items(catalog)
+    own = sess.join(few.join(pop.select("item_id", "popularity"), "item_id", "left"), "item_category")
+    every = users.select("user_id").distinct().join(F.broadcast(popular))
+    return every.unionByName(own.select("user_id", *popular.columns)).dropDuplicates(["user_id", "item_id"])
+
+
 def score_items(cands: DataFrame, pop: DataFrame, sess: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Score = min(0.5 + 0.3 min(popularity / 1000, 1) + 0.2 if the category was viewed, 1)."""
-    rows = cands.join(pop.select("item_id", "popularity"), "item_id", "left").join(catalog.select("item_id", "item_category"), "item_id", "left")
+    """Score = min(0.5 + 0.3 min(popularity / 1000, 1) + 0.2 if the category was viewed, 1).
+
+    Candidates that bring popularity and item_category are not joined to these again.
+    """
+    rows = cands
+    if not {"popularity", "item_category"} <= set(cands.columns):
+        rows = cands.select("user_id", "item_id").join(pop.select("item_id", "popularity"), "item_id", "left").join(catalog.select("item_id", "item_category"), "item_id", "left")
     rows = rows.join(sess.select("user_id", "item_category", F.lit(True).alias("viewed")), ["user_id", "item_category"], "left")
     popular = 0.3 * F.least(F.coalesce("popularity", F.lit(0.0)) / 1000.0, F.lit(1.0))
     score = F.least(0.5 + popular + F.when(F.col("viewed"), 0.2).otherwise(0.0), F.lit(1.0))
@@ -218,5 +245,5 @@ def processor_stats(df: DataFrame, *, approximate: bool = False) -> DataFrame:
 def flagship(df: DataFrame, catalog: DataFrame, k: int = 10) -> DataFrame:
     """Ten ranked items for each user: sessions, popularity, candidates, scores, packing."""
     pop, sess = popularity(df), session_categories(df)
-    cands = all_candidates(df, popular_items(pop), category_candidates(sess, catalog))
+    cands = known_candidates(df, pop, sess, catalog)
     return rank_per_user(score_items(cands, pop, sess, catalog), k)

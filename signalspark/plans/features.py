@@ -125,11 +125,11 @@ def b8(spark, d):
 
 @query(
     "b9_user_features",
-    f"with {_FEATURES} select event_id, round(session_seconds, 6) as session_seconds, total_events, unique_items, {_trailing('value', (86400,))}, hour(ts)::int as hour, isodow(ts) >= 6 as is_weekend from featured",
+    f"with {_FEATURES} select event_id, round(session_seconds, 6) as session_seconds, total_events, unique_items, {_trailing('value', op.WINDOWS)}, {_trailing('k', op.WINDOWS)}, hour(ts)::int as hour, isodow(ts) >= 6 as is_weekend from featured",
 )
 def b9(spark, d):
-    out = op.user_features(fx.interactions(spark, d), windows=(86400,))
-    return rounded(out.select("event_id", "session_seconds", "total_events", "unique_items", *[c for c in out.columns if c.endswith("_86400s")], "hour", "is_weekend"))
+    out = op.user_features(fx.interactions(spark, d), features=["value", "k"])
+    return rounded(out.select("event_id", "session_seconds", "total_events", "unique_items", *[f"{x}_{f}_{w}s" for x in ("value", "k") for w in op.WINDOWS for f in op.FUNCTIONS], "hour", "is_weekend"))
 
 
 @query("b10_popular_items", f"select item_id, sum({_WEIGHT})::double as popularity from interactions group by all order by 2 desc, 1 limit 100")
@@ -146,7 +146,7 @@ def b11(spark, d):
 @query("b12_score_items", f"with {_CANDIDATES} select user_id, item_id, round(score, 6) as score from scored")
 def b12(spark, d):
     i, catalog, pop, sess = _inputs(spark, d)
-    cands = op.all_candidates(i, op.popular_items(pop), op.category_candidates(sess, catalog))
+    cands = op.known_candidates(i, pop, sess, catalog)
     return rounded(op.score_items(cands, pop, sess, catalog))
 
 

@@ -20,7 +20,7 @@ from (select *, cast(json_extract_string(props, '$.k') as int) as k, strftime(ts
     "catalog": """
 select concat('item_', p_partkey) as item_id, concat('cat_', p_partkey % 10) as item_category,
        p_retailprice::double as price, p_brand as brand, p_size % 5 <> 0 as in_stock
-from part where p_partkey < 100""",
+from part""",
     "feature_log": """
 select case when event_id % 11 = 0 then event_id + 100000000 else event_id end as write_seq, 'user' as entity_type,
        user_id as entity_id, concat('last_', event_type) as feature_name, cast(value as varchar) as value, value as num, ts as feature_ts, event_id as version

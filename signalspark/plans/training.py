@@ -141,10 +141,11 @@ def _sides(spark, d):
     return e.where("item_id % 50 = 0").withColumnRenamed("item_id", "user_id"), e
 
 
-@query("g14_pair_scores", f"with {_SIMILAR} select user_id, item_id, round(score, 6) as score from s where item_id % 7 = user_id % 7")
+@query("g14_pair_scores", f"with {_SIMILAR} select s.user_id, s.item_id, round(score, 6) as score from s join embeddings a on a.vec_id = s.user_id join embeddings b on b.vec_id = s.item_id where a.label = b.label")
 def g14(spark, d):
     users, items = _sides(spark, d)
-    pairs = users.select("user_id", (F.col("user_id") % 7).alias("r")).join(items.select("item_id", (F.col("item_id") % 7).alias("r")), "r").drop("r")
+    labels = fx.items(spark, d).select("item_id", "label")
+    pairs = users.select("user_id").join(labels.withColumnRenamed("item_id", "user_id"), "user_id").join(labels, "label").select("user_id", "item_id")
     return rounded(op.pair_scores(pairs, users, items))
 
 

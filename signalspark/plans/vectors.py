@@ -10,6 +10,7 @@ from ..sources.scratch import scratch_dir
 from .registry import query
 
 _UNIT = "unit_ as (select vec_id as item_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) as e from (select vec_id, embedding::double[] as e from embeddings))"
+_SAME = "c as (select s.*, row_number() over (partition by query_id order by score desc, s.item_id)::int as r from scored s join embeddings a on a.vec_id = query_id join embeddings b on b.vec_id = s.item_id where a.label = b.label)"
 _SCORED = f"{_UNIT}, scored as (select q.item_id as query_id, i.item_id, list_inner_product(q.e, i.e) as score from unit_ q, unit_ i where q.item_id % 50 = 0), ranked as (select *, row_number() over (partition by query_id order by score desc, item_id)::int as rank from scored)"
 
 
@@ -54,25 +55,43 @@ def f6(spark, d):
     return rounded(op.pq_search(op.encode_pq(items, books), books, _queries(items), 100))
 
 
-@query("f7_rerank", f"with {_SCORED}, c as (select *, row_number() over (partition by query_id order by score desc, item_id)::int as r from scored where item_id % 3 = 0) select query_id, r as rank, item_id, round(score, 6) as score from c where r <= 5")
+def _same_label(items):
+    """Candidates: the items of the query's label."""
+    return items.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "label").join(items.select("item_id", "label"), "label").select("query_id", "item_id")
+
+
+@query("f7_rerank", f"with {_SCORED}, {_SAME} select query_id, r as rank, item_id, round(score, 6) as score from c where r <= 5")
 def f7(spark, d):
     items = fx.items(spark, d)
-    asked = _queries(items)
-    cands = asked.select("query_id").join(items.where("item_id % 3 = 0").select("item_id"))
-    return rounded(op.rerank(cands, items, asked, 5))
+    return rounded(op.rerank(_same_label(items), items, _queries(items), 5))
+
+
+@query("f7_rerank_quantized")
+def f7_quantized(spark, d):
+    items = fx.items(spark, d)
+    books = op.train_pq(items, m=32, nbits=8)
+    return rounded(op.rerank(op.pq_search(op.encode_pq(items, books), books, _queries(items), 100), items, _queries(items), 10))
 
 
 @query(
     "f8_recall_at_k",
-    f"""with {_SCORED}, f as (select *, row_number() over (partition by query_id order by score desc, item_id) as frank from ranked where item_id % 7 <> 0),
+    f"""with {_SCORED}, {_SAME}, f as (select query_id, item_id, r as frank from c),
     s as (select t.query_id, k, count(*) filter (t.rank <= k and frank <= k) / k as share from ranked t left join f using (query_id, item_id), (values (1), (5), (10), (50), (100)) v(k) group by t.query_id, k)
     select k, round(avg(share), 6) as recall from s group by k""",
 )
 def f8(spark, d):
     items = fx.items(spark, d)
     asked = _queries(items)
-    truth, found = op.exact_topk(items, asked, 100), op.exact_topk(items.where("item_id % 7 <> 0"), asked, 100)
-    return rounded(op.recall_at_k(truth, found))
+    found = op.rerank(_same_label(items), items, asked, 100)
+    return rounded(op.recall_at_k(op.exact_topk(items, asked, 100), found))
+
+
+@query("f8_recall_of_ivf")
+def f8_ivf(spark, d):
+    items = fx.items(spark, d)
+    asked = _queries(items)
+    index, centroids = op.build_ivf(items, nlist=16)
+    return rounded(op.recall_at_k(op.exact_topk(items, asked, 10), op.ivf_search(index, centroids, asked, 10, nprobe=12), (1, 5, 10)))
 
 
 @query(

@@ -30,7 +30,7 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_partkey < 100").select(
+    return table(spark, sf_dir, "part").select(
         F.concat(F.lit("item_"), F.col("p_partkey").cast("string")).alias("item_id"),
         F.concat(F.lit("cat_"), (F.col("p_partkey") % 10).cast("string")).alias("item_category"),
         F.col("p_retailprice").cast("double").alias("price"), F.col("p_brand").alias("brand"), (F.col("p_size") % 5 != 0).alias("in_stock"),

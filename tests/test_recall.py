@@ -10,8 +10,12 @@ from signalspark.sources import fixtures
 FOLDER = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name, k", [("f4_ivf_search", 10), ("f6_pq_search", 100)])
+@pytest.mark.parametrize("name, k", [("f4_ivf_search", 10), ("f6_pq_search", 100), ("f7_rerank_quantized", 10)])
 def test_recall_against_brute_force(spark, name, k):
     items = fixtures.items(spark, FOLDER)
     truth = vectors.exact_topk(items, _queries(items), k)
     assert vectors.recall_at_k(truth, QUERIES[name](spark, FOLDER), (k,)).first().recall >= 0.9
+
+
+def test_reported_recall_of_ivf(spark):
+    assert {r.k: r.recall for r in QUERIES["f8_recall_of_ivf"](spark, FOLDER).collect()}[10] >= 0.9
