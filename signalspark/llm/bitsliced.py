@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from .vector_blocks import clean_vectors, search_blocks
-
-#: Quantised components beyond this size could take a score out of 64 bits.
-LARGEST = 1 << 26
 
+from .vector_blocks import VECTORS, Block, best_of, clean_vectors, each_block, numbered
 
 def _slices(column: np.ndarray, width: int) -> np.ndarray:
     """Bitmaps (one per bit, over the rows) of non-negative integers."""
@@ -50,20 +47,21 @@ class _Planes:
         return [x[0] if x else None for x in self.held]
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The `k` rows of a block (sorted by id) with the largest scores, for each query.
+def search_block(block: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, vector place, score) of the `k` largest scores of a block for each query.
 
-    Components are stored as slices of value - minimum.  A negative query component
-    takes the complement of the slices, which changes all scores of a query alike.  The
-    products of query bits and slices are added as bitmaps, for all queries at once.
+    Components are stored as slices of value - minimum, as many as the attribute needs.  A
+    negative query component takes the complement of the slices, which changes all scores of
+    a query alike.  The products of query bits and slices are added as bitmaps, for all
+    queries at once, without a bound on the sum.
     """
-    rows, asked = vectors.astype(np.int64), queries.astype(np.int64)
+    rows, asked = _integers(block.vectors), _integers(block.queries)
     n, dim = rows.shape
     least = rows.min(axis=0)
-    width = max(1, int((rows.max(axis=0) - least).max()).bit_length())
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     planes, words = _Planes(), -(-n // 64)
     for d in range(dim):
+        width = int(rows[:, d].max() - least[d]).bit_length()
         slices = _slices(rows[:, d] - least[d], width)
         turned = np.where(asked[:, d] < 0, full, np.uint64(0))[:, None]
         size = np.abs(asked[:, d])
@@ -75,9 +73,9 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
 
     inside = np.packbits(np.pad(np.ones(n, np.uint8), (0, words * 64 - n)), bitorder="little").view(np.uint64)
     open_, sure = np.tile(inside, (len(asked), 1)), np.zeros((len(asked), words), np.uint64)
-    place = np.searchsorted(ids, query_ids)
-    for q in np.flatnonzero((place < n) & (ids[np.minimum(place, n - 1)] == query_ids)):
-        open_[q, place[q] // 64] &= ~(np.uint64(1) << np.uint64(place[q] % 64))
+    for q, row in enumerate(block.query_rows):
+        for own in np.flatnonzero(block.rows == row):  # the query itself
+            open_[q, own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
     for plane in reversed(total):  # from the most significant slice downward
         if plane is None:
             continue
@@ -91,25 +89,43 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
         found = unpack(sure[q])
         if len(found) < k:  # boundary rows have equal scores: the smaller ids
             found = np.concatenate([found, unpack(open_[q])[: k - len(found)]])
-        out[0].append(np.full(len(found), query_ids[q]))
-        out[1].append(ids[found])
-        out[2].append(rows[found] @ asked[q])
+        out[0].append(np.full(len(found), q))
+        out[1].append(found)
+        out[2].append(_scores(rows[found], asked[q]))
     return tuple(np.concatenate(x) for x in out)
 
 
+def _integers(values: np.ndarray) -> np.ndarray:
+    """Whole numbers as 64-bit integers; those beyond 2**62 raise an error."""
+    if values.size and np.abs(values).max() >= 2.0**62:
+        raise OverflowError("a quantised component is beyond 2**62")
+    return values.astype(np.int64)
+
+
+def _scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products; one that leaves 64 bits raises an error."""
+    if len(query) * float(np.abs(query).max(initial=0)) * float(np.abs(rows).max(initial=0)) < 2.0**62:
+        return rows @ query
+    exact = [sum(map(int.__mul__, r, query.tolist())) for r in rows.tolist()]
+    if any(not -(2**63) <= x < 2**63 for x in exact):
+        raise OverflowError("an inner product leaves 64 bits")
+    return np.array(exact, np.int64)
+
+
 def exact_topk(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the `k` largest integer inner products of
     floor(scale * component) for each query, ties to the smaller id.
 
     `is_query` is a condition on the columns id, v, dim.  Defined cases: vectors that are
-    null, empty or hold null or non-finite components take no part, nor do null ids and
-    vectors with a quantised component beyond 2**26, whose score might leave 64 bits; a
-    repeated id counts once (its smallest vector in array order); only vectors of the
-    query's dimension are candidates; with fewer than `k` all are returned; an empty
-    table gives an empty table.
+    null, empty or hold null or non-finite components take no part, nor do null ids; every
+    row of a repeated id is a candidate, and a query of its own (then ranks of that id
+    repeat); a quantised component beyond 2**62 or a returned score beyond 64 bits raises
+    OverflowError; only vectors of the query's dimension are candidates; with fewer than
+    `k` all are returned; an empty table gives an empty table.
     """
-    rows = clean_vectors(vectors, id_col, vector_col, zero=True)
-    rows = rows.withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
-    rows = rows.where(F.forall("v", lambda x: F.abs(x) <= LARGEST))
-    search = lambda ids, v, query_ids, queries: search_block(ids, v, query_ids, queries, k)
-    return search_blocks(rows, is_query, k, search, "long", largest=True)
+    rows = numbered(clean_vectors(vectors, id_col, vector_col, zero=True), is_query)
+
+    def search(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return search_block(replace(block, vectors=np.floor(scale * block.vectors), queries=np.floor(scale * block.queries)), k)
+
+    return best_of(each_block(rows, rows, VECTORS, search, "long"), k, largest=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,51 +17,68 @@ VECTORS, QUERIES = 2048, 1024
 
 
 def clean_vectors(vectors: DataFrame, id_col: str, vector_col: str, *, zero: bool) -> DataFrame:
-    """(id, v: array<double>, dim): one row per id, only whole and finite vectors.
-
-    A repeated id counts once, with its smallest vector in array order; with `zero`
-    false, vectors of zeros alone are left out; empty vectors always are.
-    """
+    """(id, v: array<double>, dim): a row for each whole and finite vector, repeated ids
+    included; with `zero` false, vectors of zeros alone are left out; empty ones always are."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(whole & (F.size("v") > 0))
     if not zero:
         rows = rows.where(F.exists("v", lambda x: x != 0))
-    return rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    return rows.withColumn("dim", F.size("v"))
+
+
+@dataclass
+class Block:
+    """Vectors (sorted by id, then row) that meet queries; rows tell equal ids apart."""
+
+    ids: np.ndarray
+    rows: np.ndarray
+    vectors: np.ndarray
+    query_rows: np.ndarray
+    queries: np.ndarray
+    radius: np.ndarray
 
 
-def search_blocks(rows: DataFrame, is_query: Column, k: int, search: Callable, score: str, *, largest: bool) -> DataFrame:
-    """query_id, rank, vec_id, score: the `k` best of `search` for each query.
+def numbered(vectors: DataFrame, is_query: Column) -> DataFrame:
+    """The vectors with a row number each and the flag is_query, as a written table."""
+    rows = vectors.withColumns({"row": F.monotonically_increasing_id(), "is_query": F.coalesce(is_query, F.lit(False))})
+    return materialize(rows, "vectors")
 
-    Vectors of one dimension are dealt into blocks by hash of the id, queries into blocks
-    of their own, and each pair of blocks is one group of bounded size.
-    `search(ids, vectors, query_ids, queries)` returns arrays (query_id, vec_id, score) of
-    the best `k` in the block; partial results are merged by a window with a group limit.
+
+def each_block(vectors: DataFrame, asked: DataFrame, size: int | None, search: Callable, score: str) -> DataFrame:
+    """query_row, query_id, vec_id, score: what `search` finds in every block for every query.
+
+    Vectors of one dimension are dealt into blocks of about `size` by hash of the row
+    (None: one block), the queries among `asked` into blocks of their own, and each pair of
+    blocks is one group of bounded size.  `search(block)` returns arrays (place of the
+    query, place of the vector, score); `asked` may bring a column radius.
     """
-    spark = rows.sparkSession
+    spark = vectors.sparkSession
     arrow_batches(spark)
-    rows = materialize(rows.withColumn("is_query", is_query), "vectors")
-    n, n_queries = rows.agg(F.count(F.lit(1)), F.coalesce(F.count_if("is_query"), F.lit(0))).first()
-    blocks, query_blocks = max(1, -(-n // VECTORS)), max(1, -(-n_queries // QUERIES))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    query_block = F.pmod(F.xxhash64(F.lit(1), F.col("id")), F.lit(query_blocks)).cast("int")
+    asked = asked.where("is_query")
+    n, n_queries = vectors.count() if size else 0, asked.count()
+    blocks, query_blocks = max(1, -(-n // size)) if size else 1, max(1, -(-n_queries // QUERIES))
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+    query_block = F.pmod(F.xxhash64(F.lit(1), F.col("row")), F.lit(query_blocks)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    keys = ["dim", "block", "query_block"]
-    left = rows.select("dim", block.alias("block"), every(query_blocks).alias("query_block"), F.lit(False).alias("query"), "id", "v")
-    right = rows.where("is_query").select("dim", every(blocks).alias("block"), query_block.alias("query_block"), F.lit(True).alias("query"), "id", "v")
+    radius = F.coalesce("radius", F.lit(float("inf"))) if "radius" in asked.columns else F.lit(0.0)
+    keys, same = ["dim", "block", "query_block"], ["id", "row", "v"]
+    left = vectors.select("dim", block.alias("block"), every(query_blocks).alias("query_block"), F.lit(False).alias("query"), F.lit(0.0).alias("radius"), *same)
+    right = asked.select("dim", every(blocks).alias("block"), query_block.alias("query_block"), F.lit(True).alias("query"), radius.alias("radius"), *same)
 
     def run(table: pa.Table) -> pa.Table:
-        query, ids = table.column("query").to_numpy(), table.column("id").to_numpy()
+        query, ids, rows = (table.column(c).to_numpy() for c in ("query", "id", "row"))
         v = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         own, asked = np.flatnonzero(~query), np.flatnonzero(query)
-        if not len(own) or not len(asked):
-            found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64 if score == "long" else np.float64)
-        else:
-            own = own[np.argsort(ids[own])]
-            found = search(ids[own], v[own], ids[asked], v[asked])
-        return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
+        own = own[np.lexsort((rows[own], ids[own]))]
+        found = search(Block(ids[own], rows[own], v[own], rows[asked], v[asked], table.column("radius").to_numpy()[asked])) if len(own) and len(asked) else [np.zeros(0, np.int64)] * 3
+        return pa.table({"query_row": rows[asked][found[0]], "query_id": ids[asked][found[0]], "vec_id": ids[own][found[1]], "score": found[2].astype(np.int64 if score == "long" else np.float64)})
 
     groups = left.unionByName(right).repartition(max(2, blocks * query_blocks), *keys).groupBy(*keys)
-    best = groups.applyInArrow(run, f"query_id long, vec_id long, score {score}")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score") if largest else F.asc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return groups.applyInArrow(run, f"query_row long, query_id long, vec_id long, score {score}")
+
+
+def best_of(found: DataFrame, k: int, *, largest: bool) -> DataFrame:
+    """query_id, rank, vec_id, score: the `k` best of each query row, ties to the smaller id."""
+    order = Window.partitionBy("query_row").orderBy(F.desc("score") if largest else F.asc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
