@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ._shared import arrow_batches, materialize, shuffle_partitions
 from .graph import connected_components
-from .simhash import _STRIP, SEED, TILE
+from .simhash import _STRIP, SEED, TILE, keep_rows, tile_pairs
 
 #: Words of a shingle; similarity 0.8 as 9 * common >= 4 * (sizes of both sets).
 WORDS, RADIUS, KEYS, BINS = 5, 14, 16, 128
@@ -137,12 +137,12 @@ def _near_pairs(labelled: DataFrame, radius: int, tile: int) -> DataFrame:
     left = tiles.select("*", F.col("band").alias("key")).withColumn("lane", F.pmod(F.xxhash64("tid"), F.element_at(lanes, F.col("key"))).cast("int"))
     right = tiles.select("*", F.explode(F.sequence(F.col("band") - 1, F.col("band"))).alias("key"))
     right = right.select("*", F.explode(F.sequence(F.lit(0), F.element_at(lanes, F.col("key")) - 1)).alias("lane"))
-    n = max(2 * shuffle_partitions(spark), spark.sparkContext.defaultParallelism * 3)
-    left, right = left.repartition(n, "key", "lane").alias("l"), right.repartition(n, "key", "lane").alias("r")
+    left, right = left.drop("sets").alias("l"), right.drop("sets").alias("r")
     once = (F.col("r.band") > F.col("l.band")) | (F.col("r.tid") >= F.col("l.tid"))
     fits = (5 * F.col("l.hi") >= 4 * F.col("r.lo")) & (5 * F.col("r.hi") >= 4 * F.col("l.lo"))
     met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.lane") == F.col("r.lane")) & once & fits)
-    return met.select(F.col("l.sets").alias("a"), F.col("r.sets").alias("b")).mapInArrow(_compare(radius), "u long, v long")
+    pairs = met.select(F.col("l.tid").alias("a"), F.col("r.tid").alias("b"))
+    return tile_pairs(tiles, pairs, "sets").mapInArrow(_compare(radius), "u long, v long")
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
 
 
 def near_copy_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """One row per distinct shingle set: sid, first_id (smallest id that has it), root (of its component).
+    """One row per distinct shingle set: sid, first (smallest id and text hash that have it), root (of its component).
 
     Sets with a Jaccard similarity of 0.8 or more are linked.  Candidates are pairs of
     fingerprints within `radius` bits, all of which are compared, and neighbours under
@@ -198,7 +198,7 @@ def near_copy_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = texts.mapInArrow(_describe, f"id {kind}, tk long, {_NODE}")
-    nodes = rows.groupBy("sid").agg(F.min("id").alias("first_id"), F.min("tk").alias("tk"), *[F.first(c).alias(c) for c in ("fp", "size", "hist", "keys")])
+    nodes = rows.groupBy("sid").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "tk"))).alias("first"), F.min("tk").alias("tk"), *[F.first(c).alias(c) for c in ("fp", "size", "hist", "keys")])
     nodes = materialize(nodes, "shingle-nodes")
     texts = texts.drop("id")
     after = F.element_at("keys", ((F.col("at") + 1) % KEYS + 1).cast("int"))
@@ -211,12 +211,17 @@ def near_copy_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     labelled = rooted(first).select("fp", "sid", F.col("root").alias("label"), "size")
     more = _verified(materialize(_near_pairs(labelled, radius, tile), "near-pairs"), nodes, texts)
-    return rooted(first.unionByName(more)).select("sid", "first_id", "root")
+    return rooted(first.unionByName(more)).select("sid", "first", "root")
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Keep of each component the row with the smallest id; rows with a null id take part in links and stay."""
+    """Keep one row of each component: the one with the smallest id, then text hash.
+
+    Defined cases: rows with a null id take part in links and stay; rows that repeat an id
+    with other texts are documents of their own, of rows equal in id and text one stays;
+    null and blank texts have no shingles and form one group; a text of fewer words than a
+    shingle is one shingle; an empty table gives an empty table; other columns are kept.
+    """
     found = near_copy_components(docs, id_col=id_col, text_col=text_col, radius=radius, tile=tile)
-    keep = found.groupBy("root").agg(F.min("first_id").alias("__keep")).select("__keep").where("__keep is not null")
-    named = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
-    return named.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    keep = found.groupBy("root").agg(F.min("first").alias("key")).where("key is not null")
+    return keep_rows(docs, keep, id_col, text_col)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import arrow_batches, materialize, shuffle_partitions
@@ -167,16 +167,32 @@ def linked_fingerprints(distinct: DataFrame, *, radius: int = 3, tile: int = TIL
     left = tiles.select("*", F.col("pc").alias("key")).withColumn("lane", F.pmod(F.xxhash64("tid"), F.element_at(lanes, F.col("key"))).cast("int"))
     right = tiles.select("*", F.explode(F.sequence(F.greatest(F.col("pc") - radius, F.lit(0)), F.col("pc"))).alias("key"))
     right = right.select("*", F.explode(F.sequence(F.lit(0), F.element_at(lanes, F.col("key")) - 1)).alias("lane"))
-    n = max(2 * shuffle_partitions(spark), spark.sparkContext.defaultParallelism * 3)
-    left = left.repartition(n, "key", "lane").alias("l")
-    right = right.repartition(n, "key", "lane").alias("r")
+    left, right = left.drop("fps").alias("l"), right.drop("fps").alias("r")
     apart = sum(
         (F.greatest(F.col(f"l.lo{k}") - F.col(f"r.hi{k}"), F.col(f"r.lo{k}") - F.col(f"l.hi{k}"), F.lit(0)) for k in range(1, 5)),
         F.lit(0),
     )
     once = (F.col("r.pc") > F.col("l.pc")) | (F.col("r.tid") >= F.col("l.tid"))
     met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.lane") == F.col("r.lane")) & once & (apart <= radius))
-    return met.select(F.col("l.fps").alias("a"), F.col("r.fps").alias("b")).mapInArrow(_links(radius), "u long, v long")
+    pairs = met.select(F.col("l.tid").alias("a"), F.col("r.tid").alias("b"))
+    return tile_pairs(tiles, pairs, "fps").mapInArrow(_links(radius), "u long, v long")
+
+
+#: Tile pairs that a task compares at most on average.
+TASK_PAIRS = 512
+
+
+def tile_pairs(tiles: DataFrame, pairs: DataFrame, payload: str) -> DataFrame:
+    """The payloads (x, y) of the tiles of `pairs` (a, b), which were chosen without them.
+
+    A left tile crosses the shuffle once, a right one once for each pair that was left.
+    The comparison takes long for few bytes, so that its tasks are counted in pairs.
+    """
+    spark = tiles.sparkSession
+    pairs = materialize(pairs, "tile-pairs")
+    n = max(2 * shuffle_partitions(spark), spark.sparkContext.defaultParallelism * 3, -(-pairs.count() // TASK_PAIRS))
+    side = lambda key, name: tiles.select(F.col("tid").alias(key), F.col(payload).alias(name))
+    return pairs.join(side("b", "y"), "b").repartition(n, "a").join(side("a", "x"), "a").select("x", "y")
 
 
 def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
@@ -199,8 +215,24 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """Keep of each component the row whose id is the component's; rows with a null id stay."""
-    found = simhash_components(docs, id_col=id_col, text_col=text_col, words=words, radius=radius)
-    keep = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("__keep")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
-    return named.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    """Keep one row of each component: the one with the smallest id, then text hash.
+
+    Defined cases: rows with a null id take part in links and stay; rows that repeat an id
+    with other texts are documents of their own, of rows equal in id and text one stays; a
+    null or blank text has fingerprint 0; an empty table gives an empty table.
+    """
+    keyed = docs.select(row_key(id_col, text_col).alias("__key"), F.col(f"`{text_col}`").alias("__text"))
+    found = simhash_components(keyed, id_col="__key", text_col="__text", words=words, radius=radius)
+    return keep_rows(docs, found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("key")), id_col, text_col)
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """(id, hash of the text), null for a null id."""
+    return F.when(F.col(f"`{id_col}`").isNotNull(), F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("tk")))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` whose row_key is among `kept` (key), one of each, and those without an id."""
+    named = docs.where(F.col(f"`{id_col}`").isNotNull()).withColumn("__row_key", row_key(id_col, text_col))
+    named = named.join(kept.select(F.col("key").alias("__row_key")).distinct(), "__row_key", "left_semi").dropDuplicates(["__row_key"])
+    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

@@ -79,3 +79,11 @@ def test_stage_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == _kept(rows)
+
+
+def test_repeated_ids_with_other_texts_stay(spark):
+    one, two = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(1, one, 1), (1, two, 2), (1, two, 3), (2, two + " c", 4), (3, one, 5), (None, one, 6), (None, one, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key int")
+    got = [(r.doc_id, r.text) for r in near_copies.drop_near_copies(docs).collect()]
+    assert sorted(got, key=repr) == sorted([(1, one), (1, two), (None, one), (None, one)], key=repr)

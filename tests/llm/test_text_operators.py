@@ -96,14 +96,18 @@ def _fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def _components(rows, radius=3):
-    fps = [f for _, f in rows]
-    label = list(range(len(rows)))
-    for a in range(len(rows)):
+def _labels(fps, radius=3):
+    label = list(range(len(fps)))
+    for a in range(len(fps)):
         for b in range(a):
             if (fps[a] ^ fps[b]).bit_count() <= radius and label[a] != label[b]:
                 old, new = label[a], label[b]
                 label = [new if x == old else x for x in label]
+    return label
+
+
+def _components(rows, radius=3):
+    label = _labels([f for _, f in rows], radius)
     ids = defaultdict(list)
     for (i, _), x in zip(rows, label):
         ids[x].append(i)
@@ -141,9 +145,19 @@ def test_simhash_tiles_against_all_pairs(spark):
 def test_near_dedup_keeps_one_of_each_group(docs):
     kept = simhash.near_dedup(docs)
     assert kept.columns == docs.columns
-    comp = {r.id: r.component_id for r in simhash.simhash_components(docs).collect()}
-    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert ids == sorted(i for i, c in comp.items() if i is not None and i == c)
+    rows = [(r[0], r[1], _fingerprint(r[1])) for r in _rows()]
+    member = [[] for _ in rows]
+    for k, c in enumerate(_labels([f for _, _, f in rows])):
+        member[c].append(k)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sum(i is None for i, _ in got) == sum(i is None for i, *_ in rows)
+    named = [(i, t) for i, t in got if i is not None]
+    groups = [[rows[k][:2] for k in g if rows[k][0] is not None] for g in member]
+    assert len(named) == sum(bool(g) for g in groups)
+    for g in groups:  # one row of each group, of its smallest id
+        own = [x for x in named if x in g]
+        assert not g or (len(own) == 1 and own[0][0] == min(i for i, _ in g))
+    assert len({t for i, t in named if i == 10}) == len([i for i, _ in named if i == 10])
 
 
 def test_components_of_a_path_and_a_star(spark):
