@@ -23,6 +23,12 @@ from ._shared import arrow_batches, shuffle_partitions
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 6, 8, 18)}
 #: Hashes that a task holds before it sends them on.
 HELD = 1_000_000
+#: Anchors of a bucket: their number grows with the text, so that a bucket does not.
+BUCKET_ANCHORS = 500_000
+#: Buckets that one task resolves on average.
+TASK_BUCKETS = 4
+#: Bytes of text to a word, by which words are estimated.
+WORD_BYTES = 6
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -103,8 +109,8 @@ class _Outbox:
 
 
 def _narrow(hashes: np.ndarray) -> np.ndarray:
-    """The upper half of anchor hashes: with the bucket, whose number grows with the data,
-    and the exact windows that follow, it suffices to name candidates."""
+    """The upper half of anchor hashes: among the anchors of one bucket, whose number does not
+    grow with the data, one in some thousands looks shared by chance, and exact windows follow."""
     return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
@@ -174,8 +180,10 @@ def _gather(both: bool):
 
 def _shared(hashed: DataFrame, both: bool, buckets: int) -> DataFrame:
     """doc_id and its hashes that another (with both) or a smaller document holds."""
-    found = hashed.groupBy("bucket").applyInArrow(_resolve(both, buckets), "home int, entries binary")
-    return found.groupBy("home").applyInArrow(_gather(both), "doc_id long, hashes binary")
+    # Tasks by the number of buckets, whatever the session's shuffle partitions are.
+    n = max(shuffle_partitions(hashed.sparkSession), buckets // TASK_BUCKETS)
+    found = hashed.repartition(n, "bucket").groupBy("bucket").applyInArrow(_resolve(both, buckets), "home int, entries binary")
+    return found.repartition(n, "home").groupBy("home").applyInArrow(_gather(both), "doc_id long, hashes binary")
 
 
 def _hash_set(blob: bytes | None, kind: type = np.uint64) -> np.ndarray:
@@ -215,9 +223,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         raise ValueError(f"no difference cover of period {period} for windows of {window}")
     spark = docs.sparkSession
     arrow_batches(spark)
-    buckets = max(16, shuffle_partitions(spark))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     anchor = window - period + 1
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(16, shuffle_partitions(spark), -(-size * len(COVERS[period]) // (period * WORD_BYTES * BUCKET_ANCHORS)))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box = _Outbox(buckets, both=True, held=held)

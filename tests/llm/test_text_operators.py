@@ -317,6 +317,14 @@ def test_substring_dedup_flushes(docs):
     assert sorted(map(repr, one)) == sorted(map(repr, many))
 
 
+def test_buckets_grow_with_the_text(docs, monkeypatch):
+    one = substring_dedup.remove_repeats(docs).collect()
+    monkeypatch.setattr(substring_dedup, "BUCKET_ANCHORS", 100)
+    many = substring_dedup.remove_repeats(docs)
+    assert "hashpartitioning(bucket" in (plan := many._jdf.queryExecution().toString()) and max(map(int, re.findall(r"bucket#\d+, (\d+)\)", plan))) > 50
+    assert sorted(map(repr, one)) == sorted(map(repr, many.collect()))
+
+
 def test_digests_match_hashlib(spark):
     rows = queries.op10_substring_dedup(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 200 and all(len(r.kept_sha256) == 64 for r in rows)
