@@ -13,19 +13,53 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 #: Thresholds (fixed values): drift, severity by PSI and confidence, and actions.
 PSI_LIMIT, KL_LIMIT, P_LIMIT = 0.1, 0.1, 0.05
 SEVERITY = (("critical", 0.5, 0.8), ("high", 0.25, 0.6), ("medium", 0.1, 0.4))
 ACTIONS = {"critical": "immediate_retraining", "high": "scheduled_retraining", "medium": "monitor_closely", "low": "continue_monitoring"}
 
 
-def _edges(ref: DataFrame, buckets: int, kind: str) -> DataFrame:
-    """feature and the distinct, ordered bucket edges of the reference."""
+def value_steps(ref: DataFrame, cur: DataFrame) -> DataFrame:
+    """Every distinct value of a feature in order: feature, x, how often it stands on both
+    sides (a, b), the running sums (f_n, g_n) and totals (n, m) of these, and the next value.
+
+    All tests read this written table.  It is range-partitioned by (feature, x); each
+    part sums its own rows and adds what the parts before it hold, so that one feature is
+    spread over many tasks.  Null values take no part.
+    """
+    both = ref.select("feature", "x", F.lit(1).alias("r")).unionByName(cur.select("feature", "x", F.lit(0).alias("r"))).where(F.col("x").isNotNull())
+    counts = both.groupBy("feature", "x").agg(F.sum("r").alias("a"), F.sum(1 - F.col("r")).alias("b"))
+    parts = int(ref.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(counts.repartitionByRange(parts, "feature", "x").withColumn("part", F.spark_partition_id()), "value-counts")
+    held = ranged.groupBy("part", "feature").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"), F.min("x").alias("first"))
+    # One row for each part of a feature.
+    order, whole = Window.partitionBy("feature").orderBy("part"), Window.partitionBy("feature")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    carried = held.select(
+        "part", "feature", F.coalesce(F.sum("pa").over(before), F.lit(0)).alias("a0"), F.coalesce(F.sum("pb").over(before), F.lit(0)).alias("b0"),
+        F.sum("pa").over(whole).alias("n"), F.sum("pb").over(whole).alias("m"), F.lead("first").over(order).alias("following"),
+    )
+    own = Window.partitionBy("part", "feature").orderBy("x")
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranged.select("part", "feature", "x", "a", "b", F.sum("a").over(upto).alias("ra"), F.sum("b").over(upto).alias("rb"), F.lead("x").over(own).alias("nx")).join(carried, ["part", "feature"])
+    rows = rows.select("feature", "x", "a", "b", (F.col("ra") + F.col("a0")).alias("f_n"), (F.col("rb") + F.col("b0")).alias("g_n"), "n", "m", F.coalesce("nx", "following").alias("next"))
+    return materialize(rows, "value-steps")
+
+
+def _edges(steps: DataFrame, buckets: int, kind: str, *, pooled: bool = False) -> DataFrame:
+    """feature and the distinct, ordered bucket edges of the reference (or of both sides)."""
+    known = steps if pooled else steps.where("a > 0")
     if kind == "quantiles":
-        cuts = F.array(*[F.lit(i / buckets) for i in range(buckets + 1)])
-        return ref.groupBy("feature").agg(F.array_distinct(F.percentile("x", cuts)).alias("edges"))
+        first = F.col("f_n") - F.col("a")
+        at = lambda k: F.max(F.when((first <= k) & (k < F.col("f_n")), F.col("x")))
+        places = [F.lit(i) * (F.col("n") - 1) / F.lit(buckets) for i in range(buckets + 1)]
+        rows = known.groupBy("feature").agg(*[at(F.floor(h)).alias(f"lo{i}") for i, h in enumerate(places)], *[at(F.ceil(h)).alias(f"hi{i}") for i, h in enumerate(places)], F.max("n").alias("n"))
+        between = lambda i, h: F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}")).otherwise(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (h - F.floor(h)))
+        return rows.select("feature", F.array_distinct(F.array(*[between(i, h) for i, h in enumerate(places)])).alias("edges"))
     if kind == "width":
-        rows = ref.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+        rows = known.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
         return rows.select("feature", F.array_distinct(F.array(*[F.col("lo") + (F.col("hi") - F.col("lo")) * F.lit(i) / F.lit(buckets) for i in range(buckets + 1)])).alias("edges"))
     raise ValueError(f"unknown kind of buckets: {kind}")
 
@@ -37,11 +71,11 @@ def _bucket(x: Column, edges: Column) -> Column:
     return F.when((below > 0) & (x <= F.element_at(edges, -1)), F.least(below, last))
 
 
-def _shares(ref: DataFrame, cur: DataFrame, edges: DataFrame) -> DataFrame:
+def _shares(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """feature, bucket, n_ref, n_cur and the totals (values outside the edges included)."""
-    both = ref.select("feature", "x", F.lit(1).alias("r")).unionByName(cur.select("feature", "x", F.lit(0).alias("r"))).where(F.col("x").isNotNull())
-    rows = both.join(F.broadcast(edges), "feature").select("feature", "r", _bucket(F.col("x"), F.col("edges")).alias("bucket"))
-    counts = rows.groupBy("feature", "bucket").agg(F.sum("r").alias("n_ref"), F.sum(1 - F.col("r")).alias("n_cur"))
+    # One row of edges for each feature.
+    rows = steps.join(F.broadcast(edges), "feature").select("feature", "a", "b", _bucket(F.col("x"), F.col("edges")).alias("bucket"))
+    counts = rows.groupBy("feature", "bucket").agg(F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"))
     totals = counts.groupBy("feature").agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur"))
     spine = edges.where(F.size("edges") > 1).select("feature", "edges", F.explode(F.sequence(F.lit(1), F.size("edges") - 1)).alias("bucket"))
     full = spine.join(counts, ["feature", "bucket"], "left").join(totals, "feature")
@@ -50,20 +84,28 @@ def _shares(ref: DataFrame, cur: DataFrame, edges: DataFrame) -> DataFrame:
 
 def psi(ref: DataFrame, cur: DataFrame, buckets: int = 10, kind: str = "quantiles") -> DataFrame:
     """feature and its population stability index; 0 for a constant reference."""
-    edges = _edges(ref, buckets, kind)
+    return _psi(value_steps(ref, cur), buckets, kind)
+
+
+def _psi(steps: DataFrame, buckets: int = 10, kind: str = "quantiles") -> DataFrame:
+    edges = _edges(steps, buckets, kind)
     share = lambda n, t: F.when(F.col(n) == 0, F.lit(0.0001)).otherwise(F.col(n) / F.col(t))
-    rows = _shares(ref, cur, edges).select("feature", share("n_ref", "t_ref").alias("p"), share("n_cur", "t_cur").alias("q"))
+    rows = _shares(steps, edges).select("feature", share("n_ref", "t_ref").alias("p"), share("n_cur", "t_cur").alias("q"))
     found = rows.groupBy("feature").agg(F.sum((F.col("q") - F.col("p")) * F.ln(F.col("q") / F.col("p"))).alias("psi"))
     return edges.select("feature").join(found, "feature", "left").select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
 
 def kl_divergence(ref: DataFrame, cur: DataFrame, bins: int = 50) -> DataFrame:
     """feature and KL(ref || cur) over equal-width bins; 0 for 10 distinct values or fewer."""
-    many = ref.groupBy("feature").agg(F.count_distinct("x").alias("n_distinct"))
-    rows = _shares(ref, cur, _edges(ref, bins, "width"))
-    own = Window.partitionBy("feature")
+    return _kl(value_steps(ref, cur), bins)
+
+
+def _kl(steps: DataFrame, bins: int = 50) -> DataFrame:
+    many = steps.where("a > 0").groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct"))
+    rows = _shares(steps, _edges(steps, bins, "width"))
+    own = Window.partitionBy("feature")  # over the bins of a feature
     width = F.get("edges", F.col("bucket")) - F.get("edges", F.col("bucket") - 1)
-    density = lambda n: F.coalesce(F.try_divide(F.col(n) / F.sum(n).over(own), width), F.lit(0.0)) + 1e-10
+    density = lambda n: F.coalesce(F.try_divide(F.try_divide(F.col(n), F.sum(n).over(own)), width), F.lit(0.0)) + 1e-10
     rows = rows.select("feature", density("n_ref").alias("p"), density("n_cur").alias("q"))
     rows = rows.select("feature", (F.col("p") / F.sum("p").over(own)).alias("p"), (F.col("q") / F.sum("q").over(own)).alias("q"))
     found = rows.groupBy("feature").agg(F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))).alias("kl"))
@@ -71,24 +113,18 @@ def kl_divergence(ref: DataFrame, cur: DataFrame, bins: int = 50) -> DataFrame:
     return many.join(found, "feature", "left").select("feature", kl.alias("kl"))
 
 
-def _steps(ref: DataFrame, cur: DataFrame) -> DataFrame:
-    """feature, x, both distribution functions at x, and the next value.
+def ks_test(ref: DataFrame, cur: DataFrame) -> DataFrame:
+    """feature, Kolmogorov-Smirnov statistic and the p-value of its limiting series."""
+    return _ks(value_steps(ref, cur))
 
-    Equal values are counted before the running sums.
-    """
-    both = ref.select("feature", "x", F.lit(1).alias("r")).unionByName(cur.select("feature", "x", F.lit(0).alias("r"))).where(F.col("x").isNotNull())
-    counts = both.groupBy("feature", "x").agg(F.sum("r").alias("a"), F.sum(1 - F.col("r")).alias("b"))
-    own, order = Window.partitionBy("feature"), Window.partitionBy("feature").orderBy("x")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(
-        "feature", "x", (F.sum("a").over(upto) / F.sum("a").over(own)).alias("f"), (F.sum("b").over(upto) / F.sum("b").over(own)).alias("g"),
-        F.sum("a").over(own).alias("n"), F.sum("b").over(own).alias("m"), F.lead("x").over(order).alias("next"),
-    )
 
+def _gap() -> Column:
+    """Distance of both distribution functions at a value."""
+    return F.abs(F.try_divide("f_n", "n") - F.try_divide("g_n", "m"))
 
-def ks_test(ref: DataFrame, cur: DataFrame) -> DataFrame:
-    """feature, Kolmogorov-Smirnov statistic and the p-value of its limiting series."""
-    rows = _steps(ref, cur).groupBy("feature").agg(F.max(F.abs(F.col("f") - F.col("g"))).alias("ks"), F.first("n").alias("n"), F.first("m").alias("m"))
+
+def _ks(steps: DataFrame) -> DataFrame:
+    rows = steps.groupBy("feature").agg(F.max(_gap()).alias("ks"), F.max("n").alias("n"), F.max("m").alias("m"))
     t = F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m"))) * F.col("ks")
     terms = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda a, j: a + F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(F.lit(-2.0) * j * j * F.col("t") * F.col("t")))
     p = F.when(F.col("t") < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), terms)))
@@ -97,8 +133,7 @@ def ks_test(ref: DataFrame, cur: DataFrame) -> DataFrame:
 
 def wasserstein(ref: DataFrame, cur: DataFrame) -> DataFrame:
     """feature and the area between the distribution functions."""
-    gap = F.coalesce(F.abs(F.col("f") - F.col("g")) * (F.col("next") - F.col("x")), F.lit(0.0))
-    return _steps(ref, cur).groupBy("feature").agg(F.sum(gap).alias("wasserstein"))
+    return value_steps(ref, cur).groupBy("feature").agg(F.sum(F.coalesce(_gap() * (F.col("next") - F.col("x")), F.lit(0.0))).alias("wasserstein"))
 
 
 def chi_square_p(statistic: Column, dof: Column) -> Column:
@@ -115,8 +150,8 @@ def chi_square_p(statistic: Column, dof: Column) -> Column:
 
 def chi_square(ref: DataFrame, cur: DataFrame, bins: int = 10) -> DataFrame:
     """feature, chi-square statistic over pooled equal-width bins, degrees of freedom, p-value."""
-    edges = _edges(ref.select("feature", "x").unionByName(cur.select("feature", "x")), bins, "width")
-    rows = _shares(ref, cur, edges).where("n_ref + n_cur > 0")
+    steps = value_steps(ref, cur)
+    rows = _shares(steps, _edges(steps, bins, "width", pooled=True)).where("n_ref + n_cur > 0")
     total = F.col("t_ref") + F.col("t_cur")
     column = F.col("n_ref") + F.col("n_cur")
     part = lambda n, t: F.pow(F.col(n) - column * F.col(t) / total, F.lit(2.0)) / (column * F.col(t) / total)
@@ -126,9 +161,10 @@ def chi_square(ref: DataFrame, cur: DataFrame, bins: int = 10) -> DataFrame:
 
 def feature_drift(ref: DataFrame, cur: DataFrame, *, min_n: int = 1000) -> DataFrame:
     """Per feature with `min_n` values or more on both sides: PSI, KL, KS p, drift, confidence."""
-    enough = ref.groupBy("feature").agg(F.count("x").alias("n_ref")).join(cur.groupBy("feature").agg(F.count("x").alias("n_cur")), "feature")
+    steps = value_steps(ref, cur)
+    enough = steps.groupBy("feature").agg(F.max("n").alias("n_ref"), F.max("m").alias("n_cur"))
     enough = enough.where((F.col("n_ref") >= min_n) & (F.col("n_cur") >= min_n))
-    rows = enough.join(psi(ref, cur), "feature").join(kl_divergence(ref, cur), "feature").join(ks_test(ref, cur), "feature")
+    rows = enough.join(_psi(steps), "feature").join(_kl(steps), "feature").join(_ks(steps), "feature")
     drift = (F.col("psi") > PSI_LIMIT) | (F.col("kl") > KL_LIMIT) | (F.col("ks_p") < P_LIMIT)
     confidence = 0.4 * F.least(F.col("psi") / PSI_LIMIT, F.lit(1.0)) + 0.3 * F.least(F.col("kl") / KL_LIMIT, F.lit(1.0)) + 0.3 * (1.0 - F.col("ks_p"))
     return rows.select("feature", "n_ref", "n_cur", "psi", "kl", "ks", "ks_p", drift.alias("drift"), F.least(F.lit(1.0), confidence).alias("confidence"))

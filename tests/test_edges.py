@@ -218,11 +218,27 @@ def test_drift_of_equal_and_constant_samples(spark):
 def test_bucket_edges(spark):
     ref = spark.createDataFrame([("a", float(i)) for i in range(11)], "feature string, x double")
     cur = spark.createDataFrame([("a", 10.0), ("a", 10.5), ("a", -1.0), ("a", 0.0)], "feature string, x double")
-    rows = drift._shares(ref, cur, drift._edges(ref, 10, "quantiles")).orderBy("bucket").collect()
+    steps = drift.value_steps(ref, cur)
+    rows = drift._shares(steps, drift._edges(steps, 10, "quantiles")).orderBy("bucket").collect()
     assert [r.n_cur for r in rows] == [1, 0, 0, 0, 0, 0, 0, 0, 0, 1] and rows[0].t_cur == 4
     assert [r.n_ref for r in rows] == [1] * 9 + [2]
 
 
+def test_value_steps_run_over_parts(spark):
+    rng = np.random.default_rng(2)
+    sides = [[(f, float(x)) for f in "ab" for x in rng.integers(0, 40, n)] + [("c", None)] for n in (500, 300)]
+    ref, cur = (spark.createDataFrame(rows, "feature string, x double") for rows in sides)
+    got = {(r.feature, r.x): r for r in drift.value_steps(ref, cur).collect()}
+    for f in "ab":
+        own = [sorted(x for g, x in rows if g == f) for rows in sides]
+        xs = sorted({*own[0], *own[1]})
+        assert sorted(x for g, x in got if g == f) == xs
+        for x, nx in zip(xs, [*xs[1:], None]):
+            r = got[f, x]
+            assert (r.f_n, r.g_n, r.n, r.m, r.next) == (sum(y <= x for y in own[0]), sum(y <= x for y in own[1]), len(own[0]), len(own[1]), nx)
+    assert drift.ks_test(ref, cur.limit(0)).collect()[0].ks is None
+
+
 def test_chi_square_p(spark):
     got = spark.range(1).select(*[drift.chi_square_p(F.lit(float(x)), F.lit(d)).alias(f"c{k}") for k, (x, d) in enumerate([(3.841459, 1), (16.918978, 9), (18.307038, 10), (0.0, 3)])]).first()
     assert [round(v, 5) for v in got] == [0.05, 0.05, 0.05, 1.0]
