@@ -9,7 +9,7 @@ from ..sources.scratch import materialize, scratch_dir
 __all__ = ["ARROW_BYTES", "arrow_batches", "materialize", "scratch_dir", "shuffle_partitions"]
 
 #: Bytes of one Arrow batch: texts, sets and tiles may be long.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 def arrow_batches(spark: SparkSession, size: int = ARROW_BYTES) -> None:

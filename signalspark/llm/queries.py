@@ -89,8 +89,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, counted and digested, and a digest of the decoded text."""
     model = tokenizer_file("piece_bpe_32k.model")
-    encoded = sentence_pieces.encode(_documents(spark, sf_dir).select("doc_id", "text"), model).select("doc_id", "ids")
-    out = sentence_pieces.ids_digest(sentence_pieces.decode(encoded, model))
+    out = sentence_pieces.round_trip(_documents(spark, sf_dir).select("doc_id", "text"), model)
     return out.select("doc_id", "n_ids", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -15,6 +15,7 @@ merging its characters once, and kept.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -338,16 +339,8 @@ def load_pieces(path: str, unigram: bool = False) -> Pieces:
     return Pieces([model.id_to_piece(i) for i in range(n)], [model.get_score(i) for i in range(n)], byte_ids, model.unk_id(), special, unigram)
 
 
-def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "ids", unigram: bool = False) -> DataFrame:
-    """Add the array `ids_col` of piece ids of every whole text.
-
-    Defined cases: a null text has null ids; an empty one an empty array; unknown
-    characters become byte pieces; an input column named `ids_col` is replaced; an empty
-    table gives an empty table.
-    """
-    arrow_batches(docs.sparkSession)
-    base = docs.drop(ids_col)
-    at, names = base.columns.index(text_col), [*base.columns, ids_col]
+def _encoded(base: list[str], model_path: str, text_col: str, ids_col: str, unigram: bool):
+    at = base.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_pieces(model_path, unigram)
@@ -355,47 +348,82 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col:
             texts = batch.column(at)
             ids, offsets = model.encode(texts)
             given = pa.array(offsets.astype(np.int32), mask=np.r_[texts.is_null().to_numpy(zero_copy_only=False), False])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(given, pa.array(ids.view(np.int32)))], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(given, pa.array(ids.view(np.int32)))], [*base, ids_col])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(run, f"{fields}, `{ids_col}` array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, model_path: str, *, ids_col: str = "ids", text_col: str = "decoded", unigram: bool = False) -> DataFrame:
-    """Add `text_col`, the text of the piece ids; null ids give null, an input column
-    named `text_col` is replaced, ids outside the vocabulary raise an error."""
-    arrow_batches(encoded.sparkSession)
-    base = encoded.drop(text_col)
-    at, names = base.columns.index(ids_col), [*base.columns, text_col]
+def _slices(column: pa.ListArray) -> Iterator[np.ndarray | None]:
+    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    for a, b, valid in zip(offsets[:-1], offsets[1:], column.is_valid().to_pylist()):
+        yield values[a:b] if valid else None
+
+
+def _decoded(base: list[str], model_path: str, ids_col: str, text_col: str, unigram: bool):
+    at = base.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_pieces(model_path, unigram)
         for batch in batches:
-            column = batch.column(at)
-            values, offsets, valid = column.values.to_numpy(), column.offsets.to_numpy(), column.is_valid().to_pylist()
-            texts = [model.decode(values[a:b]) if v else None for a, b, v in zip(offsets[:-1], offsets[1:], valid)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
+            texts = [model.decode(ids) if ids is not None else None for ids in _slices(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*base, text_col])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(run, f"{fields}, `{text_col}` string")
+    return run
 
 
-def ids_digest(encoded: DataFrame, *, ids_col: str = "ids", name: str = "ids_crc32") -> DataFrame:
-    """Replace the ids by their count `n_ids` and the CRC-32 of their little-endian 32-bit form."""
-    import zlib
-
-    base = encoded.drop("n_ids", name)
-    at = base.columns.index(ids_col)
-    rest = [c for c in base.columns if c != ids_col]
+def _digested(base: list[str], ids_col: str, name: str):
+    at = base.index(ids_col)
+    rest = [c for c in base if c != ids_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(at)
-            values, offsets, valid = column.values.to_numpy(), column.offsets.to_numpy(), column.is_valid().to_pylist()
-            crc = [zlib.crc32(values[a:b].astype("<u4").tobytes()) if v else None for a, b, v in zip(offsets[:-1], offsets[1:], valid)]
-            count = [int(b - a) if v else None for a, b, v in zip(offsets[:-1], offsets[1:], valid)]
+            own = list(_slices(batch.column(at)))
+            crc = [zlib.crc32(ids.astype("<u4").tobytes()) if ids is not None else None for ids in own]
+            count = [len(ids) if ids is not None else None for ids in own]
             others = [c for k, c in enumerate(batch.columns) if k != at]
             yield pa.RecordBatch.from_arrays([*others, pa.array(count, pa.int64()), pa.array(crc, pa.int64())], [*rest, "n_ids", name])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != ids_col)
-    return base.mapInArrow(run, f"{fields}, n_ids long, `{name}` long")
+    return run
+
+
+def _fields(df: DataFrame, *without: str) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name not in without)
+
+
+def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "ids", unigram: bool = False) -> DataFrame:
+    """Add the array `ids_col` of piece ids of every whole text.
+
+    Defined cases: a null text has null ids; an empty one an empty array; unknown
+    characters become byte pieces; repeated rows are encoded alike; an input column named
+    `ids_col` is replaced; an empty table gives an empty table.
+    """
+    arrow_batches(docs.sparkSession)
+    base = docs.drop(ids_col)
+    return base.mapInArrow(_encoded(base.columns, model_path, text_col, ids_col, unigram), f"{_fields(base)}`{ids_col}` array<int>")
+
+
+def decode(encoded: DataFrame, model_path: str, *, ids_col: str = "ids", text_col: str = "decoded", unigram: bool = False) -> DataFrame:
+    """Add `text_col`, the text of the piece ids; null ids give null, an input column
+    named `text_col` is replaced, ids outside the vocabulary raise an error; an empty
+    table gives an empty table."""
+    arrow_batches(encoded.sparkSession)
+    base = encoded.drop(text_col)
+    return base.mapInArrow(_decoded(base.columns, model_path, ids_col, text_col, unigram), f"{_fields(base)}`{text_col}` string")
+
+
+def ids_digest(encoded: DataFrame, *, ids_col: str = "ids", name: str = "ids_crc32") -> DataFrame:
+    """Replace the ids by their count `n_ids` and the CRC-32 of their little-endian 32-bit
+    form, null for null ids; input columns of these names are replaced."""
+    arrow_batches(encoded.sparkSession)
+    base = encoded.drop("n_ids", name)
+    return base.mapInArrow(_digested(base.columns, ids_col, name), f"{_fields(base, ids_col)}n_ids long, `{name}` long")
+
+
+def round_trip(docs: DataFrame, model_path: str, *, text_col: str = "text", unigram: bool = False) -> DataFrame:
+    """ids_digest(decode(encode(docs))) in one pass of one Python worker; cases as there."""
+    arrow_batches(docs.sparkSession)
+    base = docs.drop("ids", "decoded", "n_ids", "ids_crc32")
+    first = _encoded(base.columns, model_path, text_col, "ids", unigram)
+    then = _decoded([*base.columns, "ids"], model_path, "ids", "decoded", unigram)
+    last = _digested([*base.columns, "ids", "decoded"], "ids", "ids_crc32")
+    return base.mapInArrow(lambda batches: last(then(first(batches))), f"{_fields(base)}decoded string, n_ids long, ids_crc32 long")

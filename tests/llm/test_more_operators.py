@@ -228,6 +228,8 @@ def test_pieces_equal_the_library(spark, library):
             assert r.ids == library.encode(r.text)
             assert r.decoded == library.decode(r.ids) == r.text.replace("▁", " ")
     assert sentence_pieces.encode(docs.limit(0), path).count() == 0
+    apart = sentence_pieces.ids_digest(sentence_pieces.decode(encoded, path))
+    assert sorted(map(repr, sentence_pieces.round_trip(docs, path).select(*apart.columns).collect())) == sorted(map(repr, apart.collect()))
 
 
 def test_unigram_viterbi_against_search():
