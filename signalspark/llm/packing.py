@@ -18,9 +18,9 @@ from ._shared import arrow_batches, materialize
 
 _CACHE: dict = {}
 #: Words in a generation of a Python worker's cache, of which two are kept.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Bytes of text that are tokenized at once.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Texts that do not go word by word: characters beyond Latin-1, which the normalizer may
 #: compose, white space that libraries see differently, and marks of special tokens.
 _WHOLE = r"[^\x00-\x1b\x20-\x{84}\x{86}-\x{9f}\x{a1}-\x{ff}]|<\|"

@@ -182,8 +182,8 @@ def linked_fingerprints(distinct: DataFrame, *, radius: int = 3, tile: int = TIL
 TASK_PAIRS = 512
 
 
-def tile_pairs(tiles: DataFrame, pairs: DataFrame, payload: str) -> DataFrame:
-    """The payloads (x, y) of the tiles of `pairs` (a, b), which were chosen without them.
+def tile_pairs(tiles: DataFrame, pairs: DataFrame, *payloads: str) -> DataFrame:
+    """The payloads (each of the left and of the right) of the tiles of `pairs` (a, b), which were chosen without them.
 
     A left tile crosses the shuffle once, a right one once for each pair that was left.
     The comparison takes long for few bytes, so that its tasks are counted in pairs.
@@ -191,8 +191,9 @@ def tile_pairs(tiles: DataFrame, pairs: DataFrame, payload: str) -> DataFrame:
     spark = tiles.sparkSession
     pairs = materialize(pairs, "tile-pairs")
     n = max(2 * shuffle_partitions(spark), spark.sparkContext.defaultParallelism * 3, -(-pairs.count() // TASK_PAIRS))
-    side = lambda key, name: tiles.select(F.col("tid").alias(key), F.col(payload).alias(name))
-    return pairs.join(side("b", "y"), "b").repartition(n, "a").join(side("a", "x"), "a").select("x", "y")
+    side = lambda key: tiles.select(F.col("tid").alias(key), *[F.col(p).alias(f"{key}_{p}") for p in payloads])
+    met = pairs.join(side("b"), "b").repartition(n, "a").join(side("a"), "a")
+    return met.select(*[f"{key}_{p}" for p in payloads for key in "ab"])
 
 
 def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:

@@ -87,3 +87,23 @@ def test_repeated_ids_with_other_texts_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, __key int")
     got = [(r.doc_id, r.text) for r in near_copies.drop_near_copies(docs).collect()]
     assert sorted(got, key=repr) == sorted([(1, one), (1, two), (None, one), (None, one)], key=repr)
+
+
+def test_sketches_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        common = rng.integers(0, 2**63, rng.integers(0, 3000), dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([common, rng.integers(0, 2**63, rng.integers(1, 800), dtype=np.uint64)])) for _ in range(2))
+        apart = int(near_copies._apart(near_copies.sketch(a)[None, :], near_copies.sketch(b)[None, :])[0])
+        assert apart <= len(np.setxor1d(a, b))
+
+
+def test_close_but_not_similar_texts_emit_no_pairs(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    rows = []
+    for k in range(60):  # near in SimHash, Jaccard about 0.6
+        own = np.unique(np.concatenate([base[rng.random(400) < 0.87], rng.integers(0, 2**63, 50, dtype=np.uint64)]))
+        rows.append((near_copies._simhash(own), k, k, len(own), bytearray(near_copies.sketch(own).tobytes())))
+    frame = spark.createDataFrame(rows, "fp long, sid long, label long, size long, sketch binary")
+    assert near_copies._near_pairs(frame, 40, 16).count() < 60
