@@ -77,37 +77,77 @@ def negative_probs(items: DataFrame, counts: DataFrame, strategy: str = "adaptiv
     return rows.join(F.broadcast(total)).select("item_id", F.coalesce(F.try_divide("w", "total"), F.lit(0.0)).alias("p"))
 
 
-def sample_negatives(samples: DataFrame, history: DataFrame, probs: DataFrame, n: int = 5, *, seed: int = 42, spread: int = 64) -> DataFrame:
-    """(sample_id, item_id, draw) : `n` distinct negatives per sample, none in the user's
+def cumulative(probs: DataFrame) -> DataFrame:
+    """item_id, p and its range [lo, hi) of running sums of p in order of item_id.
+
+    Range-partitioned: each part sums its own rows and adds the total of the parts before it.
+    """
+    parts = int(probs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(probs.where("p > 0").select("item_id", "p").repartitionByRange(parts, "item_id").withColumn("__part", F.spark_partition_id()), "ranged-weights")
+    own = Window.partitionBy("__part").orderBy("item_id").rowsBetween(Window.unboundedPreceding, 0)
+    totals = ranged.groupBy("__part").agg(F.sum("p").alias("__sum"))
+    # One row per part.
+    before = totals.select("__part", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("__before"))
+    rows = ranged.withColumn("__upto", F.sum("p").over(own)).join(F.broadcast(before), "__part")
+    hi = F.col("__before") + F.col("__upto")
+    return rows.select("item_id", "p", (hi - F.col("p")).alias("lo"), hi.alias("hi"))
+
+
+def sample_negatives(samples: DataFrame, history: DataFrame, probs: DataFrame, n: int = 5, *, seed: int = 42, attempts: int = 40) -> DataFrame:
+    """(sample_id, item_id, draw): `n` distinct negatives per sample, none in the user's
     history and not the positive, drawn by weight without replacement.
 
-    Each sample meets one of `spread` pools of the catalog (by hash of the sample's id);
-    within a pool an item's key is -ln(u) / p with u a hash of (sample, item, seed), and
-    the smallest keys win, which is weighted drawing without replacement.  With
-    spread = 1 the pool is the whole catalog.  A sample whose pool runs short gets fewer.
+    Attempt t of a sample is a hash-uniform point that falls into one item's range of the
+    running weights; the first `n` distinct eligible items count.  Points find their item by
+    a join on equal slices of the weights, of which a heavy item covers several.  A sample
+    still short after `attempts` (its eligible items are few or light) goes on by exponential
+    keys -ln(u) / p over all items left to it, so that it gets `n` unless fewer are eligible.
     """
-    pool = F.pmod(F.xxhash64(F.lit(seed), F.col("item_id")), F.lit(spread)) if spread > 1 else F.lit(0).cast("long")
-    pools = probs.where("p > 0").groupBy(pool.alias("pool")).agg(F.collect_list(F.struct("item_id", "p")).alias("items"))
-    own = F.pmod(F.xxhash64("sample_id"), F.lit(spread)) if spread > 1 else F.lit(0).cast("long")
+    items = materialize(cumulative(probs), "weights")
+    size, total = items.agg(F.count(F.lit(1)), F.max("hi")).first()
+    slices = max(1, size)
+    cut = lambda x: F.floor(x / F.lit(float(total or 1.0)) * slices).cast("long")
+    ranges = items.select("item_id", "lo", "hi", F.explode(F.sequence(cut(F.col("lo")), cut(F.col("hi")))).alias("slice"))
+    asked = samples.select("sample_id", "user_id", "item_id")
+    points = asked.select("sample_id", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("t"))
+    points = points.withColumn("at", uniform_hash(F.col("sample_id"), F.col("t"), F.lit(seed)) * F.lit(float(total or 0.0)))
+    hits = points.withColumn("slice", cut(F.col("at"))).join(ranges, "slice").where((F.col("lo") <= F.col("at")) & (F.col("at") < F.col("hi")))
+    drawn = hits.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("t", "item_id"))).alias("drawn"))
     seen = history.select("user_id", F.transform("history", lambda x: x["item_id"]).alias("seen"))
-    rows = samples.select("sample_id", "user_id", "item_id", own.alias("pool")).join(pools, "pool").join(seen, "user_id", "left")
-    pairs = rows.select("sample_id", F.col("item_id").alias("positive"), "seen", F.explode("items").alias("c"))
-    pairs = pairs.where((F.col("c.item_id") != F.col("positive")) & ~F.coalesce(F.array_contains("seen", F.col("c.item_id")), F.lit(False)))
-    u = F.greatest(uniform_hash(F.col("sample_id"), F.col("c.item_id"), F.lit(seed)), F.lit(1e-12))
-    keyed = pairs.select("sample_id", F.col("c.item_id").alias("item_id"), (-F.ln(u) / F.col("c.p")).alias("key"))
+    none = F.array().cast(seen.schema["seen"].dataType)
+    rows = asked.join(drawn, "sample_id", "left").join(seen, "user_id", "left").select(
+        "sample_id", F.array_append(F.coalesce("seen", none), F.col("item_id")).alias("taken"),
+        F.coalesce(F.array_distinct(F.transform("drawn", lambda x: x["item_id"])), none).alias("drawn"),
+    )
+    rows = materialize(rows.select("sample_id", "taken", F.slice(F.array_except("drawn", "taken"), 1, n).alias("drawn")), "drawn")
+    first = rows.select("sample_id", F.posexplode("drawn").alias("draw", "item_id")).select("sample_id", "item_id", (F.col("draw") + 1).alias("draw"))
+    short = rows.where(F.size("drawn") < n)
+    # Few samples meet the whole catalog, in parts; a part keeps `n` of a sample.
+    met = short.select("sample_id", "taken", "drawn", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("part")).join(items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(64)).cast("int")), "part")
+    met = met.where(~F.array_contains("taken", F.col("item_id")) & ~F.array_contains("drawn", F.col("item_id")))
+    u = F.greatest(uniform_hash(F.col("sample_id"), F.col("item_id"), F.lit(seed)), F.lit(1e-12))
     best = Window.partitionBy("sample_id").orderBy("key", "item_id")
-    return keyed.withColumn("draw", F.row_number().over(best)).where(F.col("draw") <= n).select("sample_id", "item_id", "draw")
+    rest = met.select("sample_id", "item_id", F.size("drawn").alias("had"), (-F.ln(u) / F.col("p")).alias("key")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= n)
+    return first.unionByName(rest.where(F.col("nth") + F.col("had") <= n).select("sample_id", "item_id", (F.col("nth") + F.col("had")).alias("draw")))
 
 
 def assemble_samples(samples: DataFrame, negatives: DataFrame, user_features: DataFrame, item_features: DataFrame) -> DataFrame:
     """Samples with user and item features and an array of their negatives' features.
-    Samples of unknown users or items are dropped."""
+    Samples of unknown users or items are dropped (unknown_samples counts them)."""
     item = item_features.select("item_id", F.struct(*[c for c in item_features.columns]).alias("item"))
     user = user_features.select("user_id", F.struct(*[c for c in user_features.columns]).alias("user"))
     packed = negatives.join(item, "item_id").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("draw", "item"))).alias("negatives"))
     return samples.join(user, "user_id").join(item, "item_id").join(packed, "sample_id", "left")
 
 
+def unknown_samples(samples: DataFrame, user_features: DataFrame, item_features: DataFrame) -> DataFrame:
+    """One row: samples, those of unknown users, of unknown items, and those dropped by either."""
+    known = lambda df, key, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    rows = samples.join(known(user_features, "user_id", "__u"), "user_id", "left").join(known(item_features, "item_id", "__i"), "item_id", "left")
+    no_user, no_item = F.col("__u").isNull(), F.col("__i").isNull()
+    return rows.agg(F.count(F.lit(1)).alias("samples"), F.count_if(no_user).alias("unknown_users"), F.count_if(no_item).alias("unknown_items"), F.count_if(no_user | no_item).alias("dropped"))
+
+
 def split(df: DataFrame, key: str, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), *, seed: int = 42, mode: str = "shuffled", order: list[str] | None = None) -> DataFrame:
     """Add split (train, validation, test) with exact sizes int(n * ratio).
 
@@ -127,6 +167,20 @@ def split(df: DataFrame, key: str, ratios: tuple[float, float, float] = (0.8, 0.
     return rows.join(F.broadcast(n)).withColumn("split", name(F.col("__at"), first, second)).drop("__u", "__at", "__total")
 
 
+def split_sizes(split_rows: DataFrame) -> DataFrame:
+    """split and its number of rows."""
+    return split_rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_splits(split_rows: DataFrame, path: str) -> DataFrame:
+    """Write one folder per split (split=train, ...) under `path` and its sizes under
+    `path`_sizes; returns the sizes."""
+    split_rows.write.mode("overwrite").partitionBy("split").parquet(path)
+    spark = split_rows.sparkSession
+    split_sizes(spark.read.parquet(path)).coalesce(1).write.mode("overwrite").json(f"{path}_sizes")
+    return spark.read.schema("split string, n long").json(f"{path}_sizes")
+
+
 def shard(df: DataFrame, world_size: int, *order: str) -> DataFrame:
     """Add rank: equal shards in turn; the remainder is dropped."""
     rows = number_rows(df, *order, name="__at")
@@ -148,13 +202,18 @@ def collate(df: DataFrame, batch_size: int, *order: str, col: str = "items") ->
 def train_factors(interactions: DataFrame, rank: int = 16, *, seed: int = 42, iterations: int = 5) -> tuple[DataFrame, DataFrame]:
     """(user factors, item factors) of implicit matrix factorization, at unit length.
 
-    Columns: user_id or item_id (integers) and embedding.
+    Columns: user_id or item_id (of any type; they are indexed for the factorization, which
+    takes integers) and embedding.  Rows with a null id take no part.
     """
-    counts = interactions.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).cast("float").alias("n"))
-    ids = counts.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), "n")
-    model = ALS(rank=rank, maxIter=iterations, implicitPrefs=True, userCol="user_id", itemCol="item_id", ratingCol="n", seed=seed).fit(ids)
-    side = lambda df, name: df.select(F.col("id").alias(name), unit(F.col("features").cast("array<double>")).alias("embedding"))
-    return side(model.userFactors, "user_id"), side(model.itemFactors, "item_id")
+    counts = interactions.where("user_id is not null and item_id is not null").groupBy("user_id", "item_id").agg(F.count(F.lit(1)).cast("float").alias("n"))
+    users, items = (materialize(id_map(counts, c), f"{c}-map") for c in ("user_id", "item_id"))
+    ids = counts.join(users, "user_id").join(items, "item_id").select(F.col("user_id_index").cast("int").alias("u"), F.col("item_id_index").cast("int").alias("i"), "n")
+    model = ALS(rank=rank, maxIter=iterations, implicitPrefs=True, userCol="u", itemCol="i", ratingCol="n", seed=seed).fit(ids)
+
+    def side(factors: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+        return factors.join(ids, F.col("id") == F.col(f"{name}_index")).select(name, unit(F.col("features").cast("array<double>")).alias("embedding"))
+
+    return side(model.userFactors, users, "user_id"), side(model.itemFactors, items, "item_id")
 
 
 def mean_pool_history(history: DataFrame, item_vectors: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """Queries of training sets and offline evaluation (G)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rounded
 from ..operators import training as op
 from ..sources import fixtures as fx
+from ..sources.scratch import scratch_dir
 from .registry import query
 
 _KEPT = """pairs as (select distinct user_id, item_id, event_ts from train_interactions),
@@ -13,9 +16,16 @@ kept as (select * from by_user where item_id in (select item_id from by_user gro
 _HISTORY = f"{_KEPT}, history as (select user_id, list(struct_pack(t := event_ts, i := item_id) order by event_ts, item_id) as h from kept group by user_id)"
 _DRAWN = """samples as (select event_id as sample_id, user_id, item_id from interactions where event_type = 'purchase'),
 counts as (select item_id, count(*) as n from interactions group by 1), weights as (select item_id, 1.0::double / (n + 1) as w from counts), probs as (select item_id, w / sum(w) over () as p from weights),
-pairs_ as (select s.sample_id, p.item_id, -ln(greatest(('0x' || substr(md5(s.sample_id || '|' || p.item_id || '|42'), 1, 8))::bigint / 4294967296.0::double, 1e-12)) / p.p as key
-  from samples s, probs p where p.item_id <> s.item_id and not exists (select 1 from interactions i where i.user_id = s.user_id and i.item_id = p.item_id)),
-drawn as (select sample_id, item_id, row_number() over (partition by sample_id order by key, item_id)::int as draw from pairs_ qualify draw <= 5)"""
+cum as (select item_id, p, sum(p) over (order by item_id rows unbounded preceding) as hi from probs),
+points as (select s.sample_id, t, ('0x' || substr(md5(s.sample_id || '|' || t || '|42'), 1, 8))::bigint / 4294967296.0::double * (select max(hi) from cum) as pt from samples s, range(1, 41) r(t)),
+ends as (select item_id, hi - p as lo from cum),
+tries as (select sample_id, t, item_id from points asof join ends on pt >= lo),
+eligible as (select s.sample_id, p.item_id, p.p from samples s, probs p where p.item_id <> s.item_id and not exists (select 1 from interactions i where i.user_id = s.user_id and i.item_id = p.item_id)),
+early as (select sample_id, item_id, row_number() over (partition by sample_id order by min(t))::int as draw from tries join eligible using (sample_id, item_id) group by sample_id, item_id qualify draw <= 5),
+had as (select sample_id, coalesce(max(draw), 0) as h from samples left join early using (sample_id) group by 1),
+late as (select e.sample_id, e.item_id, (h + row_number() over (partition by e.sample_id order by -ln(greatest(('0x' || substr(md5(e.sample_id || '|' || e.item_id || '|42'), 1, 8))::bigint / 4294967296.0::double, 1e-12)) / e.p, e.item_id))::int as draw
+  from eligible e join had using (sample_id) anti join early y on y.sample_id = e.sample_id and y.item_id = e.item_id qualify draw <= 5),
+drawn as (select * from early union all select * from late)"""
 
 
 def _kept(spark, d):
@@ -26,11 +36,11 @@ def _samples(spark, d):
     return fx.interactions(spark, d).where("event_type = 'purchase'").select(F.col("event_id").alias("sample_id"), "user_id", "item_id")
 
 
-def _negatives(spark, d, spread=1):
+def _negatives(spark, d):
     i = fx.interactions(spark, d)
     probs = op.negative_probs(i.select("item_id"), op.item_counts(i), "adaptive")
     history = op.user_history(i.select("user_id", "item_id", F.col("ts").alias("event_ts")))
-    return op.sample_negatives(_samples(spark, d), history, probs, 5, spread=spread)
+    return op.sample_negatives(_samples(spark, d), history, probs, 5)
 
 
 @query("g1_preprocess", f"with {_KEPT} select user_id, item_id, event_ts from kept")
@@ -96,6 +106,15 @@ def g8(spark, d):
     return rounded(out.select("sample_id", "user.n_events", "item.price", F.coalesce(F.size("negatives"), F.lit(-1)).alias("n_negatives"), total.alias("total")))
 
 
+@query(
+    "g8_unknown_samples",
+    "select count(*) as samples, count(*) filter (user_no % 7 = 0) as unknown_users, count(*) filter (k % 5 = 0) as unknown_items, count(*) filter (user_no % 7 = 0 or k % 5 = 0) as dropped from interactions where event_type = 'purchase'",
+)
+def g8_unknown(spark, d):
+    i = fx.interactions(spark, d)
+    return op.unknown_samples(_samples(spark, d), i.where("user_no % 7 <> 0").select("user_id"), i.where("k % 5 <> 0").select("item_id"))
+
+
 @query(
     "g9_split",
     """with o as (select event_id, row_number() over (order by ('0x' || substr(md5(event_id || '|42'), 1, 8))::bigint, event_id) - 1 as pos, count(*) over () as n from events)
@@ -105,6 +124,24 @@ def g9(spark, d):
     return op.split(fx.table(spark, d, "events").select("event_id"), "event_id")
 
 
+@query(
+    "g9_split_sizes",
+    """with o as (select event_id, row_number() over (order by event_id) - 1 as pos, count(*) over () as n from events)
+    select case when pos < floor(n * 0.8) then 'train' when pos < floor(n * 0.8) + floor(n * 0.1) then 'validation' else 'test' end as split, count(*) as n from o group by 1""",
+)
+def g9_sizes(spark, d):
+    rows = op.split(fx.table(spark, d, "events").select("event_id"), "event_id", mode="position")
+    return op.write_splits(rows, f"{scratch_dir(spark)}/splits-{uuid.uuid4().hex}")
+
+
+@query(
+    "g9_split_buckets",
+    "with o as (select event_id, ('0x' || substr(md5(event_id || '|42'), 1, 8))::bigint / 4294967296.0::double as u from events) select event_id, case when u < 0.8::double then 'train' when u < 0.8::double + 0.1::double then 'validation' else 'test' end as split from o",
+)
+def g9_buckets(spark, d):
+    return op.split(fx.table(spark, d, "events").select("event_id"), "event_id", mode="buckets")
+
+
 @query("g10_shard", "with o as (select event_id, row_number() over (order by event_id) - 1 as pos, count(*) over () as n from events) select event_id, (pos % 7)::int as rank from o where pos < n - n % 7")
 def g10(spark, d):
     return op.shard(fx.table(spark, d, "events").select("event_id"), 7, "event_id")

@@ -188,10 +188,10 @@ def test_training_edges(spark):
     items = spark.createDataFrame([(1,), (2,), (3,)], "item_id long")
     probs = training.negative_probs(items, training.item_counts(df), "uniform")
     samples = df.withColumn("sample_id", F.monotonically_increasing_id())
-    drawn = training.sample_negatives(samples, training.user_history(df), probs, 5, spread=1)
+    drawn = training.sample_negatives(samples, training.user_history(df), probs, 5)
     found = drawn.join(samples.select("sample_id", "user_id"), "sample_id").groupBy("user_id").agg(F.collect_set("item_id").alias("s")).collect()
     assert {r.user_id: sorted(r.s) for r in found} == {"u": [3], "v": [1, 3]}  # history covers the rest: short rows
-    assert training.sample_negatives(samples, training.user_history(df), training.negative_probs(items, training.item_counts(df), "popular"), 5, spread=2).where("item_id = 3").count() == 0
+    assert training.sample_negatives(samples, training.user_history(df), training.negative_probs(items, training.item_counts(df), "popular"), 5).where("item_id = 3").count() == 0
     with pytest.raises(ValueError):
         training.negative_probs(items, training.item_counts(df), "other")
     with pytest.raises(ValueError):
@@ -321,3 +321,27 @@ def test_list_quality_of_one_item(spark):
     pop = spark.createDataFrame([("i", 3.0), ("j", 1.0)], "item_id string, popularity double")
     got = {r.request_id: (r.diversity, round(r.novelty, 3)) for r in recommend.list_quality(recs, vecs, pop).collect()}
     assert got == {"r": (None, 0.415), "s": (1.0, 1.208)}
+
+
+def test_negatives_are_whole_and_follow_the_weights(spark):
+    samples = spark.createDataFrame([(s, f"u{s % 3}", 0) for s in range(400)], "sample_id long, user_id string, item_id long")
+    history = spark.createDataFrame([("u0", [(at(0), i) for i in range(1, 18)]), ("u1", [(at(0), 1)])], "user_id string, history array<struct<event_ts: timestamp_ntz, item_id: long>>")
+    probs = spark.createDataFrame([(i, 0.5 if i == 1 else 0.5 / 19) for i in range(20)], "item_id long, p double")
+    for attempts in (1, 40):  # the exact way alone, or almost never
+        got = {}
+        for r in training.sample_negatives(samples, history, probs, 5, attempts=attempts).collect():
+            got.setdefault(r.sample_id, []).append((r.draw, r.item_id))
+        for s in range(400):
+            left = {18, 19} if s % 3 == 0 else set(range(2, 20)) if s % 3 == 1 else set(range(1, 20))
+            draws = sorted(got[s])
+            assert [d for d, _ in draws] == list(range(1, min(5, len(left)) + 1))
+            assert len({i for _, i in draws}) == len(draws) and {i for _, i in draws} <= left
+        first = [sorted(got[s])[0][1] == 1 for s in range(2, 400, 3)]
+        assert 0.4 < np.mean(first) < 0.65  # u2: half of the weight is on item 1
+
+
+def test_factors_of_ids_of_any_type(spark):
+    rows = [(f"u{k % 5}", 10_000_000_000 + k % 7) for k in range(70)] + [(None, 1)]
+    users, items = training.train_factors(spark.createDataFrame(rows, "user_id string, item_id long"), 4)
+    assert {r.user_id for r in users.collect()} == {f"u{k}" for k in range(5)}
+    assert {r.item_id for r in items.collect()} == {10_000_000_000 + k for k in range(7)}
