@@ -11,8 +11,31 @@ from ..functions.scalars import safe_ratio
 EVENT_TYPES = ("view", "click", "purchase", "like", "share", "add_to_cart", "remove_from_cart")
 ENTITY_TYPES = ("user", "item", "category", "session")
 UPDATE_TYPES = ("incremental", "full", "delete")
+MODEL_UPDATE_TYPES = ("full_retrain", "incremental", "parameters_only", "architecture_change")
+DEPLOYMENT_STATES = ("pending", "deploying", "active", "failed", "rolled_back")
 EVENT_SCHEMA = "event_id string, user_id string, session_id string, event_type string, item_id string, item_category string"
 
+#: By contract: fields as decoded, and those that must be there, with their domain if any.
+SCHEMAS = {
+    "user_event": EVENT_SCHEMA,
+    "feature_update": "event_id string, entity_type string, entity_id string, features map<string,string>, timestamp long, version int, update_type string, ttl_seconds int",
+    "model_update": "event_id string, model_name string, model_version string, update_type string, model_metadata map<string,string>, performance_metrics map<string,double>, timestamp long, deployment_status string",
+    "recommendation_request": (
+        "request_id string, user_id string, session_id string, request_context struct<page_type: string, num_recommendations: int, filters: map<string,string>, candidate_pool: array<string>>, "
+        "timestamp long, ab_test_info struct<experiment_id: string, variant: string, traffic_split: double>"
+    ),
+}
+REQUIRED: dict[str, dict[str, tuple[str, ...] | None]] = {
+    "user_event": {"event_id": None, "user_id": None, "session_id": None, "event_type": EVENT_TYPES, "item_id": None},
+    "feature_update": {"event_id": None, "entity_type": ENTITY_TYPES, "entity_id": None, "features": None, "timestamp": None, "version": None, "update_type": UPDATE_TYPES},
+    "model_update": {
+        "event_id": None, "model_name": None, "model_version": None, "update_type": MODEL_UPDATE_TYPES, "model_metadata": None, "performance_metrics": None, "timestamp": None, "deployment_status": DEPLOYMENT_STATES,
+    },
+    "recommendation_request": {"request_id": None, "user_id": None, "session_id": None, "request_context": None, "timestamp": None},
+}
+#: Values that an absent field takes.
+DEFAULTS = {"feature_update": {"update_type": "incremental"}, "recommendation_request": {"request_context.num_recommendations": 10}}
+
 
 def decode_events(df: DataFrame, *, value_col: str = "msg_value", schema: str = EVENT_SCHEMA) -> DataFrame:
     """Add `event` (struct) and `decode_ok`; an undecodable value gives null fields."""
@@ -20,6 +43,36 @@ def decode_events(df: DataFrame, *, value_col: str = "msg_value", schema: str =
     return df.withColumn("event", parsed).withColumn("decode_ok", F.col("event").isNotNull() & F.col("event._corrupt").isNull())
 
 
+def decode_contracts(df: DataFrame, *, value_col: str = "msg_value", contract_col: str = "contract") -> DataFrame:
+    """Add one struct for each contract, filled where `contract_col` names it, and
+    decode_ok; absent fields take their defaults, an unknown contract is not decodable."""
+    out, ok = df, F.lit(False)
+    for name, schema in SCHEMAS.items():
+        own = F.col(contract_col) == name
+        out = out.withColumn(name, F.from_json(F.when(own, F.col(value_col)), f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+        for field, value in DEFAULTS.get(name, {}).items():
+            parent = F.col(f"{name}.{field}".rpartition(".")[0])
+            filled = F.col(name).withField(field, F.coalesce(F.col(f"{name}.{field}"), F.lit(value)))
+            out = out.withColumn(name, F.when(F.col(f"{name}._corrupt").isNull() & parent.isNotNull(), filled).otherwise(F.col(name)))
+        ok = F.when(own, F.col(name).isNotNull() & F.col(f"{name}._corrupt").isNull()).otherwise(ok)
+    return out.withColumn("decode_ok", F.coalesce(ok, F.lit(False)))
+
+
+def contract_reasons(df: DataFrame, *, contract_col: str = "contract") -> DataFrame:
+    """Rows of decode_contracts with `reasons` why they break their contract, empty if they do not."""
+    found = F.lit(None).cast("array<string>")
+    for name, fields in REQUIRED.items():
+        found = F.when(F.col(contract_col) == name, _reasons(fields, F.col(name))).otherwise(found)
+    known = F.coalesce(F.col(contract_col).isin(*SCHEMAS), F.lit(False))
+    return df.withColumn("reasons", F.when(~known, F.array(F.lit("unknown contract"))).when(~F.col("decode_ok"), F.array(F.lit("undecodable"))).otherwise(found))
+
+
+def validate_contracts(df: DataFrame, *, contract_col: str = "contract") -> tuple[DataFrame, DataFrame]:
+    """(valid, invalid) rows of decode_contracts; the invalid carry `reasons`."""
+    checked = contract_reasons(df, contract_col=contract_col)
+    return checked.where(F.size("reasons") == 0).drop("reasons"), checked.where(F.size("reasons") > 0)
+
+
 def route_event_type(df: DataFrame, *, topic_col: str = "topic", headers_col: str | None = None) -> DataFrame:
     """Add `contract`: from the topic's name, else from the header event_type, else null."""
     topic = F.col(topic_col)
@@ -33,7 +86,9 @@ def _reasons(fields: dict[str, tuple[str, ...] | None], struct: Column) -> Colum
     out = []
     for name, domain in fields.items():
         value = struct[name]
-        out.append(F.when(value.isNull() | (value == ""), F.lit(f"missing {name}")))
+        # Ids and enumerations are texts, of which an empty one counts as missing.
+        empty = value.cast("string") == "" if domain or name.endswith(("_id", "_name", "_version")) else F.lit(False)
+        out.append(F.when(value.isNull() | empty, F.lit(f"missing {name}")))
         if domain:
             out.append(F.when(value.isNotNull() & (value != "") & ~value.isin(*domain), F.concat(F.lit(f"bad {name}: "), value)))
     return F.filter(F.array(*out), lambda x: x.isNotNull())

@@ -106,10 +106,19 @@ def historical_features(log: DataFrame, names: list[str], start: Column, end: Co
     return rows.groupBy("entity_type", "entity_id", "feature_ts").agg(*firsts)
 
 
-def feature_statistics(log: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Statistics of the active values per feature; without a numeric value only the count."""
+def feature_statistics(log: DataFrame, names: list[str] | None = None, *, entity_type: str | None = None, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Statistics of the active values per feature; without a numeric value only the count.
+
+    `entity_type` and the closed time range [start, end] choose among the active rows.
+    """
     x = F.col("value").try_cast("double")
-    rows = _last_written(log if names is None else log.where(F.col("feature_name").isin(names)), "value").withColumn("x", x)
+    rows = _last_written(log if names is None else log.where(F.col("feature_name").isin(names)), "value", "feature_ts").withColumn("x", x)
+    if entity_type is not None:
+        rows = rows.where(F.col("entity_type") == entity_type)
+    if start is not None:
+        rows = rows.where(F.col("feature_ts") >= start)
+    if end is not None:
+        rows = rows.where(F.col("feature_ts") <= end)
     q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     stats = rows.groupBy("feature_name").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("x").alias("n_values"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), q.alias("q")
@@ -117,6 +126,12 @@ def feature_statistics(log: DataFrame, names: list[str] | None = None) -> DataFr
     return stats.select("feature_name", "n_rows", "n_values", "mean", "std", "min", "max", F.col("q")[1].alias("median"), F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"))
 
 
+def write_export(exported: DataFrame, path: str) -> DataFrame:
+    """Write an export as Parquet to `path` and read it back."""
+    exported.write.mode("overwrite").parquet(path)
+    return exported.sparkSession.read.parquet(path)
+
+
 def export_features(log: DataFrame, names: list[str], *, start: Column | None = None, end: Column | None = None, entity_type: str = "user") -> DataFrame:
     """Active rows of an entity type as a wide table: entity_id, feature_ts, a column per feature."""
     rows = _last_written(log.where((F.col("entity_type") == entity_type) & F.col("feature_name").isin(names)), "value", "feature_ts")
@@ -140,6 +155,12 @@ def retain(log: DataFrame, cutoff: Column) -> DataFrame:
     return with_active(log).where(F.col("is_active") | (F.col("feature_ts") >= cutoff)).drop("is_active")
 
 
+def retained_counts(log: DataFrame, cutoff: Column) -> DataFrame:
+    """One row: rows that `retain` keeps and deletes."""
+    gone = ~F.col("is_active") & (F.col("feature_ts") < cutoff)
+    return with_active(log).agg(F.count_if(~gone).alias("kept"), F.count_if(gone).alias("deleted"))
+
+
 def store_stats(log: DataFrame, defs: DataFrame) -> DataFrame:
     """Definitions, values, active values, entity types, first and last time."""
     one = log.agg(F.count(F.lit(1)).alias("n_values"), F.count_distinct("entity_type").alias("n_entity_types"), F.min("feature_ts").alias("first_ts"), F.max("feature_ts").alias("last_ts"))

@@ -71,6 +71,13 @@ def baseline_drop(df: DataFrame, *, short: int, long: int, offset: int, factor:
     return rows.withColumn("dropped", F.coalesce(F.col("current") < factor * F.col("baseline"), F.lit(False)))
 
 
+def label_means(metrics: DataFrame, by: str, *, window: str = "1 minute") -> DataFrame:
+    """Metric rows (ts, metric, label, value) averaged over the label `by` of their map
+    `labels` and a window: what a rule of a grouped average looks at."""
+    rows = metrics.groupBy(F.window("ts", window).alias("w"), "metric", F.try_element_at("labels", F.lit(by)).alias("label")).agg(F.avg("value").alias("value"))
+    return rows.select(F.col("w.start").alias("ts"), "metric", "label", "value")
+
+
 def evaluate_rules(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """Firing intervals: rule, severity, label, started_at, fired_at, ended_at, points.
 
@@ -148,6 +155,16 @@ def incident_impact(metrics: DataFrame) -> DataFrame:
     return row.withColumn("verdict", verdict)
 
 
+def canary_checks(rows: DataFrame, *, success: float = 0.95, p95: float = 0.1, error: float = 0.01) -> DataFrame:
+    """(rollout, metric, check_no, ok) from (rollout, check_no, success_rate, p95_seconds,
+    error_rate) by the limits of a canary; a null measurement fails."""
+    limits = F.array(*[
+        F.struct(F.lit(name).alias("metric"), F.coalesce(ok, F.lit(False)).alias("ok"))
+        for name, ok in (("success", F.col("success_rate") >= success), ("p95", F.col("p95_seconds") <= p95), ("error", F.col("error_rate") <= error))
+    ])
+    return rows.select("rollout", "check_no", F.explode(limits).alias("c")).select("rollout", "c.metric", "check_no", "c.ok")
+
+
 def canary_verdict(checks: DataFrame, *, max_failures: int = 3, pass_score: float = 95.0, fail_score: float = 80.0) -> DataFrame:
     """Per rollout over (rollout, metric, check_no, ok): failed checks of its worst metric,
     score = share of good checks in percent, verdict."""

@@ -50,6 +50,59 @@ def a4(spark, d):
     return good.unionByName(bad.select("offset_id", F.lit(False).alias("valid"), F.concat_ws("; ", "reasons").alias("reasons")))
 
 
+_CONTRACTS = """m as (select event_id, user_no, k, value, event_type, ['user_event', 'feature_update', 'model_update', 'recommendation_request', 'other'][1 + event_id % 5] as contract from interactions),
+r as (select *, event_id % 13 = 0 as broken, case contract
+  when 'feature_update' then concat_ws('; ', case when k % 7 = 0 then 'missing entity_id' end, case when k % 5 = 0 then 'bad update_type: partial' end)
+  when 'model_update' then concat_ws('; ', case when k % 6 = 0 then 'missing model_name' end, case when k % 4 = 0 then 'bad deployment_status: lost' end)
+  when 'recommendation_request' then case when k % 3 = 0 then 'missing session_id' else '' end
+  when 'user_event' then case when event_type in ('view', 'click', 'purchase') then '' else 'bad event_type: ' || event_type end end as why from m)"""
+
+
+def _contract_messages(spark, d):
+    i = fx.interactions(spark, d)
+    names = F.array(*[F.lit(x) for x in (*op.SCHEMAS, "other")])
+    text = F.col("event_id").cast("string")
+    now = F.lit(1_700_000_000_000_000)
+    bodies = {
+        "user_event": F.struct(text.alias("event_id"), "user_id", "session_id", "event_type", "item_id", "item_category"),
+        "feature_update": F.struct(
+            text.alias("event_id"), F.lit("user").alias("entity_type"), F.when(F.col("k") % 7 != 0, F.col("user_id")).alias("entity_id"), F.create_map(F.lit("v"), F.col("value").cast("string")).alias("features"),
+            now.alias("timestamp"), F.col("k").alias("version"), F.when(F.col("k") % 5 == 0, "partial").alias("update_type"),
+        ),
+        "model_update": F.struct(
+            text.alias("event_id"), F.when(F.col("k") % 6 == 0, "").otherwise("m").alias("model_name"), F.lit("v1").alias("model_version"), F.lit("incremental").alias("update_type"), F.create_map(F.lit("a"), F.lit("b")).alias("model_metadata"),
+            F.create_map(F.lit("auc"), F.lit(0.5)).alias("performance_metrics"), now.alias("timestamp"), F.when(F.col("k") % 4 == 0, "lost").otherwise("active").alias("deployment_status"),
+        ),
+        "recommendation_request": F.struct(
+            text.alias("request_id"), "user_id", F.when(F.col("k") % 3 != 0, F.col("session_id")).alias("session_id"),
+            F.struct(F.lit("home").alias("page_type"), F.when(F.col("k") % 2 == 0, F.col("k")).alias("num_recommendations")).alias("request_context"), now.alias("timestamp"),
+        ),
+    }
+    rows = i.select("*", names[(F.col("event_id") % 5).cast("int")].alias("contract"))
+    body = F.lit("{}")
+    for name, fields in bodies.items():
+        body = F.when(F.col("contract") == name, F.to_json(fields)).otherwise(body)
+    return rows.select("event_id", "contract", F.when(F.col("event_id") % 13 == 0, '{"event_id":').otherwise(body).alias("msg_value"))
+
+
+@query(
+    "a2_decode_contracts",
+    f"""with {_CONTRACTS} select event_id, contract, contract <> 'other' and not broken as decode_ok,
+    case when not broken and contract = 'feature_update' then case when k % 5 = 0 then 'partial' else 'incremental' end end as update_type,
+    case when not broken and contract = 'recommendation_request' then case when k % 2 = 0 then k else 10 end end as n_asked,
+    case when not broken and contract = 'model_update' then 0.5::double end as auc from r""",
+)
+def a2_contracts(spark, d):
+    e = op.decode_contracts(_contract_messages(spark, d))
+    return e.select("event_id", "contract", "decode_ok", "feature_update.update_type", F.col("recommendation_request.request_context.num_recommendations").alias("n_asked"), F.try_element_at("model_update.performance_metrics", F.lit("auc")).alias("auc"))
+
+
+@query("a4_validate_contracts", f"with {_CONTRACTS} select event_id, contract, case when contract = 'other' then 'unknown contract' when broken then 'undecodable' else coalesce(why, '') end as reasons from r")
+def a4_contracts(spark, d):
+    out = op.contract_reasons(op.decode_contracts(_contract_messages(spark, d)))
+    return out.select("event_id", "contract", F.concat_ws("; ", "reasons").alias("reasons"))
+
+
 @query(
     "a5_dead_letters",
     f"""with {_DECODED} select 'dlq_' || coalesce(event_id, topic || '_' || partition_id || '_' || offset_id) as dlq_id, topic || '_' || partition_id || '_' || offset_id as entity_id,

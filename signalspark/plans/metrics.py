@@ -156,6 +156,32 @@ def i12(spark, d):
     return rounded(op.canary_verdict(_canary(spark, d)))
 
 
+@query(
+    "i12_canary_of_limits",
+    """with m as (select user_no % 5 as rollout, day(ts) as check_no, avg((event_type <> 'error')::int) as s, quantile_cont(value / 500, 0.95) as p, avg((event_type = 'error')::int) as e from interactions group by all),
+    c as (select rollout, 'success' as metric, s >= 0.75 as ok from m union all select rollout, 'p95', p <= 0.2 from m union all select rollout, 'error', e <= 0.3 from m),
+    g as (select rollout, metric, count(*) filter (not ok) as bad, count(*) as n from c group by all), r as (select rollout, max(bad) as worst, 100 * (1 - sum(bad) / sum(n)) as score from g group by 1)
+    select rollout, worst, round(score, 6) as score, case when worst > 3 or score < 80 then 'fail' when score >= 95 then 'pass' else 'inconclusive' end as verdict from r""",
+)
+def i12_limits(spark, d):
+    error = (F.col("event_type") == "error").cast("double")
+    rows = fx.interactions(spark, d).groupBy((F.col("user_no") % 5).alias("rollout"), F.day("ts").alias("check_no")).agg(F.avg(1 - error).alias("success_rate"), F.percentile(F.col("value") / 500, 0.95).alias("p95_seconds"), F.avg(error).alias("error_rate"))
+    return rounded(op.canary_verdict(op.canary_checks(rows, success=0.75, p95=0.2, error=0.3)))
+
+
+@query(
+    "i6_rules_by_label",
+    """with m as (select time_bucket(interval 6 hours, ts) as ts, item_category as label, avg(value) as value from interactions group by all),
+    b as (select *, value > 52 as breach from m), i as (select *, sum((not breach)::int) over (partition by label order by ts rows unbounded preceding) as island from b),
+    g as (select label, island, min(ts) as started_at, max(ts) as ended_at, count(*) as points from i where breach group by all)
+    select 'busy' as rule, 'warning' as severity, label, started_at, started_at + interval 21600 seconds as fired_at, ended_at, points from g where ended_at >= started_at + interval 21600 seconds""",
+)
+def i6_label(spark, d):
+    rows = fx.interactions(spark, d).select("ts", F.lit("load").alias("metric"), F.create_map(F.lit("category"), F.col("item_category"), F.lit("user"), F.col("user_id")).alias("labels"), "value")
+    rules = spark.createDataFrame([("busy", "load", ">", 52.0, 21600, "warning")], "rule string, metric string, op string, threshold double, for_seconds int, severity string")
+    return _ntz(op.evaluate_rules(op.label_means(rows, "category", window="6 hours"), rules), "started_at", "fired_at", "ended_at")
+
+
 @query(
     "i13_rollback_triggers",
     """with c as (select rollout, check_day, success_rate >= 0.8 as ok from checks), i as (select *, sum(ok::int) over (partition by rollout order by check_day rows unbounded preceding) as island from c),

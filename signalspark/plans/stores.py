@@ -1,5 +1,7 @@
 """Queries of the feature log, the online view and their reconciliation (C, D, E)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rounded
@@ -7,6 +9,7 @@ from ..operators import feature_log as log_op
 from ..operators import online as on_op
 from ..operators import sync as sync_op
 from ..sources import fixtures as fx
+from ..sources.scratch import scratch_dir
 from .registry import query
 
 NAMES = ["last_view", "last_click", "last_purchase", "last_signup"]
@@ -86,6 +89,29 @@ def c8(spark, d):
     return rounded(log_op.feature_statistics(fx.feature_log(spark, d)))
 
 
+@query(
+    "c8_feature_statistics_of_range",
+    f"with {_ACTIVE} select feature_name, count(*) as n_rows, round(avg(num), 6) as mean, round(median(num), 6) as median from active where entity_type = 'user' and feature_ts between timestamp '2024-01-05 00:00:00' and timestamp '2024-01-25 00:00:00' group by all",
+)
+def c8_range(spark, d):
+    log = fx.feature_log(spark, d)
+    other = log.withColumn("entity_type", F.lit("item"))
+    out = log_op.feature_statistics(log.unionByName(other), entity_type="user", start=_at("2024-01-05 00:00:00"), end=_at("2024-01-25 00:00:00"))
+    return rounded(out.select("feature_name", "n_rows", "mean", "median"))
+
+
+@query("c9_export_to_path", f"with {_ACTIVE} select entity_id, feature_ts, max(num) filter (feature_name = 'last_purchase') as last_purchase from active where feature_name = 'last_purchase' group by all")
+def c9_path(spark, d):
+    out = log_op.export_features(fx.feature_log(spark, d), ["last_purchase"])
+    back = log_op.write_export(out, f"{scratch_dir(spark)}/export-{uuid.uuid4().hex}")
+    return back.select("entity_id", "feature_ts", F.col("last_purchase").cast("double").alias("last_purchase"))
+
+
+@query("c11_retained_counts", f"with {_ACTIVE}, kept as (select write_seq from feature_log where feature_ts >= timestamp '2024-01-20 00:00:00' union select write_seq from active) select (select count(*) from kept) as kept, (select count(*) from feature_log) - (select count(*) from kept) as deleted")
+def c11_counts(spark, d):
+    return log_op.retained_counts(fx.feature_log(spark, d), _at("2024-01-20 00:00:00"))
+
+
 @query("c9_export_features", f"with {_ACTIVE} select entity_id, feature_ts, max(num) filter (feature_name = 'last_view') as last_view, max(num) filter (feature_name = 'last_click') as last_click from active where feature_name in ('last_view', 'last_click') group by all")
 def c9(spark, d):
     out = log_op.export_features(fx.feature_log(spark, d), ["last_view", "last_click"])

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir.  Where that is unset, a local session gets one
+    of its own, as in tests; on a cluster, whose machines share no local folder, it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="signalspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
