@@ -17,6 +17,9 @@ from .license_templates import TEMPLATES
 _TOKEN = re.compile(r"\w+")
 #: Words of a fingerprint, fingerprints of a winnowing window, half the alignment's band.
 GRAM, WINDOW, BAND = 3, 3, 8
+#: Templates of fewer words are not thinned: every gram is indexed, so that any text with
+#: four fifths of their words shares one.
+SHORT = 40
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCHEMA = "license string, coverage double, matched int, span_start long, span_end long"
 
@@ -24,11 +27,12 @@ SCHEMA = "license string, coverage double, matched int, span_start long, span_en
 def align(template: list[int], words: list[int], start: int, band: int) -> tuple[int, int, int, int]:
     """Local alignment near the diagonal (template word i, word start + i).
 
-    (score, matched words, first matched word, last matched word) of the best path; gaps
-    may lead off the diagonal by `band` words.
+    (score, matched words, first matched word, last matched word) of the best path, of
+    equal ones that which ends nearest to the diagonal; gaps may lead off the diagonal by
+    `band` words.
     """
     width, none = 2 * band + 1, (0, 0, -1, -1)
-    above, best = [none] * (width + 1), none
+    above, best, aside = [none] * (width + 1), none, band
     for i, t in enumerate(template):
         row, left = [], none
         for off in range(width):
@@ -44,8 +48,8 @@ def align(template: list[int], words: list[int], start: int, band: int) -> tuple
                         cell = (source[0] + GAP, *source[1:])
                 if cell[0] <= 0:
                     cell = none
-                elif cell[:2] > best[:2]:
-                    best = cell
+                elif cell[:2] > best[:2] or (cell[:2] == best[:2] and abs(off - band) < aside):
+                    best, aside = cell, abs(off - band)
             else:
                 cell = none
             row.append(cell)
@@ -65,11 +69,17 @@ class Index:
         self.base = len(self.vocabulary) + 1
         self.templates = [[self.vocabulary[w] for w in t] for t in words]
         posted: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        # One word of five may change: then the first two or the last three are whole.
+        self.pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, ids in enumerate(self.templates):
+            if 2 <= len(ids) < 2 * gram:
+                self.pairs[ids[0] * self.base + ids[1]].append((t, 0))
             keys = self.keys(np.array(ids, np.int64))
+            own_window = 1 if len(ids) < SHORT else window
             mixed = (keys.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
             # The smallest (mixed) key of each window, the last one on ties.
-            picked = {max(p for p in range(a, min(a + window, len(keys))) if mixed[p] == mixed[a : a + window].min()) for a in range(max(1, len(keys) - window + 1))} if len(keys) else set()
+            windows = range(max(1, len(keys) - own_window + 1)) if len(keys) else ()
+            picked = {max(p for p in range(a, min(a + own_window, len(keys))) if mixed[p] == mixed[a : a + own_window].min()) for a in windows}
             for p in sorted(picked):
                 posted[int(keys[p])].append((t, p))
         self.posted = dict(posted)
@@ -93,6 +103,11 @@ class Index:
         for j in np.flatnonzero(self.sorted_keys[at] == keys) if len(keys) and len(self.sorted_keys) else ():
             for t, i in self.posted[int(keys[j])]:
                 hits[t].append(int(j) - i)
+        if self.pairs and len(ids) > 1:
+            pairs = ids[:-1] * self.base + ids[1:]
+            for j in np.flatnonzero(np.isin(pairs, list(self.pairs))):
+                for t, i in self.pairs[int(pairs[j])]:
+                    hits[t].append(int(j) - i)
         out = []
         for t, diagonals in hits.items():
             last = None
