@@ -205,7 +205,9 @@ def toxicity_scores(
     trained = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=42, checkpointInterval=-1).fit(rows.where("fold <> 3").coalesce(4))
     chance = vector_to_array("probability")[1]
     calibration = trained.transform(rows.where("fold = 3")).select(chance.alias("raw"), "label")
-    isotonic = IsotonicRegression(featuresCol="raw", labelCol="label").fit(calibration)
+    # Equal raw scores are one weighted row: rows of one score would all go to one task.
+    levels = calibration.groupBy("raw").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight").fit(levels)
 
     others = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     every = _features(docs.select(F.col(text_col).alias("text"), F.lit(None).cast("int").alias("fold"), others, held.alias("held_out")), {None: lexicons[None]})
