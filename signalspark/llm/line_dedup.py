@@ -17,6 +17,9 @@ BROADCAST_KEYS = 200_000
 #: Beyond that, a key is broadcast only if it holds this share of all lines or more,
 #: which 1 / HEAVY_SHARE keys do at most.
 HEAVY_SHARE = 1e-5
+#: The other lines are dealt into so many parts of each key, as a line that is common on
+#: few sites is not flagged and still may be a third of all.
+SALTS = 16
 
 
 def _keys(line: Column) -> list[Column]:
@@ -84,9 +87,12 @@ def _flag(lines: DataFrame, flagged: DataFrame) -> DataFrame:
     heavy = flagged.where(F.col("n") >= total * HEAVY_SHARE).select("k1", "k2", F.col("home").alias("h1"), F.lit(True).alias("hit1"))
     light = flagged.where(F.col("n") < total * HEAVY_SHARE).select("k1", "k2", F.col("home").alias("h2"), F.lit(True).alias("hit2"))
     first = lines.join(F.broadcast(heavy), ["k1", "k2"], "left")
-    # Rows settled by the broadcast get a key of their own, so that no hot key is shuffled.
-    rest = first.where(F.col("hit1").isNull()).drop("h1", "hit1").join(light, ["k1", "k2"], "left")
-    done = first.where(F.col("hit1")).withColumnsRenamed({"h1": "home", "hit1": "hit"})
+    # Lines settled by the broadcast and blank ones, which are never flagged, are not shuffled.
+    settled = F.col("hit1").isNotNull() | (F.trim("line") == "")
+    done = first.where(settled).withColumnsRenamed({"h1": "home", "hit1": "hit"})
+    open_ = first.where(~settled).drop("h1", "hit1").withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int"))
+    spread = light.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rest = open_.join(spread, ["k1", "k2", "salt"], "left").drop("salt")
     return done.unionByName(rest.withColumnsRenamed({"h2": "home", "hit2": "hit"}))
 
 

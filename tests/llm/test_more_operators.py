@@ -173,6 +173,42 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_adjacent_and_changed_short_notices():
+    index = license_scan.Index(TEMPLATES)
+    text = "a.js Released under the MIT License. b.js Released under the MIT License. c Released under the MIT License."
+    found = license_scan.scan_text(text, index, 0.8, license_scan.BAND)
+    assert [f[0] for f in found] == ["mit-line"] * 3 and len({f[3] for f in found}) == 3
+    for name in (n for n in TEMPLATES if n.endswith("-line")):
+        words = re.findall(r"\w+", TEMPLATES[name])
+        for k in range(len(words)):
+            changed = " ".join([*words[:k], "zzz", *words[k + 1 :]])
+            assert [f[0] for f in license_scan.scan_text(f"x y {changed} z", index, 0.8, license_scan.BAND)] == [name], (name, k)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_scan_against_alignment_of_everything(spark, seed):
+    """Every template aligned at every diagonal, without index: the same notices are found."""
+    rng = np.random.default_rng(seed)
+    names = ["mit-line", "apache-2.0-line", "cc-by-nc-4.0-line", "mpl-2.0", "isc"]
+    chosen = {n: TEMPLATES[n] for n in names}
+    rows = []
+    for k in range(12):
+        parts = [" ".join(rng.choice(["the", "license", "of", "code", "free", "software", "under"], rng.integers(3, 25)))]
+        for n in rng.choice(names, rng.integers(0, 3), replace=False):
+            words = TEMPLATES[n].split()
+            parts += [" ".join(w for w in words if rng.random() > 0.06), " ".join(rng.choice(["plain", "words", "here"], 20))]
+        rows.append((k, " ".join(parts)))
+    got = {(r.doc_id, r.license) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates=chosen).collect()}
+    index, want = license_scan.Index(chosen), set()
+    for k, text in rows:
+        ids = [index.vocabulary.get(w, 0) for w in re.findall(r"\w+", text.lower())]
+        for t, template in enumerate(index.templates):
+            best = max(license_scan.align(template, ids, d, license_scan.BAND)[1] for d in range(-len(template), len(ids), 4))
+            if best / len(template) >= 0.8:
+                want.add((k, names[t]))
+    assert want and got == want
+
+
 def _full_alignment(a, b):
     """Largest local alignment score without index or band."""
     best, above = 0, [0] * (len(b) + 1)

@@ -273,6 +273,32 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_text_features():
+    names = toxicity.FEATURES
+    of = toxicity.TextFeatures({"blarg": 4.0, "foolis-": 2.0})
+    plain, loud = (dict(zip(names, of(t))) for t in ("a calm day of reading", "YOU blarg!! you IDIOT, foolishness, st*pid 1diot soooo"))
+    assert all(plain[c] == 0 for c in ("insult_rate", "strong_rate", "weak_rate", "near_you", "you_rate", "loud_rate", "odd_rate"))
+    assert loud["insult_rate"] > 0 and loud["strong_rate"] > 0 and loud["weak_rate"] > 0 and loud["near_you"] == 1 and loud["mark_runs"] > 0
+    assert loud["odd_hits"] > 0 and loud["stretched"] > 0 and loud["capitals"] > plain["capitals"] and loud["top_weight"] == 4.0
+    assert len(of("")) == len(names) and all(np.isfinite(of("")))
+
+
+def test_toxicity_of_odd_rows(spark):
+    rng = np.random.default_rng(0)
+    rows = []
+    for k in range(600):
+        words = list(rng.choice(WORDS, 30))
+        rows.append((k, " ".join(words + ["vile", "you", "idiot"] if k % 3 == 0 else words), "x", 0.5, 7))
+    texts = spark.createDataFrame([*rows, (None, "idiot you vile", "x", 0.5, 7), (601, None, "x", 0.5, 7), (602, "", "x", 0.5, 7), (0, rows[0][1], "x", 0.5, 7), (603, "idiot " * 200_000, "x", 0.5, 7)], "doc_id long, text string, held_out string, score double, predicted int")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(600)] + [(3, None), (None, 1)], "doc_id long, toxic int")
+    out = toxicity.toxicity_scores(texts, labels)
+    assert sorted(out.columns) == sorted(["doc_id", "text", "held_out", "score", "predicted"])
+    got = out.collect()
+    assert len(got) == 605 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert all(r.predicted == int(r.doc_id % 3 == 0) for r in got if r.doc_id is not None and r.doc_id < 600)
+    assert len({r.score for r in got if r.doc_id == 0}) == 1 and not next(r for r in got if r.doc_id is None).held_out
+
+
 def test_toxicity_without_labels(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.toxicity_scores(docs, labels).collect()} == {0.0}
