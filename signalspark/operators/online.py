@@ -23,10 +23,12 @@ def _newest(log: DataFrame, *values: str) -> DataFrame:
 
 
 def online_view(log: DataFrame, as_of: Column) -> DataFrame:
-    """Last written value per key with expires_at; what has expired by `as_of` is left out."""
-    newest = _newest(with_ttl(log), "value", "feature_ts", "version", "ttl_seconds")
-    expires = F.col("feature_ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("ttl_seconds"))
-    return newest.withColumn("expires_at", expires).where(F.col("expires_at") > as_of)
+    """Last written value per key with expires_at = time of writing + TTL; what has expired by
+    `as_of` is left out.  A log without a column written_at was written at feature_ts."""
+    written = F.coalesce("written_at", "feature_ts") if "written_at" in log.columns else F.col("feature_ts")
+    newest = _newest(with_ttl(log).withColumn("__written", written), "value", "feature_ts", "version", "ttl_seconds", "__written")
+    expires = F.col("__written") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("ttl_seconds"))
+    return newest.withColumn("expires_at", expires).drop("__written").where(F.col("expires_at") > as_of)
 
 
 def lookup_features(view: DataFrame, requests: DataFrame) -> DataFrame:

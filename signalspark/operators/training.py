@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import last_n, uniform_hash
 from ..functions.vectors import dot, unit
 from ..sources.scratch import materialize
+from .vectors import meet
 
 
 def preprocess(df: DataFrame, min_user: int = 5, min_item: int = 5) -> DataFrame:
@@ -230,11 +231,11 @@ def pair_scores(pairs: DataFrame, users: DataFrame, items: DataFrame, temperatur
     return pairs.join(u, "user_id").join(i, "item_id").withColumn("score", dot(F.col("__u"), F.col("__i")) / temperature).drop("__u", "__i")
 
 
-def similarity_matrix(users: DataFrame, items: DataFrame, temperature: float = 0.1, *, blocks: int = 8) -> DataFrame:
-    """Scores of every user with every item, which is what is asked for; items are met in packed blocks."""
-    packed = items.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("item_id", "embedding")).alias("items"))
-    met = users.select("user_id", F.col("embedding").alias("u"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")).join(packed, "block")
-    return met.select("user_id", "u", F.explode("items").alias("i")).select("user_id", "i.item_id", (dot("u", "i.embedding") / temperature).alias("score"))
+def similarity_matrix(users: DataFrame, items: DataFrame, temperature: float = 0.1) -> DataFrame:
+    """Scores of every user with every item, which is what is asked for; they meet in blocks.
+    For the best items of each user alone take vectors.exact_topk."""
+    pairs = meet(items.select("item_id", "embedding"), users.select("user_id", F.col("embedding").alias("u")), "user_id")
+    return pairs.select("a.user_id", "item_id", (dot("a.u", "embedding") / temperature).alias("score"))
 
 
 def ranking_metrics(scores: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:

@@ -14,6 +14,8 @@ from ..sources.scratch import materialize
 SIZE_FACTORS = {"flat": 1.0, "ivf": 1.0, "hnsw": 1.5}
 #: Rows that train a quantizer at most.
 MAX_TRAINING = 100_000
+#: Queries packed into one row, and items that meet such a row in one task.
+BLOCK_QUERIES, PART_ITEMS = 64, 200_000
 
 
 def l2_normalize(df: DataFrame, col: str = "embedding") -> DataFrame:
@@ -26,18 +28,30 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "item_id", "score")
 
 
+def meet(items: DataFrame, asked: DataFrame, key: str, *, least: int = 16) -> DataFrame:
+    """Every row of `items` with every row of `asked` (a stated query set), as the struct `a`.
+
+    The rows of `asked` are packed, about BLOCK_QUERIES to a row; items are dealt into parts
+    of about PART_ITEMS, and each pair of a block and a part is one key of an equi-join.
+    Both numbers follow the row counts, so that neither rows nor tasks grow with the data.
+    """
+    blocks, parts = max(least, -(-asked.count() // BLOCK_QUERIES)), max(1, -(-items.count() // PART_ITEMS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    packed = asked.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("__block")).agg(F.collect_list(F.struct(*asked.columns)).alias("__asked"))
+    packed = packed.select("*", every(parts).alias("__part"))
+    dealt = items.select("*", F.pmod(F.xxhash64(items.columns[0]), F.lit(parts)).cast("int").alias("__part")).select("*", every(blocks).alias("__block"))
+    return dealt.join(packed, ["__block", "__part"]).select(*items.columns, F.explode("__asked").alias("a"))
+
+
 def exact_topk(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The `k` items with the largest cosine for each query, ties by item id.
 
-    Queries (query_id, embedding) are a stated, small set: they are dealt into blocks of
-    packed arrays, and each item row meets each block once; the window keeps only `k`
-    rows per query and task before the shuffle.
+    Queries (query_id, embedding) are a stated set, which meets the items in blocks; the
+    window keeps only `k` rows per query and task before the shuffle.
     """
     asked = l2_normalize(queries).where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").alias("q"))
-    blocks = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(16)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
     known = l2_normalize(items).where(F.col("embedding").isNotNull()).select("item_id", "embedding")
-    met = known.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("block")).join(blocks, "block")
-    pairs = met.select("item_id", "embedding", F.explode("asked").alias("a"))
+    pairs = meet(known, asked, "query_id")
     return _top(pairs.select(F.col("a.query_id").alias("query_id"), "item_id", dot("a.q", "embedding").alias("score")), k)
 
 
@@ -113,9 +127,7 @@ def pq_search(codes: DataFrame, books: DataFrame, queries: DataFrame, n: int = 1
     width = F.size("embedding") / F.size("book")
     table = F.transform("book", lambda centres, part: F.transform(centres, lambda c: dot(F.slice("embedding", (part * width + 1).cast("int"), width.cast("int")), c)))
     asked = asked.select("query_id", table.alias("table"))
-    blocks = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(16)).alias("block")).agg(F.collect_list(F.struct("query_id", "table")).alias("asked"))
-    met = codes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("block")).join(blocks, "block")
-    pairs = met.select("item_id", "codes", F.explode("asked").alias("a"))
+    pairs = meet(codes.select("item_id", "codes"), asked, "query_id")
     score = F.aggregate(F.zip_with("codes", "a.table", lambda c, t: F.get(t, c.cast("int"))), F.lit(0.0), lambda a, x: a + x)
     return _top(pairs.select("a.query_id", "item_id", score.alias("score")), n)
 

@@ -345,3 +345,20 @@ def test_factors_of_ids_of_any_type(spark):
     users, items = training.train_factors(spark.createDataFrame(rows, "user_id string, item_id long"), 4)
     assert {r.user_id for r in users.collect()} == {f"u{k}" for k in range(5)}
     assert {r.item_id for r in items.collect()} == {10_000_000_000 + k for k in range(7)}
+
+
+def test_late_writes_expire_by_their_time_of_writing(spark):
+    rows = [(1, "user", "u", "a", "1", at(0), 1, at(5000)), (1, "user", "v", "a", "1", at(0), 1, None)]
+    log = spark.createDataFrame(rows, "write_seq long, entity_type string, entity_id string, feature_name string, value string, feature_ts timestamp_ntz, version long, written_at timestamp_ntz")
+    assert [r.entity_id for r in online.online_view(log, lit_at(4000)).collect()] == ["u"]
+    assert online.online_view(log.drop("written_at"), lit_at(4000)).count() == 0
+
+
+def test_every_query_meets_every_item(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(vectors, "PART_ITEMS", 7)
+    items = spark.range(40).select(F.col("id").alias("item_id"))
+    asked = spark.range(25).select(F.col("id").alias("query_id"))
+    got = [(r.item_id, r.a.query_id) for r in vectors.meet(items, asked, "query_id", least=1).collect()]
+    assert sorted(got) == [(i, q) for i in range(40) for q in range(25)]
+    assert vectors.meet(items, asked.limit(0), "query_id").count() == 0
