@@ -14,7 +14,8 @@ def _mark(edges: DataFrame) -> tuple:
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(u, root) for every node of the edges (u, v: long) that is not its own root,
-    where root is the smallest node of the component.
+    where root is the smallest node of the component.  Edges with a null end, loops and
+    repeated edges add nothing; without edges the result is empty.
 
     Large-star and small-star rounds alternate until nothing changes, which takes a
     number of rounds that grows with the logarithm of the node count.  Each round is

@@ -260,6 +260,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
 
 
 def sequences(placed: DataFrame) -> DataFrame:
-    """The packed token sequences of pack_documents(keep_ids=True): sequence_id, ids."""
+    """The packed token sequences of pack_documents(keep_ids=True): sequence_id, ids.
+
+    A sequence is at most `capacity` tokens, so that its group is bounded; an empty table
+    gives an empty table.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return placed.groupBy("sequence_id").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))

@@ -108,7 +108,10 @@ def scan_secrets(versions: DataFrame, ledger: DataFrame | None = None, *, text_c
 
 
 def redact(found: DataFrame, *, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """Replace every found span in the text by `mask`; overlapping spans become one."""
+    """Replace every found span in the text by `mask`; overlapping spans become one.
+
+    A null or empty text and one without spans stay as they are; other columns are kept.
+    """
     arrow_batches(found.sparkSession)
 
     def cover(text: str | None, spans: list[dict]) -> str | None:

@@ -130,7 +130,8 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_lexicons(training: DataFrame, *, size: int = 4000, min_docs: int = 3) -> dict[int | None, dict[str, float]]:
     """Log-odds of terms that mark toxic texts: for each fold from the other folds, and
     for None from all.  `training` has text, label and fold; at most `size` terms of each
-    lexicon reach the driver.
+    lexicon reach the driver.  A null text holds no terms; where a class has no rows the
+    lexicon is empty.
     """
     totals = {f"{'toxic' if r['label'] else 'other'}{r['fold']}": r["n"] for r in training.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     counted = training.select("text", "label", "fold").mapInArrow(_term_counts, "term string, " + ", ".join(f"{c} long" for c in _COUNTS))

@@ -382,3 +382,30 @@ def test_op7_columns(spark):
     for r in rows:
         own = _token_ids([text[r.doc_id]])[0][r.start : r.start + r.length]
         assert r.start == 4096 * r.piece and len(own) == r.length and r.ids_crc32 == zlib.crc32(np.array(own, "<u4").tobytes())
+
+
+def test_op2_columns(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, _fingerprint(r.text)) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    want = sorted((i, f"{f:016x}", c) for (i, f), c in zip(rows, _components(rows)))
+    assert sorted(tuple(r) for r in queries.op2_simhash_near_dedup(spark, folder).select("doc_id", "fingerprint", "component_id").collect()) == want
+
+
+def test_op4_columns(spark):
+    folder, want = "/root/testdata/sf0.01", []
+    for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        spans = _base(r.text)
+        written = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        want.append((r.doc_id, *(sum(s[0] == k for s in spans) for k in ("assign", "access", "hex")), hashlib.sha256(written.encode()).hexdigest(), written))
+    got = [tuple(r) for r in queries.op4_secret_scan(spark, folder).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect()]
+    assert sorted(got) == sorted(want) and any(w[5] for w in want)
+
+
+def test_op8_columns(spark):
+    rows = queries.op8_toxicity(spark, "/root/testdata/sf0.01").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) for r in rows)
+
+
+def test_components_of_null_nodes(spark):
+    edges = spark.createDataFrame([(1, 2), (None, 3), (4, None), (None, None)], "u long, v long")
+    assert [tuple(r) for r in graph.connected_components(edges).collect()] == [(2, 1)]
