@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
-
-
 def safe_ratio(a: Column, b: Column) -> Column:
     """a / b as double, 0 where b is 0 or null."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))

@@ -60,10 +60,6 @@ def recent_ctr(df: DataFrame, n: int = 10_000, *, ts: str = "ts", keys: tuple[st
     return df.withColumn("ctr", safe_ratio(F.count_if(F.col("event_type") == "click").over(w), F.count_if(F.col("event_type") == "view").over(w)))
 
 
-def cache_hit_rate(hits: Column, misses: Column) -> Column:
-    return hits / F.greatest(hits + misses, F.lit(1))
-
-
 def baseline_drop(df: DataFrame, *, short: int, long: int, offset: int, factor: float, keys: str = "metric", ts: str = "ts", value: str = "x") -> DataFrame:
     """Add current (short window mean), baseline (long window mean that ended `offset`
     seconds ago) and dropped = current < factor * baseline."""
