@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import sentence_pieces
 from .ann import nearest
 from .bitsliced import exact_topk
+from .importance import importance_resample
+from .lexical import ranked_search
 from .license_scan import scan_licenses
 from .line_dedup import line_dedup
 from .packing import pack_documents
@@ -17,6 +19,10 @@ from .secret_scan import KINDS, scan_secrets
 from .simhash import simhash_components
 from .substring_dedup import remove_repeats
 from .toxicity import toxicity_scores
+from .url_filters import filter_urls
+
+#: Stated URL rules: verdict, host, path (fixed values).
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
 def tokenizer_file(name: str) -> str:
@@ -99,6 +105,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "labels"))
+    return filter_urls(pages, labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and score of every document, and the rank of those drawn."""
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return importance_resample(_documents(spark, sf_dir), target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest-scoring documents of every benchmark item."""
+    return ranked_search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -110,4 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_url_filters": op11_url_filters,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_ranked_search": op13_ranked_search,
 }
