@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_ratio
+from .slabs import carried, ranged
 
 #: Domains of the wire contract (fixed values).
 EVENT_TYPES = ("view", "click", "purchase", "like", "share", "add_to_cart", "remove_from_cart")
@@ -168,10 +169,12 @@ def apply_feature_updates(state: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def consumer_lag(offsets: DataFrame) -> DataFrame:
-    """Lag per partition (high watermark - position, not below 0) and the topic's running maximum."""
-    lag = F.greatest(F.col("high_watermark") - F.col("position"), F.lit(0))
-    running = Window.partitionBy("topic").orderBy("checked_at", "partition_id").rowsBetween(Window.unboundedPreceding, 0)
-    return offsets.withColumn("lag", lag).withColumn("max_lag", F.max("lag").over(running))
+    """Lag per partition (high watermark - position, not below 0) and the topic's running maximum,
+    which range partitions of topic and time carry on."""
+    rows = offsets.withColumn("lag", F.greatest(F.col("high_watermark") - F.col("position"), F.lit(0)))
+    own = lambda w: F.max("lag").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    scans = {"max_lag": (own, F.max("lag"), lambda w: F.max("max_lag").over(w), F.greatest)}
+    return carried(ranged(rows, "topic", "checked_at", "partition_id"), ["topic"], ["checked_at", "partition_id"], scans)
 
 
 def pipeline_metrics(df: DataFrame, *, ok_col: str = "ok", ms_col: str = "ms", by: tuple[str, ...] = ()) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .slabs import with_halo
+
 KEY = ["entity_type", "entity_id", "feature_name"]
 
 
@@ -82,17 +84,20 @@ def point_in_time_join(spine: DataFrame, log: DataFrame, names: list[str], *, lo
     """For each spine row (spine_id, entity_id, as_of) the newest value of every feature
     with feature_ts <= as_of and no older than `lookback`; null if there is none.
 
-    Spine and log are united and sorted once per entity; each feature's last value is
-    carried forward.  Among equal times the last written row wins, and log rows come
-    before the spine row.  No range join.
+    Spine and log are united and sorted once per entity and slab of time; a slab also holds
+    the log rows within the lookback before it, so that a hot entity is many tasks.  Each
+    feature's last value is carried forward.  Among equal times the last written row wins,
+    and log rows come before the spine row.  No range join.
     """
+    reach = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', timestamp_ntz'1970-01-01' + INTERVAL {lookback})")
     log = log.where(F.col("feature_name").isin(names))
     stamped = F.struct(F.col("value"), F.col("feature_ts"))
     rows = log.select("entity_id", F.col("feature_ts").alias("t"), F.lit(0).alias("side"), F.col("write_seq").alias("seq"), F.lit(None).cast("long").alias("spine_id"), *[F.when(F.col("feature_name") == n, stamped).alias(n) for n in names])
     empty = [F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in names]
     asked = spine.select("entity_id", F.col("as_of").alias("t"), F.lit(1).alias("side"), F.lit(0).cast("long").alias("seq"), F.col("spine_id").cast("long").alias("spine_id"), *empty)
-    order = Window.partitionBy("entity_id").orderBy("t", "side", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    carried = rows.unionByName(asked).select("entity_id", "t", "side", "spine_id", *[F.last(n, ignorenulls=True).over(order).alias(n) for n in names])
+    order = Window.partitionBy("entity_id", "slab").orderBy("t", "side", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = with_halo(rows.unionByName(asked), "t", reach).where("side = 0 or not halo")
+    carried = dealt.select("entity_id", "t", "side", "spine_id", *[F.last(n, ignorenulls=True).over(order).alias(n) for n in names])
     fresh = [F.when(F.col(n)["feature_ts"] >= F.col("t") - F.expr(f"INTERVAL {lookback}"), F.col(n)["value"]).alias(n) for n in names]
     return carried.where("side = 1").select("spine_id", "entity_id", F.col("t").alias("as_of"), *fresh)
 

@@ -9,57 +9,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import last_n
+from .trailing import FUNCTIONS, trailing_windows
 
 #: Weights of the interaction types (fixed values); any other type weighs 1.
 WEIGHTS = {"view": 1.0, "click": 2.0, "like": 3.0, "share": 4.0, "add_to_cart": 5.0, "purchase": 10.0}
 WINDOWS = (300, 3600, 86400)
-FUNCTIONS = ("count", "sum", "mean", "std", "min", "max", "median")
 _KEYS = ("user_id", "item_id", "timestamp", "event_type")
 
 
-def _frame(entity: str, ts: str, seconds: int) -> str:
-    return f"OVER (PARTITION BY `{entity}` ORDER BY `{ts}` RANGE BETWEEN INTERVAL {seconds} SECONDS PRECEDING AND CURRENT ROW)"
-
-
-def _aggregate(fn: str, value: str) -> str:
-    try:
-        return {"count": "count({0})", "sum": "sum({0})", "mean": "avg({0})", "std": "stddev_pop({0})", "min": "min({0})", "max": "max({0})", "median": "percentile({0}, 0.5)"}[fn].format(value)
-    except KeyError:
-        raise ValueError(f"unknown aggregate: {fn}") from None
-
-
 def trailing_aggregates(
     df: DataFrame, entity: str, ts: str, feature: str, *, windows: tuple[int, ...] = WINDOWS, fns: tuple[str, ...] = FUNCTIONS, max_events: int | None = None
 ) -> DataFrame:
     """Add `<feature>_<fn>_<seconds>s` over the entity's events of the last `seconds`,
     bounds included; with `max_events` only the newest so many of a window count."""
-    if max_events is None:
-        return df.select("*", *[F.expr(f"{_aggregate(fn, f'`{feature}`')} {_frame(entity, ts, w)}").alias(f"{feature}_{fn}_{w}s") for w in windows for fn in fns])
-    columns: list[Column] = []
-    for w in windows:
-        newest = last_n(F.expr(f"collect_list(cast(`{feature}` as double)) {_frame(entity, ts, w)}"), max_events)
-        total = F.aggregate(newest, F.lit(0.0), lambda a, x: a + x)
-        n = F.size(newest)
-        mean = F.try_divide(total, n.cast("double"))
-        spread = F.sqrt(F.greatest(F.try_divide(F.aggregate(newest, F.lit(0.0), lambda a, x: a + x * x), n.cast("double")) - mean * mean, F.lit(0.0)))
-        ordered = F.array_sort(newest)
-        middle = (F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(ordered, F.ceil((n + 1) / 2).cast("int"))) / 2
-        found = {"count": n.cast("long"), "sum": total, "mean": mean, "std": spread, "min": F.array_min(newest), "max": F.array_max(newest), "median": F.when(n > 0, middle)}
-        columns += [found[fn].alias(f"{feature}_{fn}_{w}s") for fn in fns]
-    return df.select("*", *columns)
+    return trailing_windows(df, entity, ts, {feature: f"`{feature}`"}, windows=windows, fns=fns, max_events=max_events, as_double=max_events is not None)
 
 
 def all_trailing_aggregates(df: DataFrame, entity: str, ts: str, *, windows: tuple[int, ...] = WINDOWS, fns: tuple[str, ...] = FUNCTIONS, features: list[str] | None = None) -> DataFrame:
     """Trailing aggregates of every feature column; strings count where they are numbers."""
     kinds = dict(df.dtypes)
     names = features if features is not None else [c for c in df.columns if c not in (*_KEYS, entity, ts)]
-    columns = []
-    for c in names:
-        value = f"try_cast(`{c}` as double)" if kinds[c] == "string" else f"`{c}`"
-        if kinds[c] in ("string", "int", "bigint", "double", "float", "smallint", "tinyint") or kinds[c].startswith("decimal"):
-            columns += [F.expr(f"{_aggregate(fn, value)} {_frame(entity, ts, w)}").alias(f"{c}_{fn}_{w}s") for w in windows for fn in fns]
-    return df.select("*", *columns)
+    numbers = [c for c in names if kinds[c] in ("string", "int", "bigint", "double", "float", "smallint", "tinyint") or kinds[c].startswith("decimal")]
+    return trailing_windows(df, entity, ts, {c: f"try_cast(`{c}` as double)" if kinds[c] == "string" else f"`{c}`" for c in numbers}, windows=windows, fns=fns)
 
 
 def sliding_aggregates(df: DataFrame, entity: str, ts: str, feature: str, *, size: str = "5 minutes", slide: str = "1 minute", watermark: str | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_ratio
+from .rules import compared
+from .slabs import carried, ranged, reset_steps, with_halo
 
 #: Upper bounds of the latency histogram in seconds (fixed values).
 LATENCY_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
@@ -13,16 +15,24 @@ SECRET_NAMES = "password|secret|token"
 
 
 def _trailing(fn: str, keys: str, ts: str, seconds: int, offset: int = 0) -> Column:
+    """`fn` over a key's rows of a slab in the last `seconds`, or those that ended `offset` seconds ago."""
     end = f"INTERVAL {offset} SECONDS PRECEDING" if offset else "CURRENT ROW"
-    return F.expr(f"{fn} OVER (PARTITION BY {keys} ORDER BY {ts} RANGE BETWEEN INTERVAL {seconds + offset} SECONDS PRECEDING AND {end})")
+    return F.expr(f"{fn} OVER (PARTITION BY {keys}, slab ORDER BY {ts} RANGE BETWEEN INTERVAL {seconds + offset} SECONDS PRECEDING AND {end})")
+
+
+def _own(rows: DataFrame) -> DataFrame:
+    return rows.where(~F.col("halo")).drop("slab", "halo")
 
 
 def counter_rate(df: DataFrame, seconds: int, *, keys: str = "metric", ts: str = "ts", value: str = "counter") -> DataFrame:
-    """Add increase and rate over the trailing window; a fall is a reset and counts from 0."""
-    before = F.lag(value).over(Window.partitionBy(keys).orderBy(ts, value))
-    step = F.when(before.isNull(), F.lit(0)).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
-    rows = df.withColumn("__step", step)
-    return rows.withColumn("increase", _trailing("sum(__step)", keys, ts, seconds)).withColumn("rate", F.col("increase") / float(seconds)).drop("__step")
+    """Add increase and rate over the trailing window; a fall is a reset and counts from 0.
+
+    Steps carry the last value over range partitions and windows are cut by time, so that
+    few metrics are still many tasks.
+    """
+    rows = with_halo(reset_steps(df, [keys], ts, value), ts, seconds * 1_000_000)
+    rows = rows.withColumn("increase", _trailing("sum(step)", keys, ts, seconds)).withColumn("rate", F.col("increase") / float(seconds))
+    return _own(rows).drop("step")
 
 
 def latency_histogram(df: DataFrame, *, keys: tuple[str, ...] = ("endpoint",), value: str = "seconds", bounds: tuple[float, ...] = LATENCY_BOUNDS) -> DataFrame:
@@ -63,8 +73,9 @@ def recent_ctr(df: DataFrame, n: int = 10_000, *, ts: str = "ts", keys: tuple[st
 def baseline_drop(df: DataFrame, *, short: int, long: int, offset: int, factor: float, keys: str = "metric", ts: str = "ts", value: str = "x") -> DataFrame:
     """Add current (short window mean), baseline (long window mean that ended `offset`
     seconds ago) and dropped = current < factor * baseline."""
-    rows = df.withColumn("current", _trailing(f"avg({value})", keys, ts, short)).withColumn("baseline", _trailing(f"avg({value})", keys, ts, long, offset))
-    return rows.withColumn("dropped", F.coalesce(F.col("current") < factor * F.col("baseline"), F.lit(False)))
+    rows = with_halo(df, ts, max(short, long + offset) * 1_000_000)
+    rows = rows.withColumn("current", _trailing(f"avg({value})", keys, ts, short)).withColumn("baseline", _trailing(f"avg({value})", keys, ts, long, offset))
+    return _own(rows.withColumn("dropped", F.coalesce(F.col("current") < factor * F.col("baseline"), F.lit(False))))
 
 
 def label_means(metrics: DataFrame, by: str, *, window: str = "1 minute") -> DataFrame:
@@ -77,16 +88,19 @@ def label_means(metrics: DataFrame, by: str, *, window: str = "1 minute") -> Dat
 def evaluate_rules(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """Firing intervals: rule, severity, label, started_at, fired_at, ended_at, points.
 
-    `metrics`: ts, metric, label, value; `rules`: rule, metric, op (> or <), threshold,
-    for_seconds, severity.  Points of a rule and label that breach without a break form a
-    run; it fires once it lasts `for_seconds`.  Rules are a small table of the user's.
+    `metrics`: ts, metric, label, value; `rules`: rule, metric, op (one of > >= < <= == !=,
+    any other is an error), threshold, for_seconds, severity.  Points of a rule and label that
+    breach without a break form a run; it fires once it lasts `for_seconds`.  Runs are counted
+    over range partitions of rule, label and time.  `rules.firing_intervals` takes whole
+    expressions.
     """
-    rows = metrics.join(F.broadcast(rules), "metric")
-    breach = F.when(F.col("op") == ">", F.col("value") > F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))
-    rows = rows.withColumn("breach", F.coalesce(breach, F.lit(False)))
-    order = Window.partitionBy("rule", "label").orderBy("ts")
-    island = F.sum(F.when(~F.col("breach"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    runs = rows.withColumn("island", island).where("breach").groupBy("rule", "severity", "label", "for_seconds", "island").agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count(F.lit(1)).alias("points"))
+    rows = metrics.join(rules, "metric")
+    rows = rows.withColumn("breach", F.coalesce(compared(F.col("op"), F.col("value"), F.col("threshold")), F.lit(False)))
+    quiet = F.when(~F.col("breach"), 1).otherwise(0)
+    own = lambda w: F.sum(quiet).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    scans = {"island": (own, F.sum(quiet), lambda w: F.sum("island").over(w), lambda a, b: a + F.coalesce(b, F.lit(0)))}
+    counted = carried(ranged(rows, "rule", "label", "ts"), ["rule", "label"], ["ts"], scans)
+    runs = counted.where("breach").groupBy("rule", "severity", "label", "for_seconds", "island").agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count(F.lit(1)).alias("points"))
     fired = F.col("started_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("for_seconds"))
     return runs.withColumn("fired_at", fired).where(F.col("ended_at") >= F.col("fired_at")).select("rule", "severity", "label", "started_at", "fired_at", "ended_at", "points")
 
@@ -191,7 +205,7 @@ def relative_drop_triggers(df: DataFrame, *, limits: dict[str, float]) -> DataFr
 def rate_limit_audit(requests: DataFrame, *, limit: int = 1000, seconds: int = 60) -> DataFrame:
     """Add key (user, else address), requests in the trailing window, limited, retry_after seconds."""
     key = F.when(F.col("user_id").isNotNull(), F.concat(F.lit("user:"), "user_id")).otherwise(F.concat(F.lit("ip:"), F.col("ip")))
-    rows = requests.withColumn("key", key).withColumn("n", _trailing("count(1)", "key", "ts", seconds)).withColumn("__first", _trailing("min(ts)", "key", "ts", seconds))
+    rows = with_halo(requests.withColumn("key", key), "ts", seconds * 1_000_000).withColumn("n", _trailing("count(1)", "key", "ts", seconds)).withColumn("__first", _trailing("min(ts)", "key", "ts", seconds))
     rows = rows.withColumn("limited", F.col("n") > limit)
     left = seconds - (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("__first").cast("timestamp"))) / F.lit(1e6)
-    return rows.withColumn("retry_after", F.when(F.col("limited"), left)).drop("__first")
+    return _own(rows.withColumn("retry_after", F.when(F.col("limited"), left)).drop("__first"))
