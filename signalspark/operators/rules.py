@@ -285,7 +285,7 @@ def runs_of_ticks(breaches: DataFrame, keys: list[str]) -> DataFrame:
     rows = breaches.withColumn("slab", F.floor(F.col("tick") / _RUN_SLAB))
     nth = F.row_number().over(Window.partitionBy(*keys, "slab").orderBy("tick"))
     runs = rows.withColumn("run", F.col("tick") - nth).groupBy(*keys, "slab", "run").agg(F.min("tick").alias("first"), F.max("tick").alias("last"), F.count(F.lit(1)).alias("ticks")).drop("slab", "run")
-    edge = (F.col("first") % _RUN_SLAB == 0) | (F.col("last") % _RUN_SLAB == _RUN_SLAB - 1)
+    edge = (F.pmod("first", F.lit(_RUN_SLAB)) == 0) | (F.pmod("last", F.lit(_RUN_SLAB)) == _RUN_SLAB - 1)
     order = Window.partitionBy(*keys).orderBy("first")  # two runs of a slab at most
     new = (F.coalesce(F.lag("last").over(order), F.lit(-2)) != F.col("first") - 1).cast("int")
     joined = runs.where(edge).withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

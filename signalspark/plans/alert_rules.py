@@ -75,7 +75,7 @@ def metric_points(spark, d):
     begin = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     ts = F.timestamp_add("MICROSECOND", F.floor(F.timestamp_diff("MICROSECOND", begin, F.col("ts")) / 60).cast("long"), begin)
     count = F.expr("(event_id * factor) % 50000")
-    value = F.when(F.col("kind").isin("counter", "buckets"), F.floor(count * F.col("share")).cast("double")).when(F.col("kind") == "steps", F.floor(F.col("event_id") / 200).cast("double"))
+    value = F.when(F.col("kind").isin("counter", "buckets"), F.floor(count * F.col("share")).cast("double")).when(F.col("kind") == "steps", F.floor(F.col("event_id") / 400).cast("double"))
     value = value.when(F.col("kind") == "gauge", F.col("value") * F.col("factor")).when(F.col("kind") == "state", F.col("k") % F.col("factor")).otherwise(F.col("factor"))
     name = F.when(F.col("kind") == "buckets", "le").otherwise(F.col("label"))
     content = F.when(F.col("kind") == "buckets", F.col("le")).when(F.col("label") == "status", F.when(F.col("event_type") == "error", "500").otherwise("200")).otherwise(F.col("label_value"))
@@ -93,7 +93,7 @@ VIEWS["metric_points"] = f"""
 select timestamp '2024-01-01 00:00:00' + to_microseconds((epoch_us(ts) - epoch_us(timestamp '2024-01-01 00:00:00')) // 60) as ts, metric,
        concat('node_', user_no % 3) as instance, case when kind = 'buckets' then 'le' else label end as label,
        case when kind = 'buckets' then le when label = 'status' then case when event_type = 'error' then '500' else '200' end else label_value end as content,
-       case when kind in ('counter', 'buckets') then floor(((event_id * factor) % 50000) * share) when kind = 'steps' then floor(event_id / 200)
+       case when kind in ('counter', 'buckets') then floor(((event_id * factor) % 50000) * share) when kind = 'steps' then floor(event_id / 400)
             when kind = 'gauge' then value * factor when kind = 'state' then k % factor else factor end as value
 from interactions join (values {_ROWS}) v(no, metric, kind, factor, label, label_value, le, share) on (event_id + no) % 4 = 0"""
 
