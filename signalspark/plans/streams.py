@@ -90,7 +90,27 @@ def b16(spark, d):
     f"with {_FEATURES} select user_id, event_id, session_no, round(session_seconds, 6) as session_seconds, total_events, session_events, unique_items, unique_categories, round(total_events / greatest(session_seconds / 60, 1), 6) as events_per_minute from featured",
 )
 def b17(spark, d):
-    out = spark.read.parquet(_finish(op.stream_sessions(_events(spark, d)), spark))
+    out = spark.read.parquet(_finish(op.stream_sessions(_events(spark, d), ttl_seconds=None), spark))
+    return rounded(out.drop("batch_id"))
+
+
+@query(
+    "b17_stream_sessions_expiring",
+    """with gaps as (
+      select *, coalesce(ts - lag(ts) over u > interval 43200 seconds, true) as forgotten, lag(session_id) over u is distinct from session_id as other
+      from interactions window u as (partition by user_id order by ts, event_id)
+    ), chains as (
+      select *, sum(forgotten::int) over u as chain, sum((forgotten or other)::int) over u as visit from gaps window u as (partition by user_id order by ts, event_id rows unbounded preceding)
+    ), counted as (
+      select *, visit - min(visit) over (partition by user_id, chain) + 1 as session_no, count(*) over c as total_events, count(*) over v as session_events,
+             (epoch_us(ts) - epoch_us(min(ts) over v)) / 1000000.0::double as session_seconds, len(list_distinct(list(item_id) over v))::bigint as unique_items, len(list_distinct(list(item_category) over v))::bigint as unique_categories
+      from chains window c as (partition by user_id, chain order by ts, event_id rows unbounded preceding), v as (partition by user_id, visit order by ts, event_id rows unbounded preceding)
+    )
+    select user_id, event_id, session_no::bigint as session_no, round(session_seconds, 6) as session_seconds, total_events, session_events, unique_items, unique_categories,
+           round(total_events / greatest(session_seconds / 60, 1), 6) as events_per_minute from counted""",
+)
+def b17_expiring(spark, d):
+    out = spark.read.parquet(_finish(op.stream_sessions(_events(spark, d), ttl_seconds=43200), spark))
     return rounded(out.drop("batch_id"))
 
 

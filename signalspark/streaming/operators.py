@@ -14,9 +14,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators import events as event_ops
 from ..operators.drift import Gate, gate_columns
 from ..operators.features import event_weight, firings
+from .view_table import merge_batch, read_view
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: A session's state lives so long without events (fixed value, seconds).
+#: A user's state lives so long without events (fixed value, seconds).
 SESSION_TTL = 1800
 
 
@@ -35,49 +36,105 @@ def stream_popularity(stream: DataFrame, by: str = "item_id") -> DataFrame:
 
 # -- sessions ------------------------------------------------------------------------------
 
-SESSION_STATE = "session_id string, session_no long, started timestamp, total long, own long, items array<string>, categories array<string>"
+SESSION_STATE = "session_id string, session_no long, started timestamp, last timestamp, total long, own long, items long, categories long, timer long"
 SESSION_OUT = "user_id string, event_id long, session_no long, session_seconds double, total_events long, session_events long, unique_items long, unique_categories long, events_per_minute double"
 
 
+def _times(value: Any) -> np.datetime64:
+    return np.datetime64(pd.Timestamp(value).tz_localize(None), "us")
+
+
 class _Sessions(StatefulProcessor):
+    """A user's state: one row of counters, and the items and categories of the session that
+    goes on, each under its own key, so that a batch touches only those it brings."""
+
     def __init__(self, ttl_seconds: int | None):
         self.ttl = ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", SESSION_STATE, *([self.ttl * 1000] if self.ttl else []))
+        self.handle = handle
+        self.state = handle.getValueState("session", SESSION_STATE)
+        self.seen = handle.getMapState("seen", "kind string, name string", "at long")
+
+    def _first_seen(self, kind: str, names: np.ndarray, session: np.ndarray, goes_on: bool) -> np.ndarray:
+        """Whether a row's name is new to its session."""
+        rows = pd.DataFrame({"session": session, "name": names})
+        new = (~rows.duplicated() & rows["name"].notna()).to_numpy()
+        if goes_on:
+            for k in np.flatnonzero(new & (session == session[0])):
+                new[k] = not self.seen.containsKey((kind, names[k]))
+        return new
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        if self.state.exists():
-            session_id, number, started, total, own, items, categories = self.state.get()
-            started, items, categories = pd.Timestamp(started).tz_localize(None), set(items), set(categories)
-        else:
-            session_id, number, started, total, own, items, categories = None, 0, None, 0, 0, set(), set()
-        out = []
-        for r in batch.itertuples(index=False):
-            if number == 0 or r.session_id != session_id:
-                session_id, number, started, own, items, categories = r.session_id, number + 1, r.ts, 0, set(), set()
-            total, own = total + 1, own + 1
-            items |= {r.item_id} - {None}
-            categories |= {r.item_category} - {None}
-            seconds = (r.ts - started).total_seconds()
-            out.append((key[0], r.event_id, number, seconds, total, own, len(items), len(categories), total / max(seconds / 60, 1)))
-        self.state.update((session_id, number, started.to_pydatetime(), total, own, sorted(items), sorted(categories)))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in SESSION_OUT.split(", ")])
+        ts = batch["ts"].to_numpy().astype("datetime64[us]")
+        ids = batch["session_id"].astype(object).where(batch["session_id"].notna(), None).to_numpy()
+        known = self.state.get() if self.state.exists() else None
+        timer = known[8] if known else 0  # it is replaced, also that of a user who is new again
+        before = np.concatenate([[_times(known[3])] if known else ts[:1], ts[:-1]])
+        # An idle user is forgotten at the same event, wherever a micro-batch ends.
+        forgotten = ts - before > np.timedelta64(self.ttl, "s") if self.ttl else np.zeros(len(ts), bool)
+        forgotten[0] |= known is None
+        if forgotten[0]:
+            known = None
+        changed = forgotten | (ids != np.concatenate([[known[0] if known else None], ids[:-1]]))
+        place, goes_on = np.arange(len(ts)), not changed[0]
+        chain = np.maximum.accumulate(np.where(forgotten, place, -1))  # row at which the user is new; -1: before this batch
+        session = np.maximum.accumulate(np.where(changed, place, -1))
+        upto = np.cumsum(changed)
+        old = known or (None, 0, None, None, 0, 0, 0, 0)
+        number = np.where(chain < 0, old[1] + upto, upto - upto[chain] + 1)
+        total = np.where(chain < 0, old[4] + place + 1, place - chain + 1)
+        own = np.where(session < 0, old[5] + place + 1, place - session + 1)
+        started = np.where(session < 0, _times(old[2]) if known else ts[0], ts[session])
+        counts, fresh = [], []
+        for kind, column, held in (("item", "item_id", old[6]), ("category", "item_category", old[7])):
+            names = batch[column].astype(object).where(batch[column].notna(), None).to_numpy()
+            new = self._first_seen(kind, names, session, goes_on)
+            running = np.cumsum(new)
+            counts.append(np.where(session < 0, held + running, running - np.where(session > 0, running[session - 1], 0)))
+            fresh += [(kind, n) for n in names[new & (session == session[-1])]]
+        if session[-1] >= 0:
+            self.seen.clear()
+        for name in fresh:
+            self.seen.updateValue(name, (1,))
+        seconds = (ts - started) / np.timedelta64(1, "s")
+        self._keep(ids[-1], int(number[-1]), started[-1], ts[-1], int(total[-1]), int(own[-1]), int(counts[0][-1]), int(counts[1][-1]), timer)
+        columns = [key[0], batch["event_id"].to_numpy(), number, seconds, total, own, *counts, total / np.maximum(seconds / 60, 1)]
+        yield pd.DataFrame(dict(zip([f.split()[0] for f in SESSION_OUT.split(", ")], columns)))
+
+    def _keep(self, session_id: Any, number: int, started: np.datetime64, last: np.datetime64, *others: int) -> None:
+        *counters, timer = others
+        if self.ttl:
+            at = int(last.astype("datetime64[ms]").astype(np.int64)) + self.ttl * 1000 + 1
+            if timer and timer != at:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
+            timer = at
+        self.state.update((session_id, number, pd.Timestamp(started).to_pydatetime(), pd.Timestamp(last).to_pydatetime(), *counters, timer))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        self.seen.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def stream_sessions(stream: DataFrame, *, ttl_seconds: int | None = None) -> DataFrame:
+def stream_sessions(stream: DataFrame, *, ttl_seconds: int | None = SESSION_TTL, late: str = "1 hour") -> DataFrame:
     """Session features at each event, with one state per user.
 
     Events of a user must arrive in order of time between micro-batches; within one they
-    are sorted.  With `ttl_seconds` an idle user's state expires.
+    are sorted.  A user idle for more than `ttl_seconds` is forgotten: the next event is a new
+    user's, and the state goes once the watermark, `late` behind the newest event, has passed.
+    Without `ttl_seconds` states stay for good.
     """
     use_rocksdb(stream.sparkSession)
     rows = stream.select("user_id", "ts", "event_id", "session_id", "item_id", "item_category")
-    mode = "ProcessingTime" if ttl_seconds else "None"
+    if ttl_seconds:
+        rows = rows.withWatermark("ts", late)
+    mode = "EventTime" if ttl_seconds else "None"
     return rows.groupBy("user_id").transformWithStateInPandas(_Sessions(ttl_seconds), outputStructType=SESSION_OUT, outputMode="Append", timeMode=mode)
 
 
@@ -161,29 +218,14 @@ def latest_by_key(spark: SparkSession, path: str, *keys: str) -> DataFrame:
 
 
 def stream_online_view(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Upsert feature-log rows into a versioned view table.
-
-    Each micro-batch merges its newest row per key with the version before it and writes
-    the version of its own number, so that repeating a batch gives the same table.
-    """
-    key = ["entity_type", "entity_id", "feature_name"]
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*key, "value", "feature_ts", "version", "write_seq")
-        if batch_id > 0:
-            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{path}/view_{batch_id - 1}"))
-        newest = rows.groupBy(*key).agg(F.max_by(F.struct("value", "feature_ts", "version", "write_seq"), "write_seq").alias("last")).select(*key, "last.*")
-        newest.write.mode("overwrite").parquet(f"{path}/view_{batch_id}")
-        done = batch.sparkSession.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"))
-        done.coalesce(1).write.mode("overwrite").parquet(f"{path}/done/{batch_id % 2}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Upsert feature-log rows into a view table; a micro-batch writes the buckets that it
+    changes, and repeating one gives the same table."""
+    return stream.writeStream.foreachBatch(lambda batch, batch_id: merge_batch(batch, batch_id, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_online_view(spark: SparkSession, path: str) -> DataFrame:
     """The newest complete version of the view."""
-    last = spark.read.parquet(f"{path}/done/*").agg(F.max("batch_id")).first()[0]
-    return spark.read.parquet(f"{path}/view_{last}")
+    return read_view(spark, path)
 
 
 class EventPipeline:
