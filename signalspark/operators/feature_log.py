@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
 from .slabs import with_halo
 
 KEY = ["entity_type", "entity_id", "feature_name"]
@@ -124,11 +125,10 @@ def feature_statistics(log: DataFrame, names: list[str] | None = None, *, entity
         rows = rows.where(F.col("feature_ts") >= start)
     if end is not None:
         rows = rows.where(F.col("feature_ts") <= end)
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = rows.groupBy("feature_name").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("x").alias("n_values"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), q.alias("q")
-    )
-    return stats.select("feature_name", "n_rows", "n_values", "mean", "std", "min", "max", F.col("q")[1].alias("median"), F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"))
+    stats = rows.groupBy("feature_name").agg(F.count(F.lit(1)).alias("n_rows"), F.count("x").alias("n_values"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    quantiles = exact_quantiles(rows, ["feature_name"], "x", (0.25, 0.5, 0.75)).withColumnRenamed("feature_name", "f")
+    both = stats.join(quantiles, F.col("feature_name").eqNullSafe(F.col("f")), "left")
+    return both.select("feature_name", "n_rows", "n_values", "mean", "std", "min", "max", F.col("q1").alias("median"), F.col("q0").alias("q25"), F.col("q2").alias("q75"))
 
 
 def write_export(exported: DataFrame, path: str) -> DataFrame:

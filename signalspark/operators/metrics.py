@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_ratio
+from .quantiles import exact_quantiles
 from .rules import compared
 from .slabs import carried, ranged, reset_steps, with_halo
 
@@ -115,9 +116,11 @@ def slo_status(df: DataFrame, *, window: str = "1 day", ts: str = "ts", seconds:
 
 def request_metrics(df: DataFrame, *, window: str = "1 day", ts: str = "ts", seconds: float = 86400.0) -> DataFrame:
     """Per endpoint and window: requests, latency percentiles, error share, requests a second."""
-    q = F.percentile("seconds", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    rows = df.groupBy(F.window(ts, window).alias("w"), "endpoint").agg(F.count(F.lit(1)).alias("n"), q.alias("q"), safe_ratio(F.count_if(F.col("status") >= 500), F.count(F.lit(1))).alias("error_share"))
-    return rows.select(F.col("w.start").alias("window_start"), "endpoint", "n", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), "error_share", (F.col("n") / seconds).alias("qps"))
+    rows = df.withColumn("window_start", F.window(ts, window)["start"])
+    counts = rows.groupBy("window_start", "endpoint").agg(F.count(F.lit(1)).alias("n"), safe_ratio(F.count_if(F.col("status") >= 500), F.count(F.lit(1))).alias("error_share"))
+    quantiles = exact_quantiles(rows, ["window_start", "endpoint"], "seconds", (0.5, 0.95, 0.99)).withColumnsRenamed({"window_start": "w", "endpoint": "e"})
+    both = counts.join(quantiles, F.col("window_start").eqNullSafe(F.col("w")) & F.col("endpoint").eqNullSafe(F.col("e")), "left")
+    return both.select("window_start", "endpoint", "n", F.col("q0").alias("p50"), F.col("q1").alias("p95"), F.col("q2").alias("p99"), "error_share", (F.col("n") / seconds).alias("qps"))
 
 
 def recommendation_metrics(df: DataFrame) -> DataFrame:

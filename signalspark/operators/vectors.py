@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_doubles, dot, unit
+from ..sources.commits import commit_text, names_in, read_text, remove
 from ..sources.scratch import materialize
+from .quantiles import exact_quantiles
 
 #: Factor of an index's size over the raw vectors, by kind (fixed values).
 SIZE_FACTORS = {"flat": 1.0, "ivf": 1.0, "hnsw": 1.5}
@@ -199,19 +204,22 @@ def index_consistency(tracked: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def publish_index(index: DataFrame, root: str, version: int) -> str:
-    """Write the index as a new version, then its manifest row; returns the table's path."""
-    path = f"{root}/index_{version}"
+    """Write the index under a name of its own, then commit its version by rename; returns the
+    table's path.  Of two writers of a version one gets a ValueError, and its table is removed."""
+    path = f"{root}/index_{version}-{uuid.uuid4().hex}"
     index.write.partitionBy("cell").parquet(path) if "cell" in index.columns else index.write.parquet(path)
     spark = index.sparkSession
-    stats = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_items")).select(F.lit(version).cast("long").alias("version"), F.lit(path).alias("path"), "n_items")
-    stats.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    n = spark.read.parquet(path).count()
+    if not commit_text(spark, f"{root}/manifest/{version:020d}", json.dumps({"version": version, "path": path, "n_items": n})):
+        remove(spark, path)
+        raise ValueError(f"version {version} is published already")
     return path
 
 
 def load_latest_index(spark: SparkSession, root: str) -> DataFrame:
     """The newest published index."""
-    newest = spark.read.parquet(f"{root}/manifest").agg(F.max_by("path", "version").alias("path")).first()
-    return spark.read.parquet(newest["path"])
+    newest = names_in(spark, f"{root}/manifest")[-1]
+    return spark.read.parquet(json.loads(read_text(spark, f"{root}/manifest/{newest}"))["path"])
 
 
 def benchmark_report(results: DataFrame) -> DataFrame:
@@ -220,9 +228,10 @@ def benchmark_report(results: DataFrame) -> DataFrame:
 
     `results`: config, latency_ms per query, with recall_10 and size_mb of the configuration.
     """
-    q = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    rows = results.groupBy("config").agg(F.count(F.lit(1)).alias("n_queries"), q.alias("q"), F.avg("latency_ms").alias("mean_ms"), F.max("recall_10").alias("recall_10"), F.max("size_mb").alias("size_mb"))
-    rows = rows.select("config", "n_queries", F.col("q")[0].alias("p50_ms"), F.col("q")[1].alias("p95_ms"), F.col("q")[2].alias("p99_ms"), F.try_divide(F.lit(1000.0), "mean_ms").alias("qps"), "recall_10", "size_mb")
+    rows = results.groupBy("config").agg(F.count(F.lit(1)).alias("n_queries"), F.avg("latency_ms").alias("mean_ms"), F.max("recall_10").alias("recall_10"), F.max("size_mb").alias("size_mb"))
+    quantiles = exact_quantiles(results, ["config"], "latency_ms", (0.5, 0.95, 0.99)).withColumnRenamed("config", "c")
+    rows = rows.join(quantiles, F.col("config").eqNullSafe(F.col("c")), "left")
+    rows = rows.select("config", "n_queries", F.col("q0").alias("p50_ms"), F.col("q1").alias("p95_ms"), F.col("q2").alias("p99_ms"), F.try_divide(F.lit(1000.0), "mean_ms").alias("qps"), "recall_10", "size_mb")
     rows = rows.withColumn("efficiency", F.try_divide(F.col("recall_10") * F.col("qps"), F.col("p95_ms") * F.col("size_mb")))
     best = rows.agg(
         F.min_by("config", "p95_ms").alias("best_latency"), F.max_by("config", "qps").alias("best_throughput"), F.max_by("config", "recall_10").alias("best_recall"),

@@ -272,6 +272,27 @@ def e3(spark, d):
     return sync_op.sync_writes(sync_op.resolve(_diff(spark, d))).select("target", "entity_id", "feature_name", "value")
 
 
+def _written_diff(spark, d):
+    """The differences of both stores by their digests."""
+    root = f"{scratch_dir(spark)}/stores-{uuid.uuid4().hex}"
+    sync_op.write_store(fx.online_state(spark, d), f"{root}/online")
+    sync_op.write_store(fx.offline_state(spark, d), f"{root}/offline")
+    return sync_op.diff_written_stores(spark, f"{root}/online", f"{root}/offline")
+
+
+@query("e1_diff_by_digests", f"with {_DIFF} select entity_id, feature_name, online_value, offline_value, status from diff where status <> 'equal'")
+def e1_digests(spark, d):
+    return _written_diff(spark, d).select("entity_id", "feature_name", "online_value", "offline_value", "status")
+
+
+@query(
+    "e3_sync_writes_by_digests",
+    f"with {_DIFF} select target, entity_id, feature_name, case winner when 'online' then online_value else offline_value end as value from won, (values ('online'), ('offline')) t(target) where winner is not null and (status = 'conflict' or target <> winner)",
+)
+def e3_digests(spark, d):
+    return sync_op.sync_writes(sync_op.resolve(_written_diff(spark, d))).select("target", "entity_id", "feature_name", "value")
+
+
 @query(
     "e4_sync_metrics",
     f"""with {_DIFF}, m as (select feature_name as entity_type, entity_id, status from diff)
