@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,8 +24,12 @@ from .quantiles import exact_quantiles
 SIZE_FACTORS = {"flat": 1.0, "ivf": 1.0, "hnsw": 1.5}
 #: Rows that train a quantizer at most.
 MAX_TRAINING = 100_000
-#: Queries packed into one row, and items that meet such a row in one task.
-BLOCK_QUERIES, PART_ITEMS = 64, 200_000
+#: Queries of a block and items of a part that meet in one group.
+BLOCK_QUERIES, PART_ITEMS = 1024, 4096
+#: A cell may hold so many times the mean of a cell before it is split.
+CELL_SIZE = 4
+#: Rounds in which large cells are split.
+SPLITS = 4
 
 
 def l2_normalize(df: DataFrame, col: str = "embedding") -> DataFrame:
@@ -33,31 +42,69 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "item_id", "score")
 
 
-def meet(items: DataFrame, asked: DataFrame, key: str, *, least: int = 16) -> DataFrame:
-    """Every row of `items` with every row of `asked` (a stated query set), as the struct `a`.
+def _dealt(items: DataFrame, asked: DataFrame, key: str, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Both with __block and __part, so that every item meets every row of `asked` (a stated
+    query set) in one group: parts of about PART_ITEMS items, blocks of about BLOCK_QUERIES.
 
-    The rows of `asked` are packed, about BLOCK_QUERIES to a row; items are dealt into parts
-    of about PART_ITEMS, and each pair of a block and a part is one key of an equi-join.
-    Both numbers follow the row counts, so that neither rows nor tasks grow with the data.
+    An item is copied once for each block, that is hardly ever; a query once for each part.
     """
     blocks, parts = max(least, -(-asked.count() // BLOCK_QUERIES)), max(1, -(-items.count() // PART_ITEMS))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    packed = asked.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("__block")).agg(F.collect_list(F.struct(*asked.columns)).alias("__asked"))
-    packed = packed.select("*", every(parts).alias("__part"))
-    dealt = items.select("*", F.pmod(F.xxhash64(items.columns[0]), F.lit(parts)).cast("int").alias("__part")).select("*", every(blocks).alias("__block"))
-    return dealt.join(packed, ["__block", "__part"]).select(*items.columns, F.explode("__asked").alias("a"))
+    left = items.select("*", F.pmod(F.xxhash64(items.columns[0]), F.lit(parts)).cast("int").alias("__part")).select("*", every(blocks).alias("__block"))
+    right = asked.select("*", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("__block")).select("*", every(parts).alias("__part"))
+    return left, right
+
+
+def meet(items: DataFrame, asked: DataFrame, key: str, *, least: int = 1) -> DataFrame:
+    """Every row of `items` with every row of `asked`, as the struct `a`, in `least` blocks or more."""
+    left, right = _dealt(items, asked, key, least)
+    packed = right.groupBy("__block", "__part").agg(F.collect_list(F.struct(*asked.columns)).alias("__asked"))
+    return left.join(packed, ["__block", "__part"]).select(*items.columns, F.explode("__asked").alias("a"))
+
+
+def _best_of_blocks(items: DataFrame, asked: DataFrame, scores: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int) -> DataFrame:
+    """The `k` best items (item_id, x) of each query (query_id, q): every group of a block and a
+    part scores its pairs with numpy, and only its `k` best of a query leave it."""
+    left, right = _dealt(items, asked, "query_id")
+    kinds = items.schema["item_id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
+
+    def matrix(table: pa.Table, column: str) -> np.ndarray:
+        values = table.column(column).combine_chunks()
+        while pa.types.is_list(values.type):
+            values = values.flatten()
+        return values.to_numpy(zero_copy_only=False).reshape(len(table), -1)
+
+    def best(own: pa.Table, block: pa.Table) -> pa.Table:
+        own = own.take(pc.sort_indices(own, sort_keys=[("item_id", "ascending")]))  # ties to the smaller id
+        rows, places, values = [], [], []
+        if len(own) and len(block):
+            found = scores(matrix(own, "x"), matrix(block, "q"))
+            for q in range(len(block)):
+                order = np.argsort(-found[q], kind="stable")[:k]
+                rows.append(np.full(len(order), q))
+                places.append(order)
+                values.append(found[q][order])
+        at = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, places, values)]
+        return pa.table({"query_id": block.column("query_id").take(pa.array(at[0])), "item_id": own.column("item_id").take(pa.array(at[1])), "score": at[2].astype(np.float64)})
+
+    groups = left.groupBy("__block", "__part").cogroup(right.groupBy("__block", "__part"))
+    return _top(groups.applyInArrow(best, f"query_id {kinds[1]}, item_id {kinds[0]}, score double"), k)
+
+
+def _products(items: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Inner products; each pair is summed in the same order wherever it stands, so that equal
+    vectors have equal scores."""
+    return np.einsum("qd,nd->qn", queries, items)
 
 
 def exact_topk(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The `k` items with the largest cosine for each query, ties by item id.
 
-    Queries (query_id, embedding) are a stated set, which meets the items in blocks; the
-    window keeps only `k` rows per query and task before the shuffle.
+    Queries (query_id, embedding) are a stated set, which meets the items in blocks.
     """
     asked = l2_normalize(queries).where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").alias("q"))
-    known = l2_normalize(items).where(F.col("embedding").isNotNull()).select("item_id", "embedding")
-    pairs = meet(known, asked, "query_id")
-    return _top(pairs.select(F.col("a.query_id").alias("query_id"), "item_id", dot("a.q", "embedding").alias("score")), k)
+    known = l2_normalize(items).where(F.col("embedding").isNotNull()).select("item_id", F.col("embedding").alias("x"))
+    return _best_of_blocks(known, asked, _products, k)
 
 
 def _sample(df: DataFrame, n: int, seed: int) -> DataFrame:
@@ -66,29 +113,71 @@ def _sample(df: DataFrame, n: int, seed: int) -> DataFrame:
     return df if total <= n else df.sample(n / total, seed=seed)
 
 
+def _centroid_rows(centres: list, first: int) -> list[tuple[int, list[float]]]:
+    return [(first + i, [float(x) for x in c]) for i, c in enumerate(centres)]
+
+
+def assign_cells(items: DataFrame, centroids: DataFrame) -> DataFrame:
+    """item_id, embedding (normalized) and the cell of the nearest centroid, ties to the smaller
+    cell.  Centroids (cell, centroid) are some thousands at most."""
+    cells = centroids.agg(F.array_sort(F.collect_list(F.struct("cell", "centroid"))).alias("cells"))
+    apart = lambda c: F.aggregate(F.zip_with("embedding", c["centroid"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    nearest = F.array_min(F.transform("cells", lambda c: F.struct(apart(c).alias("apart"), c["cell"].alias("cell"))))
+    known = l2_normalize(items).where(F.col("embedding").isNotNull())
+    return known.join(F.broadcast(cells)).select("item_id", "embedding", nearest["cell"].alias("cell"))
+
+
 def build_ivf(items: DataFrame, nlist: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(index, centroids): every item with its cell, and the centroid of each cell.
 
     k-means runs on a sample of at most 100,000 normalized vectors; nlist defaults to a
-    tenth of the items, at most 1000.
+    tenth of the items, at most 1000.  A cell of more than CELL_SIZE times the mean is split
+    by a k-means of its own, SPLITS times at most; all vectors of a cell may be one, so that
+    the search deals large cells over several tasks.
     """
     known = l2_normalize(items).where(F.col("embedding").isNotNull()).withColumn("features", array_to_vector("embedding"))
-    cells = nlist or max(1, min(1000, known.count() // 10))
+    n = known.count()
+    cells = nlist or max(1, min(1000, n // 10))
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(_sample(known, MAX_TRAINING, seed))
-    index = model.transform(known).select("item_id", "embedding", F.col("prediction").alias("cell"))
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return index, items.sparkSession.createDataFrame(rows, "cell int, centroid array<double>")
+    index = model.transform(known).select("item_id", "embedding", "features", F.col("prediction").alias("cell"))
+    rows = _centroid_rows(model.clusterCenters(), 0)
+    limit = max(1, CELL_SIZE * n // cells)
+    whole: set[int] = set()  # cells of one vector, which k-means cannot split
+    for _ in range(SPLITS):
+        large = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > limit) & ~F.col("cell").isin(sorted(whole))).orderBy("cell").collect()
+        if not large:  # else fewer than cells / CELL_SIZE
+            break
+        index = materialize(index, "cells")
+        parts = [index.where(~F.col("cell").isin([r["cell"] for r in large]))]
+        for r in large:
+            own, first = index.where(F.col("cell") == r["cell"]), max(i for i, _ in rows) + 1
+            inner = KMeans(k=-(-2 * r["n"] // limit), seed=seed, maxIter=10).fit(_sample(own, MAX_TRAINING, seed))
+            children = _centroid_rows(inner.clusterCenters(), first)
+            if len(children) == 1:
+                whole.add(first)
+            rows = [x for x in rows if x[0] != r["cell"]] + children
+            parts.append(inner.transform(own).withColumn("cell", (F.col("prediction") + first).cast("int")).drop("prediction"))
+        index = reduce(DataFrame.unionByName, parts)
+    return index.select("item_id", "embedding", "cell"), items.sparkSession.createDataFrame(rows, "cell int, centroid array<double>")
 
 
 def ivf_search(index: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int = 10) -> DataFrame:
-    """Top `k` inside the `nprobe` cells nearest to each query (at most 1000 centroids are broadcast)."""
+    """Top `k` inside the `nprobe` cells nearest to each query, ties to the smaller cell.
+
+    Centroids are broadcast (some thousands at most).  Large cells are dealt into parts of
+    about PART_ITEMS, which a probe meets one by one.
+    """
     asked = l2_normalize(queries).where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").alias("q"))
     apart = F.aggregate(F.zip_with("q", "centroid", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
     near = Window.partitionBy("query_id").orderBy("apart", "cell")
+    sizes = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.ceil(F.col("n") / PART_ITEMS).cast("int").alias("parts"))
+    sizes = materialize(sizes, "cell-sizes")  # one row for each cell
     every = centroids.agg(F.collect_list(F.struct("cell", "centroid")).alias("cells"))
     probes = asked.join(F.broadcast(every)).select("query_id", "q", F.explode("cells").alias("c")).select("query_id", "q", "c.*").withColumn("apart", apart)
-    probes = probes.withColumn("n", F.row_number().over(near)).where(F.col("n") <= nprobe).select("query_id", "q", "cell")
-    return _top(index.join(probes, "cell").select("query_id", "item_id", dot("q", "embedding").alias("score")), k)
+    probes = probes.withColumn("n", F.row_number().over(near)).where(F.col("n") <= nprobe).join(F.broadcast(sizes), "cell")
+    probes = probes.select("query_id", "q", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = index.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int"))
+    return _top(dealt.join(probes, ["cell", "part"]).select("query_id", "item_id", dot("q", "embedding").alias("score")), k)
 
 
 def train_pq(items: DataFrame, m: int = 8, nbits: int = 4, seed: int = 42) -> DataFrame:
@@ -132,9 +221,15 @@ def pq_search(codes: DataFrame, books: DataFrame, queries: DataFrame, n: int = 1
     width = F.size("embedding") / F.size("book")
     table = F.transform("book", lambda centres, part: F.transform(centres, lambda c: dot(F.slice("embedding", (part * width + 1).cast("int"), width.cast("int")), c)))
     asked = asked.select("query_id", table.alias("table"))
-    pairs = meet(codes.select("item_id", "codes"), asked, "query_id")
-    score = F.aggregate(F.zip_with("codes", "a.table", lambda c, t: F.get(t, c.cast("int"))), F.lit(0.0), lambda a, x: a + x)
-    return _top(pairs.select("a.query_id", "item_id", score.alias("score")), n)
+
+    def scores(own: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        by_part = tables.reshape(len(tables), own.shape[1], -1)
+        found = np.zeros((len(tables), len(own)))
+        for part in range(own.shape[1]):
+            found += by_part[:, part, own[:, part]]
+        return found
+
+    return _best_of_blocks(codes.select("item_id", F.col("codes").alias("x")), asked.withColumnRenamed("table", "q"), scores, n)
 
 
 def rerank(cands: DataFrame, items: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -42,6 +42,59 @@ def f4(spark, d):
     return rounded(op.ivf_search(index, centroids, _queries(items), 10, nprobe=12))
 
 
+def _given_centroids(items):
+    return op.l2_normalize(items.where("item_id < 16")).select(F.col("item_id").cast("int").alias("cell"), F.col("embedding").alias("centroid"))
+
+
+@query(
+    "f4_search_given_centroids",
+    f"""with {_UNIT}, cents as (select item_id as cell, e as c from unit_ where item_id < 16), apart as (select item_id, e, cell, list_distance(e, c) as d from unit_, cents),
+    index as (select item_id, e, arg_min(cell, row(d, cell)) as cell from apart group by all),
+    probes as (select item_id as query_id, e as q, cell from apart where item_id % 50 = 0 qualify row_number() over (partition by item_id order by d, cell) <= 4),
+    found as (select query_id, item_id, list_inner_product(q, e) as score from index join probes using (cell) qualify row_number() over (partition by query_id order by score desc, item_id) <= 10)
+    select query_id, row_number() over (partition by query_id order by score desc, item_id)::int as rank, item_id, round(score, 6) as score from found""",
+)
+def f4_given(spark, d):
+    items = fx.items(spark, d)
+    centroids = _given_centroids(items)
+    return rounded(op.ivf_search(op.assign_cells(items, centroids), centroids, _queries(items), 10, nprobe=4))
+
+
+@query("f3_cells_given_centroids", f"with {_UNIT}, cents as (select item_id as cell, e as c from unit_ where item_id < 16), near as (select item_id, arg_min(cell, row(list_distance(e, c), cell)) as cell from unit_, cents group by 1) select cell::int as cell, count(*) as n_items from near group by 1")
+def f3_given(spark, d):
+    items = fx.items(spark, d)
+    return op.assign_cells(items, _given_centroids(items)).groupBy("cell").agg(F.count(F.lit(1)).alias("n_items"))
+
+
+_BOOKS = f"""{_UNIT}, books as (select p, item_id as code, e[p * 8 + 1 : p * 8 + 8] as c from unit_, range(8) r(p) where item_id < 16),
+    coded as (select item_id, p, arg_min(code, row(list_distance(e[p * 8 + 1 : p * 8 + 8], c), code)) as code from unit_ join books on true group by all)"""
+
+
+def _given_books(items):
+    parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.struct(p.alias("part"), F.slice("embedding", p * 8 + 1, 8).alias("centre")))
+    rows = op.l2_normalize(items.where("item_id < 16")).select(F.col("item_id").cast("int").alias("code"), F.explode(parts).alias("p"))
+    return rows.select("p.part", "code", "p.centre")
+
+
+@query("f5_encode_given_codebooks", f"with {_BOOKS} select item_id, string_agg(code, ',' order by p) as codes from coded group by 1")
+def f5_given(spark, d):
+    items = fx.items(spark, d)
+    codes = op.encode_pq(items, _given_books(items))
+    return codes.select("item_id", F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"))
+
+
+@query(
+    "f6_search_given_codebooks",
+    f"""with {_BOOKS}, scored as (select q.item_id as query_id, k.item_id, sum(list_inner_product(q.e[k.p * 8 + 1 : k.p * 8 + 8], b.c)) as score from unit_ q, coded k join books b on b.p = k.p and b.code = k.code where q.item_id % 50 = 0 group by all)
+    select query_id, r as rank, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc)::int as r from scored) where r <= 100""",
+)
+def f6_given(spark, d):
+    """Items of equal codes tie up to rounding, so that ranks and scores are compared."""
+    items = fx.items(spark, d)
+    books = _given_books(items)
+    return rounded(op.pq_search(op.encode_pq(items, books), books, _queries(items), 100).select("query_id", "rank", "score"))
+
+
 @query("f5_encode_pq")
 def f5(spark, d):
     items = fx.items(spark, d)
