@@ -51,46 +51,63 @@ _CACHE_WORDS = 300_000
 
 
 class TextFeatures:
-    """Dense features of whole texts; `lexicon` has log-odds of words and of stems (with "-")."""
+    """Dense features of whole texts; `lexicon` has log-odds of words and of stems (with "-").
+
+    A token is looked at once: most are plain, and only the others are counted.  Signs and
+    capitals stand in words that are not all letters in lower or title case; the patterns
+    look at these words alone, as none of them reaches over white space.
+    """
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.known = lexicon, {}
+        self.lexicon = lexicon
+        self.plain: set[str] = set()
+        self.special: dict[str, tuple[float, bool, bool, int]] = {}
 
     def weight(self, token: str) -> float:
         """Largest log-odds of the token or of its beginnings, 0 if none is learned."""
-        found = self.known.get(token)
+        get = self.lexicon.get
+        return max(get(token, 0.0), *(get(token[:k] + "-", 0.0) for k in STEMS if len(token) > k), 0.0)
+
+    def _look(self, token: str) -> tuple[float, bool, bool, int] | None:
+        """(weight, insult, second person, stretched letters) of a token; None for a plain one."""
+        found = self.special.get(token)
         if found is None:
-            get = self.lexicon.get
-            found = max(get(token, 0.0), *(get(token[:k] + "-", 0.0) for k in STEMS if len(token) > k), 0.0)
-            if len(self.known) >= _CACHE_WORDS:
-                self.known.clear()
-            self.known[token] = found
+            found = self.weight(token) if self.lexicon else 0.0, token in INSULTS, token in SECOND_PERSON, len(_RUN.findall(token))
+            if len(self.plain) + len(self.special) >= _CACHE_WORDS:
+                self.plain.clear()
+                self.special.clear()
+            if found[0] >= WEAK or any(found[1:]):
+                self.special[token] = found
+            else:
+                self.plain.add(token)
+                return None
         return found
 
     def __call__(self, text: str) -> list[float]:
-        low = text.lower()
-        tokens = _TOKEN.findall(low)
+        tokens = _TOKEN.findall(text.lower())
         n, size = max(1, len(tokens)), max(1, len(text))
-        insults = sum(map(INSULTS.__contains__, tokens))
-        weights = list(map(self.weight, tokens)) if self.lexicon else []
-        hits = [w for w in weights if w >= WEAK]
+        plain = self.plain
+        seen = [(i, t, x) for i, t in enumerate(tokens) if t not in plain and (x := self._look(t)) is not None]
+        hits = [x[0] for *_, x in seen if x[0] >= WEAK]
         strong = sum(w >= STRONG for w in hits)
-        kinds = len({t for t, w in zip(tokens, weights) if w >= WEAK}) if hits else 0
-        you = [i for i, t in enumerate(tokens) if t in SECOND_PERSON]
+        kinds = len({t for _, t, x in seen if x[0] >= WEAK})
+        insults, stretched = sum(x[1] for *_, x in seen), sum(x[3] for *_, x in seen)
+        you = [i for i, _, x in seen if x[2]]
         near = 0.0
         if you and (insults or strong):
-            places = [i for i, t in enumerate(tokens) if t in INSULTS or (weights and weights[i] >= STRONG)]
+            places = [i for i, _, x in seen if x[1] or x[0] >= STRONG]
             close = {j for i in you for j in range(i - NEAR, i + NEAR + 1)}
             near = sum(i in close for i in places) / len(places)
-        odd = _ODD.findall(low)
+        signs = " ".join([w for w in text.split() if not (w.isalpha() and (w.islower() or w.istitle()))])
+        odd = _ODD.findall(signs.lower())
         odd_hits = sum(o.translate(_LEET).replace(" ", "") in INSULTS for o in odd)
         letters = max(1, sum(map(len, tokens)))
         return [
             insults / n, math.log1p(insults), strong / n, math.log1p(strong), (len(hits) - strong) / n, math.log1p(len(hits) - strong),
             math.log1p(kinds), sum(hits) / n, math.log1p(sum(hits)), max(hits, default=0.0),
-            near, len(you) / n, len(_UPPER.findall(text)) / letters, len(_LOUD.findall(text)) / n,
-            text.count("!") / size, text.count("?") / size, len(_PUNCTUATION.findall(text)) / size, len(_MARKS.findall(text)) / n,
-            len(odd) / n, math.log1p(odd_hits), len(_RUN.findall(low)) / n, math.log1p(len(tokens)), letters / n,
+            near, len(you) / n, len(_UPPER.findall(text)) / letters, len(_LOUD.findall(signs)) / n,
+            text.count("!") / size, text.count("?") / size, len(_PUNCTUATION.findall(signs)) / size, len(_MARKS.findall(signs)) / n,
+            len(odd) / n, math.log1p(odd_hits), stretched / n, math.log1p(len(tokens)), letters / n,
         ]
 
 
