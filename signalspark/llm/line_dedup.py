@@ -68,7 +68,7 @@ def boilerplate_lines(
     )
     sure = seen.where(F.col("sites") > high).select("k1", "k2", "home", "n")
     near = seen.where(F.col("sites") <= high)
-    pairs = lines.join(near.select("k1", "k2"), ["k1", "k2"], "left_semi").where(F.col("site").isNotNull())
+    pairs = _only(lines, near).where(F.col("site").isNotNull())
     exact = (
         pairs.groupBy("k1", "k2", "site").agg(F.count(F.lit(1)).alias("c"))
         .groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("exact_sites"))
@@ -77,22 +77,44 @@ def boilerplate_lines(
     return sure.unionByName(near.join(exact, ["k1", "k2"]).select("k1", "k2", "home", "n"))
 
 
+def _split(keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(keys to broadcast, all others): all of few keys, else those of a large share of their
+    occurrences; the others are None where there are none."""
+    if keys.count() <= BROADCAST_KEYS:
+        return keys, None
+    total = keys.agg(F.sum("n")).first()[0]
+    return keys.where(F.col("n") >= total * HEAVY_SHARE), keys.where(F.col("n") < total * HEAVY_SHARE)
+
+
+def _salted(lines: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt, which deals the lines of a key over SALTS tasks."""
+    salt = F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int")
+    return lines.withColumn("salt", salt), keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _only(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """The lines of some keys (k1, k2, n)."""
+    heavy, light = _split(keys)
+    found = lines.join(F.broadcast(heavy.select("k1", "k2")), ["k1", "k2"], "left_semi")
+    if light is None:
+        return found
+    left, right = _salted(lines.where(F.trim("line") != ""), light.select("k1", "k2"))
+    return found.unionByName(left.join(right, ["k1", "k2", "salt"], "left_semi").drop("salt"))
+
+
 def _flag(lines: DataFrame, flagged: DataFrame) -> DataFrame:
     """Left join of lines to flagged keys: `home` and `hit` are null for unflagged ones."""
-    marked = flagged.select("k1", "k2", "home", F.lit(True).alias("hit"))
-    size = flagged.count()
-    if size <= BROADCAST_KEYS:
-        return lines.join(F.broadcast(marked), ["k1", "k2"], "left")
-    total = flagged.agg(F.sum("n")).first()[0]
-    heavy = flagged.where(F.col("n") >= total * HEAVY_SHARE).select("k1", "k2", F.col("home").alias("h1"), F.lit(True).alias("hit1"))
-    light = flagged.where(F.col("n") < total * HEAVY_SHARE).select("k1", "k2", F.col("home").alias("h2"), F.lit(True).alias("hit2"))
+    marked = flagged.select("k1", "k2", "home", "n", F.lit(True).alias("hit"))
+    heavy, light = _split(marked)
+    if light is None:
+        return lines.join(F.broadcast(heavy.drop("n")), ["k1", "k2"], "left")
+    heavy, light = (df.drop("n").withColumnsRenamed({"home": f"h{i}", "hit": f"hit{i}"}) for i, df in ((1, heavy), (2, light)))
     first = lines.join(F.broadcast(heavy), ["k1", "k2"], "left")
     # Lines settled by the broadcast and blank ones, which are never flagged, are not shuffled.
     settled = F.col("hit1").isNotNull() | (F.trim("line") == "")
     done = first.where(settled).withColumnsRenamed({"h1": "home", "hit1": "hit"})
-    open_ = first.where(~settled).drop("h1", "hit1").withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int"))
-    spread = light.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rest = open_.join(spread, ["k1", "k2", "salt"], "left").drop("salt")
+    left, right = _salted(first.where(~settled).drop("h1", "hit1"), light)
+    rest = left.join(right, ["k1", "k2", "salt"], "left").drop("salt")
     return done.unionByName(rest.withColumnsRenamed({"h2": "home", "hit2": "hit"}))
 
 
