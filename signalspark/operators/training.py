@@ -110,17 +110,29 @@ def sample_negatives(samples: DataFrame, history: DataFrame, probs: DataFrame, n
     cut = lambda x: F.floor(x / F.lit(float(total or 1.0)) * slices).cast("long")
     ranges = items.select("item_id", "lo", "hi", F.explode(F.sequence(cut(F.col("lo")), cut(F.col("hi")))).alias("slice"))
     asked = samples.select("sample_id", "user_id", "item_id")
-    points = asked.select("sample_id", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("t"))
-    points = points.withColumn("at", uniform_hash(F.col("sample_id"), F.col("t"), F.lit(seed)) * F.lit(float(total or 0.0)))
-    hits = points.withColumn("slice", cut(F.col("at"))).join(ranges, "slice").where((F.col("lo") <= F.col("at")) & (F.col("at") < F.col("hi")))
-    drawn = hits.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("t", "item_id"))).alias("drawn"))
+
+    def points(rows: DataFrame, first: int, last: int) -> DataFrame:
+        """(sample_id, drawn): the items of the attempts `first` to `last` in their order."""
+        tried = rows.select("sample_id", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("t"))
+        tried = tried.withColumn("at", uniform_hash(F.col("sample_id"), F.col("t"), F.lit(seed)) * F.lit(float(total or 0.0)))
+        hits = tried.withColumn("slice", cut(F.col("at"))).join(ranges, "slice").where((F.col("lo") <= F.col("at")) & (F.col("at") < F.col("hi")))
+        drawn = hits.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("t", "item_id"))).alias("drawn"))
+        return drawn.withColumn("drawn", F.transform("drawn", lambda x: x["item_id"]))
+
     seen = history.select("user_id", F.transform("history", lambda x: x["item_id"]).alias("seen"))
     none = F.array().cast(seen.schema["seen"].dataType)
-    rows = asked.join(drawn, "sample_id", "left").join(seen, "user_id", "left").select(
-        "sample_id", F.array_append(F.coalesce("seen", none), F.col("item_id")).alias("taken"),
-        F.coalesce(F.array_distinct(F.transform("drawn", lambda x: x["item_id"])), none).alias("drawn"),
+    # Most samples have their items after twice as many points; only the others go on.
+    few = min(2 * n, attempts)
+    rows = asked.join(points(asked, 1, few), "sample_id", "left").join(seen, "user_id", "left").select(
+        "sample_id", F.array_append(F.coalesce("seen", none), F.col("item_id")).alias("taken"), F.coalesce("drawn", none).alias("drawn")
     )
-    rows = materialize(rows.select("sample_id", "taken", F.slice(F.array_except("drawn", "taken"), 1, n).alias("drawn")), "drawn")
+    rows = materialize(rows.select("sample_id", "taken", F.array_except("drawn", "taken").alias("drawn")), "first-points")
+    if few < attempts:
+        open_ = rows.where(F.size("drawn") < n)
+        more = open_.join(points(open_, few + 1, attempts).withColumnRenamed("drawn", "more"), "sample_id", "left")
+        more = more.select("sample_id", "taken", F.array_except(F.concat("drawn", F.coalesce("more", none)), "taken").alias("drawn"))
+        rows = materialize(rows.where(F.size("drawn") >= n).unionByName(more), "drawn")
+    rows = rows.withColumn("drawn", F.slice("drawn", 1, n))
     first = rows.select("sample_id", F.posexplode("drawn").alias("draw", "item_id")).select("sample_id", "item_id", (F.col("draw") + 1).alias("draw"))
     short = rows.where(F.size("drawn") < n)
     # Few samples meet the whole catalog, in parts; a part keeps `n` of a sample.
