@@ -58,6 +58,11 @@ def c5(spark, d):
     return log_op.features_at(fx.feature_log(spark, d), _at("2024-01-30 00:00:00")).select("entity_id", "feature_name", "version")
 
 
+@query("c5_features_at_history", "select entity_id, feature_name, version from feature_log where feature_ts <= timestamp '2024-01-20 00:00:00' qualify row_number() over (partition by entity_id, feature_name order by feature_ts desc, write_seq desc) = 1")
+def c5_history(spark, d):
+    return log_op.features_at(fx.feature_log(spark, d), _at("2024-01-20 00:00:00"), mode="history").select("entity_id", "feature_name", "version")
+
+
 @query(
     "c6_point_in_time_join",
     "select s.spine_id, s.entity_id, s.as_of, "

@@ -1,5 +1,7 @@
 """Queries of vector retrieval (F)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rounded
@@ -198,8 +200,6 @@ def f13(spark, d):
 
 @query("f14_publish_index")
 def f14(spark, d):
-    import uuid
-
     root = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}"
     index, _ = op.build_ivf(fx.items(spark, d), nlist=8)
     op.publish_index(index, root, 1)
@@ -212,6 +212,17 @@ g as (select config, count(*) as n_queries, median(latency_ms) as p50_ms, quanti
 h as (select *, recall_10 * qps / (p95_ms * size_mb) as efficiency from g)"""
 
 
+@query("f15_written_report", f"with {_REPORT} select config, n_queries, round(p95_ms, 6) as p95_ms, round(qps, 6) as qps, size_mb, config = (select arg_min(config, p95_ms) from h) as best_latency from h")
+def f15_written(spark, d):
+    """The report as it is read back from its JSON form."""
+    c = F.col("user_no") % 6
+    rows = fx.interactions(spark, d).select(c.alias("config"), F.col("value").alias("latency_ms"), (0.5 + c / 20.0).alias("recall_10"), (10.0 + c * 3).alias("size_mb"))
+    root = f"{scratch_dir(spark)}/report-{uuid.uuid4().hex}"
+    op.write_report(op.benchmark_report(rows), root)
+    written = spark.read.schema("config bigint, n_queries bigint, p95_ms double, qps double, size_mb double, best_latency boolean").json(f"{root}/json")
+    return rounded(written)
+
+
 @query(
     "f15_benchmark_report",
     f"""with {_REPORT} select config, n_queries, round(p50_ms, 6) as p50_ms, round(p95_ms, 6) as p95_ms, round(p99_ms, 6) as p99_ms, round(qps, 6) as qps, round(recall_10, 6) as recall_10, size_mb, round(efficiency, 6) as efficiency,
