@@ -52,16 +52,34 @@ def user_history(df: DataFrame, known_items: DataFrame | None = None) -> DataFra
 
 def history_sequence(samples: DataFrame, history: DataFrame, max_len: int = 50, *, causal: bool = True) -> DataFrame:
     """Samples with items (last `max_len` of the history without the sample's item, padded
-    with 0) and mask; `causal` leaves out what is not before the sample."""
-    rows = samples.join(history, "user_id", "left")
-    past = F.coalesce("history", F.array().cast(history.schema["history"].dataType))
-    past = F.filter(past, lambda x: (x["item_id"] != F.col("item_id")) & ((x["event_ts"] < F.col("event_ts")) if causal else F.lit(True)))
-    items = last_n(F.transform(past, lambda x: x["item_id"].cast("long")), max_len)
+    with 0) and mask; `causal` leaves out what is not before the sample.
+
+    Samples and histories are ordered together once; a sample looks at the newest rows before
+    it.  Only a sample whose own item fills these rows looks through the whole history.
+    """
+    look = 4 * max_len
+    kind = history.schema["history"].dataType.elementType["item_id"].dataType
+    row = samples.select(F.struct(*[F.col(f"`{c}`") for c in samples.columns]).alias("s"), F.col("user_id").alias("user"), F.col("event_ts").alias("t"))
+    if causal:
+        known = history.where("user_id is not null").select(F.col("user_id").alias("user"), F.explode("history").alias("h")).where("h.event_ts is not null and h.item_id is not null")
+        events = known.select(F.lit(None).cast(row.schema["s"].dataType).alias("s"), "user", F.col("h.event_ts").alias("t"), F.lit(1).alias("side"), F.col("h.item_id").alias("item"))
+        both = row.select("s", "user", "t", F.lit(0).alias("side"), F.lit(None).cast(kind).alias("item")).unionByName(events)
+        order = Window.partitionBy("user").orderBy("t", "side", "item")  # a sample comes before events of its time
+        near = both.withColumns({"near": F.collect_list("item").over(order.rowsBetween(-look, 0)), "n": F.count("item").over(order.rowsBetween(Window.unboundedPreceding, 0))}).where("side = 0")
+    else:
+        tail = history.select(F.col("user_id").alias("user"), last_n(F.transform("history", lambda x: x["item_id"]), look).alias("near"), F.size("history").alias("n"))
+        near = row.join(tail, "user", "left").withColumns({"near": F.coalesce("near", F.array().cast(f"array<{kind.simpleString()}>")), "n": F.coalesce("n", F.lit(0))})
+    others = F.filter("near", lambda x: x != F.col("s.item_id"))
+    near = materialize(near.select("s", others.alias("past"), (F.size(others) >= max_len) | (F.col("n") <= F.size("near")) | F.col("s.item_id").isNull()), "near-history").toDF("s", "past", "whole")
+    short = near.where("not whole").select("s").join(history.select(F.col("user_id").alias("user"), "history"), F.col("s.user_id") == F.col("user"))
+    past = F.filter("history", lambda x: (x["item_id"] != F.col("s.item_id")) & ((x["event_ts"] < F.col("s.event_ts")) if causal else F.lit(True)))
+    rows = near.where("whole").select("s", "past").unionByName(short.select("s", F.transform(past, lambda x: x["item_id"]).alias("past")))
+    items = last_n(F.transform("past", lambda x: x.cast("long")), max_len)
     rows = rows.withColumn("__items", items)
     size = F.size("__items")
     padded = F.concat("__items", F.array_repeat(F.lit(0).cast("long"), max_len - size))
     mask = F.concat(F.array_repeat(F.lit(1), size), F.array_repeat(F.lit(0), max_len - size))
-    return rows.select(*samples.columns, padded.alias("items"), mask.alias("mask"), size.alias("history_length"))
+    return rows.select(*[F.col("s")[c].alias(c) for c in samples.columns], padded.alias("items"), mask.alias("mask"), size.alias("history_length"))
 
 
 def item_counts(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from signalspark.operators import events, feature_log, features, metrics, rules, slabs
+from signalspark.operators import events, feature_log, features, metrics, rules, slabs, training
 from signalspark.operators.rules import Merge, Number, Quantile, Rule, increase, last, rate
 from signalspark.plans import QUERIES
 from signalspark.plans.alert_rules import RULES
@@ -174,3 +174,22 @@ def test_all_alert_rules(spark):
     assert len(RULES) == 35 and len({r.name for r in RULES}) == 35 and len({r.group for r in RULES}) == 10
     fired = {r.rule for r in QUERIES["i6_rule_expressions"](spark, "/root/testdata/sf0.01").select("rule").distinct().collect()}
     assert len(fired) > 20 and {"KafkaBrokerDown", "HighAPILatency", "CTRDropSudden", "NodeCPUHigh", "TrainingJobStalled"} <= fired
+
+
+@pytest.mark.parametrize("causal", [True, False])
+def test_history_of_a_hot_user(spark, causal):
+    """Also where a sample's own item fills the rows before it, and where times and items are null."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "b"]), rng.choice([1, 1, 1, 1, 1, 1, 1, 1, 2, 3, 4, 5]), at(rng.randint(0, 900))) for _ in range(1500)]
+    rows += [("b", 7, None), ("b", None, at(3)), (None, 1, at(4)), ("new", 2, at(5))]
+    df = spark.createDataFrame(rows[:-1], "user_id string, item_id long, event_ts timestamp_ntz").repartition(3)
+    samples = spark.createDataFrame(rows, "user_id string, item_id long, event_ts timestamp_ntz").repartition(3)
+    got = training.history_sequence(samples, training.user_history(df), 5, causal=causal).collect()
+    found = {}
+    for r in got:
+        found.setdefault((r.user_id, r.item_id, r.event_ts), []).append((r["items"], r.mask, r.history_length))
+    assert len(got) == len(rows)
+    order = lambda r: (r[2] is not None, r[2] or DAY0, r[1] is not None, r[1] or 0)
+    for user, item, t in rows:
+        own = [i for u, i, s in sorted(rows[:-1], key=order) if u == user and u is not None and i is not None and item is not None and i != item and (not causal or (s is not None and t is not None and s < t))][-5:]
+        assert found[user, item, t][0] == (own + [0] * (5 - len(own)), [1] * len(own) + [0] * (5 - len(own)), len(own))
