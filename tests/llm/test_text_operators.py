@@ -1,6 +1,7 @@
 """Corpus operators on texts against brute force, on a fixture of odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -409,3 +410,23 @@ def test_op8_columns(spark):
 def test_components_of_null_nodes(spark):
     edges = spark.createDataFrame([(1, 2), (None, 3), (4, None), (None, None)], "u long, v long")
     assert [tuple(r) for r in graph.connected_components(edges).collect()] == [(2, 1)]
+
+
+def test_toxicity_features_equal_those_of_whole_texts():
+    """Patterns looked at in words with signs alone find what they find in the whole text."""
+    rng = random.Random(4)
+    signs = ["a", "B", "éÉß", "Σς", "İı", "_", "0", "19", "@", "$!*", "?!", ".", "-", " ", "\t\n", "\u0301", "日", "you", "idi0t", "sssso", "AAA", "Tu", "blarg", "foolish", " 1d1ot "]
+    lexicon = {"blarg": 4.0, "foolis-": 2.0, "a": 1.0}
+    of, at = toxicity.TextFeatures(lexicon), toxicity.FEATURES.index
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 30)))
+        low, found = text.lower(), of(text)
+        tokens = toxicity._TOKEN.findall(low)
+        n, size = max(1, len(tokens)), max(1, len(text))
+        weights = [of.weight(t) for t in tokens]
+        want = {
+            "loud_rate": len(toxicity._LOUD.findall(text)) / n, "punctuation": len(toxicity._PUNCTUATION.findall(text)) / size, "mark_runs": len(toxicity._MARKS.findall(text)) / n,
+            "odd_rate": len(toxicity._ODD.findall(low)) / n, "stretched": len(toxicity._RUN.findall(low)) / n, "insult_rate": sum(t in toxicity.INSULTS for t in tokens) / n,
+            "you_rate": sum(t in toxicity.SECOND_PERSON for t in tokens) / n, "strong_rate": sum(w >= toxicity.STRONG for w in weights) / n, "top_weight": max((w for w in weights if w >= toxicity.WEAK), default=0.0),
+        }
+        assert {k: found[at(k)] for k in want} == want, text
