@@ -8,21 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.scalars import safe_ratio
 from .quantiles import exact_quantiles
 from .rules import compared
-from .slabs import carried, ranged, reset_steps, with_halo
+from .slabs import carried, micros, ranged, reset_steps, windowed
 
 #: Upper bounds of the latency histogram in seconds (fixed values).
 LATENCY_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
 SECRET_NAMES = "password|secret|token"
 
 
-def _trailing(fn: str, keys: str, ts: str, seconds: int, offset: int = 0) -> Column:
-    """`fn` over a key's rows of a slab in the last `seconds`, or those that ended `offset` seconds ago."""
-    end = f"INTERVAL {offset} SECONDS PRECEDING" if offset else "CURRENT ROW"
-    return F.expr(f"{fn} OVER (PARTITION BY {keys}, slab ORDER BY {ts} RANGE BETWEEN INTERVAL {seconds + offset} SECONDS PRECEDING AND {end})")
-
-
-def _own(rows: DataFrame) -> DataFrame:
-    return rows.where(~F.col("halo")).drop("slab", "halo")
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
 
 
 def counter_rate(df: DataFrame, seconds: int, *, keys: str = "metric", ts: str = "ts", value: str = "counter") -> DataFrame:
@@ -31,9 +25,8 @@ def counter_rate(df: DataFrame, seconds: int, *, keys: str = "metric", ts: str =
     Steps carry the last value over range partitions and windows are cut by time, so that
     few metrics are still many tasks.
     """
-    rows = with_halo(reset_steps(df, [keys], ts, value), ts, seconds * 1_000_000)
-    rows = rows.withColumn("increase", _trailing("sum(step)", keys, ts, seconds)).withColumn("rate", F.col("increase") / float(seconds))
-    return _own(rows).drop("step")
+    rows = windowed(reset_steps(df, [keys], ts, value), [keys], ts, seconds * 1_000_000, {"increase": (F.sum, F.col("step"), _plus)})
+    return rows.withColumn("rate", F.col("increase") / float(seconds)).drop("step")
 
 
 def latency_histogram(df: DataFrame, *, keys: tuple[str, ...] = ("endpoint",), value: str = "seconds", bounds: tuple[float, ...] = LATENCY_BOUNDS) -> DataFrame:
@@ -74,9 +67,12 @@ def recent_ctr(df: DataFrame, n: int = 10_000, *, ts: str = "ts", keys: tuple[st
 def baseline_drop(df: DataFrame, *, short: int, long: int, offset: int, factor: float, keys: str = "metric", ts: str = "ts", value: str = "x") -> DataFrame:
     """Add current (short window mean), baseline (long window mean that ended `offset`
     seconds ago) and dropped = current < factor * baseline."""
-    rows = with_halo(df, ts, max(short, long + offset) * 1_000_000)
-    rows = rows.withColumn("current", _trailing(f"avg({value})", keys, ts, short)).withColumn("baseline", _trailing(f"avg({value})", keys, ts, long, offset))
-    return _own(rows.withColumn("dropped", F.coalesce(F.col("current") < factor * F.col("baseline"), F.lit(False))))
+    x = F.col(value).cast("double")
+    sums = {"__sum": (F.sum, x, _plus), "__n": (F.count, x, _plus)}
+    for name, reach, ago in (("current", short, 0), ("baseline", long + offset, offset)):
+        df = windowed(df, [keys], ts, reach * 1_000_000, sums, offset=ago * 1_000_000)
+        df = df.withColumn(name, F.try_divide("__sum", "__n")).drop("__sum", "__n")
+    return df.withColumn("dropped", F.coalesce(F.col("current") < factor * F.col("baseline"), F.lit(False)))
 
 
 def label_means(metrics: DataFrame, by: str, *, window: str = "1 minute") -> DataFrame:
@@ -208,7 +204,8 @@ def relative_drop_triggers(df: DataFrame, *, limits: dict[str, float]) -> DataFr
 def rate_limit_audit(requests: DataFrame, *, limit: int = 1000, seconds: int = 60) -> DataFrame:
     """Add key (user, else address), requests in the trailing window, limited, retry_after seconds."""
     key = F.when(F.col("user_id").isNotNull(), F.concat(F.lit("user:"), "user_id")).otherwise(F.concat(F.lit("ip:"), F.col("ip")))
-    rows = with_halo(requests.withColumn("key", key), "ts", seconds * 1_000_000).withColumn("n", _trailing("count(1)", "key", "ts", seconds)).withColumn("__first", _trailing("min(ts)", "key", "ts", seconds))
+    at = micros("ts")
+    rows = windowed(requests.withColumn("key", key), ["key"], "ts", seconds * 1_000_000, {"n": (F.count, F.lit(1), _plus), "__first": (F.min, at, F.least)})
     rows = rows.withColumn("limited", F.col("n") > limit)
-    left = seconds - (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("__first").cast("timestamp"))) / F.lit(1e6)
-    return _own(rows.withColumn("retry_after", F.when(F.col("limited"), left)).drop("__first"))
+    left = seconds - (at - F.col("__first")) / F.lit(1e6)
+    return rows.withColumn("retry_after", F.when(F.col("limited"), left)).drop("__first")

@@ -1,7 +1,8 @@
 """Ordered scans of a key cut by time or position, so that a hot key is many tasks' work.
 
 Trailing windows need only the rows shortly before: rows are dealt into slabs of time, and
-those close enough to a slab's end are also copied, as its halo, into the next slab.  Scans
+those close enough to a slab's end are also copied, as its halo, into the next slab.  Windows
+that plain aggregates describe (`windowed`) are an end of one slab and a start of the next.  Scans
 without a bound take a summary of all earlier parts: rows are range-partitioned, each part
 scans its own rows, and one row for each part and key carries the rest.
 """
@@ -38,6 +39,48 @@ def with_halo(df: DataFrame, ts: str, reach: int | Column, *, windows: int = SLA
     return rows.withColumn("halo", F.coalesce(F.col("slab") != own, F.lit(False)))
 
 
+def windowed(df: DataFrame, keys: list[str], ts: str, reach: int, values: dict[str, tuple[Callable[[Column], Column], Column, Callable[[Column, Column], Column]]], *, offset: int = 0) -> DataFrame:
+    """Add for each name of `values` an aggregate over a key's rows from `reach` to `offset`
+    microseconds ago, peers included: (fn, value, merge), where merge puts together the
+    aggregates of two sets of rows, neither null.  Of no rows it is null.
+
+    Slabs are as long as the window, which is so the end of one slab and the start of the
+    next: two running aggregates, each row looked at once, nothing subtracted.  Rows of a
+    null time are each other's window.
+    """
+    length = F.lit(reach - offset)
+    names, own = list(values), F.col("__row.__at")
+    start = Window.unboundedPreceding, Window.currentRow
+    row = df.select(F.struct(*df.columns, micros(ts).alias("__at"), *[x.alias(f"__x{i}") for i, (_, x, _) in enumerate(values.values())]).alias("__row"))
+
+    def running(rows: DataFrame, ago: int, backwards: bool, kept: list[str]) -> DataFrame:
+        """`rows` with the aggregates from `ago` on to the end (or from the start) of the slab there."""
+        at = F.struct(own.alias("at"), F.lit(False).alias("asks"))
+        there = F.struct((own - F.lit(ago)).alias("at"), F.lit(True).alias("asks"))
+        if ago:  # a row stands at its own time as a value, and at the other one as a question
+            rows = rows.select(*kept, "__row", F.explode(F.array(at, there)).alias("__p"))
+            value = lambda i: F.when(~F.col("__p.asks"), F.col(f"__row.__x{i}"))
+        else:
+            rows = rows.select(*kept, "__row", at.alias("__p"))
+            value = lambda i: F.col(f"__row.__x{i}")
+        rows = rows.select(
+            *[F.when(F.col("__p.asks") | F.lit(not ago), F.col(c)).alias(c) for c in (*kept, "__row")], F.col("__p.asks").alias("__asks"), F.col("__p.at").alias("__t"),
+            *[F.col(f"__row.`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], F.floor(F.col("__p.at") / length).cast("long").alias("slab"), *[value(i).alias(f"__v{i}") for i in range(len(names))],
+        )
+        order = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))], "slab").orderBy(F.desc("__t") if backwards else F.asc("__t")).rangeBetween(*start)
+        side = "end" if backwards else "start"
+        rows = rows.select(*kept, "__row", "__asks", *[fn(F.col(f"__v{i}")).over(order).alias(f"__{side}{i}") for i, (fn, _, _) in enumerate(values.values())])
+        return (rows.where("__asks") if ago else rows).drop("__asks")
+
+    ends = running(row, reach, True, [])
+    both = running(ends, offset, False, [f"__end{i}" for i in range(len(names))])
+    merged = []
+    for i, (name, (_, _, merge)) in enumerate(values.items()):
+        a, b = F.col(f"__end{i}"), F.col(f"__start{i}")
+        merged.append(F.when(own.isNull() | b.isNull(), a).when(a.isNull(), b).otherwise(merge(a, b)).alias(name))
+    return both.select(*[F.col(f"__row.`{c}`").alias(c) for c in df.columns], *merged)
+
+
 def ranged(df: DataFrame, *order: str) -> DataFrame:
     """`df` with __part, range-partitioned by `order` and written once (bounds are sampled)."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

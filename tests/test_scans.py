@@ -193,3 +193,31 @@ def test_history_of_a_hot_user(spark, causal):
     for user, item, t in rows:
         own = [i for u, i, s in sorted(rows[:-1], key=order) if u == user and u is not None and i is not None and item is not None and i != item and (not causal or (s is not None and t is not None and s < t))][-5:]
         assert found[user, item, t][0] == (own + [0] * (5 - len(own)), [1] * len(own) + [0] * (5 - len(own)), len(own))
+
+
+def test_metric_windows_take_no_sliding_frame(spark):
+    """Spark's sliding range frames start anew at each row, which is quadratic in a window's rows."""
+    for name in ("i1_counter_rate", "i5_baseline_drop", "i14_rate_limit_audit"):
+        plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"RangeFrame, (?!unboundedpreceding\$\(\))", plan), name
+
+
+def test_windows_of_two_slabs(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.choice(["a", "b", None]), at(rng.randint(-200, 900)), rng.choice([None, rng.gauss(0, 9)])) for k in range(3000)] + [(3000, "a", None, 1.0), (3001, "a", None, 5.0), (3002, "c", at(7), math.inf), (3003, "c", at(60), 2.0), (3004, "c", at(68), 3.0)]
+    df = spark.createDataFrame(rows, "event_id long, metric string, ts timestamp_ntz, x double").repartition(5)
+    got = {r.event_id: r for r in metrics.baseline_drop(df, short=60, long=100, offset=45, factor=0.8).collect()}
+    assert len(got) == len(rows)
+
+    def mean(metric, t, reach, offset):
+        end = lambda s: t - dt.timedelta(seconds=s)
+        near = [x for _, m, u, x in rows if m == metric and x is not None and ((t is None and u is None) or (t is not None and u is not None and end(reach) <= u <= end(offset)))]
+        return sum(near) / len(near) if near else None
+
+    for i, m, t, _ in rng.sample(rows, 300) + rows[-5:]:
+        for found, expected in ((got[i].current, mean(m, t, 60, 0)), (got[i].baseline, mean(m, t, 145, 45))):
+            assert found is expected is None or math.isclose(found, expected, abs_tol=1e-9), i
+    asked = df.select("event_id", "ts", F.col("metric").alias("user_id"), F.lit("1.1.1.1").alias("ip"))
+    for r in metrics.rate_limit_audit(asked, limit=3, seconds=60).where("event_id % 10 = 0 or ts is null").collect():
+        near = [u for _, m, u, _ in rows if m == r.user_id and ((r.ts is None and u is None) or (r.ts is not None and u is not None and r.ts - dt.timedelta(seconds=60) <= u <= r.ts))]
+        assert r.n == len(near) and (r.retry_after is None or math.isclose(r.retry_after, 60 - (r.ts - min(near)).total_seconds()))
