@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalspark.operators import quantiles, sync, vectors
+from signalspark.operators import quantiles, recommend, sync, vectors
 from signalspark.plans import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -93,3 +93,19 @@ def test_report_is_written_twice(spark, tmp_path):
     vectors.write_report(report, str(tmp_path))
     a, b = (sorted(map(str, df.select("config", F.col("p50_ms").cast("double"), F.col("best_size").cast("boolean")).collect())) for df in (spark.read.json(str(tmp_path / "json")), spark.read.option("header", True).csv(str(tmp_path / "csv"))))
     assert a == b and len(a) == 2 and np.isclose(report.where("config = 'a'").first().p50_ms, 49.5)
+
+
+def test_filtered_pairs_are_not_shuffled(spark):
+    """One join, in parts of a category or brand; requests bring their filters along."""
+    items = [(f"i{k}", f"c{k % 3}", float(k), f"b{k % 4}", k % 5 != 0) for k in range(300)]
+    catalog = spark.createDataFrame(items, "item_id string, item_category string, price double, brand string, in_stock boolean")
+    asked = [("a", ["c0", "c0", None], None, None, None, True), ("b", None, ["b1", "b2"], None, 50.0, None), ("c", None, None, 10.0, 90.0, False), ("d", None, None, 290.0, None, None), ("e", ["c1"], ["b1"], 5.0, 200.0, None), ("f", None, None, 9.0, 3.0, None)]
+    requests = spark.createDataFrame(asked, "request_id string, categories array<string>, brands array<string>, price_min double, price_max double, in_stock boolean")
+    out = recommend.filter_catalog(requests, catalog)
+    expected = [
+        (r, i) for r, cs, bs, lo, hi, stock in asked for i, c, p, b, s in items
+        if (cs is None or c in cs) and (bs is None or b in bs) and (lo is None or p >= lo) and (hi is None or p <= hi) and (not stock or s)
+    ]
+    assert sorted((r.request_id, r.item_id) for r in out.collect()) == sorted(expected)
+    plan = recommend.filter_catalog(requests.drop("categories", "price_min", "in_stock"), catalog)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join[^\n]*request_id", plan) and "__part" in plan
