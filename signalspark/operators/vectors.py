@@ -263,11 +263,12 @@ def index_stats(items: DataFrame, kind: str, *, m: int = 64, nbits: int = 8) ->
 
 
 def pending_operations(ops: DataFrame, *, cap: int = 10_000, batch: int = 100) -> DataFrame:
-    """The newest operation per item, the newest `cap` of them, in batches of `batch`."""
-    newest = Window.partitionBy("item_id").orderBy(F.desc("seq"))
-    kept = ops.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n").orderBy(F.desc("seq")).limit(cap)
+    """The newest operation per item, the newest `cap` of them, in batches of `batch`; of equal
+    seq the smaller item_id is newer, of one item the smaller op."""
+    newest = Window.partitionBy("item_id").orderBy(F.desc("seq"), "op")
+    kept = ops.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n").orderBy(F.desc("seq"), "item_id").limit(cap)
     # The queue is bounded by `cap`, and so one task may number it.
-    return kept.withColumn("batch_id", F.floor((F.row_number().over(Window.orderBy("seq")) - 1) / batch).cast("int"))
+    return kept.withColumn("batch_id", F.floor((F.row_number().over(Window.orderBy("seq", F.desc("item_id"))) - 1) / batch).cast("int"))
 
 
 def apply_index_ops(items: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:

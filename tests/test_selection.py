@@ -109,3 +109,14 @@ def test_filtered_pairs_are_not_shuffled(spark):
     assert sorted((r.request_id, r.item_id) for r in out.collect()) == sorted(expected)
     plan = recommend.filter_catalog(requests.drop("categories", "price_min", "in_stock"), catalog)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Join[^\n]*request_id", plan) and "__part" in plan
+
+
+def test_pending_operations_of_one_seq(spark):
+    """Two operations may bear one seq: the order of items decides, wherever the rows stand."""
+    rows = [(k // 2, "add" if k % 2 else "remove", k) for k in range(400)]
+    found = []
+    for parts in (1, 7):
+        ops = spark.createDataFrame(sorted(rows, key=lambda r: r[2] * 37 % 401 * (parts - 4)), "seq long, op string, item_id long").repartition(parts)
+        found.append({(r.item_id, r.batch_id) for r in vectors.pending_operations(ops, cap=301, batch=25).collect()})
+    kept = sorted(rows, key=lambda r: (-r[0], r[2]))[:301]
+    assert found[0] == found[1] == {(r[2], k // 25) for k, r in enumerate(reversed(kept))}
