@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -26,6 +26,8 @@ SIZE_FACTORS = {"flat": 1.0, "ivf": 1.0, "hnsw": 1.5}
 MAX_TRAINING = 100_000
 #: Queries of a block and items of a part that meet in one group.
 BLOCK_QUERIES, PART_ITEMS = 1024, 4096
+#: Items of a group that stand on one row.
+CHUNK_ITEMS = 512
 #: A cell may hold so many times the mean of a cell before it is split.
 CELL_SIZE = 4
 #: Rounds in which large cells are split.
@@ -62,35 +64,44 @@ def meet(items: DataFrame, asked: DataFrame, key: str, *, least: int = 1) -> Dat
     return left.join(packed, ["__block", "__part"]).select(*items.columns, F.explode("__asked").alias("a"))
 
 
-def _best_of_blocks(items: DataFrame, asked: DataFrame, scores: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int) -> DataFrame:
-    """The `k` best items (item_id, x) of each query (query_id, q): every group of a block and a
-    part scores its pairs with numpy, and only its `k` best of a query leave it."""
-    left, right = _dealt(items, asked, "query_id")
-    kinds = items.schema["item_id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
+def _matrix(table: pa.Table, column: str) -> np.ndarray:
+    """A column of (nested) lists of one length as a row each."""
+    values = table.column(column).combine_chunks()
+    while pa.types.is_list(values.type):
+        values = values.flatten()
+    return values.to_numpy(zero_copy_only=False).reshape(len(table), -1)
+
 
-    def matrix(table: pa.Table, column: str) -> np.ndarray:
-        values = table.column(column).combine_chunks()
-        while pa.types.is_list(values.type):
-            values = values.flatten()
-        return values.to_numpy(zero_copy_only=False).reshape(len(table), -1)
+def _best_of_groups(left: DataFrame, right: DataFrame, keys: list[str], scores: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int) -> DataFrame:
+    """The `k` best items (item_id, x) of each query (query_id, q) among those that share a group
+    of `keys`: every group scores its pairs with numpy, and only its `k` best of a query leave it."""
+    kinds = left.schema["item_id"].dataType.simpleString(), right.schema["query_id"].dataType.simpleString()
 
     def best(own: pa.Table, block: pa.Table) -> pa.Table:
         own = own.take(pc.sort_indices(own, sort_keys=[("item_id", "ascending")]))  # ties to the smaller id
         rows, places, values = [], [], []
         if len(own) and len(block):
-            found = scores(matrix(own, "x"), matrix(block, "q"))
-            for q in range(len(block)):
-                order = np.argsort(-found[q], kind="stable")[:k]
-                rows.append(np.full(len(order), q))
-                places.append(order)
-                values.append(found[q][order])
+            x, asked = _matrix(own, "x"), _matrix(block, "q")
+            for first in range(0, len(block), BLOCK_QUERIES):
+                found = scores(x, asked[first : first + BLOCK_QUERIES])
+                for q, row in enumerate(found):
+                    near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if k < len(row) else np.arange(len(row))
+                    order = near[np.argsort(-row[near], kind="stable")[:k]]
+                    rows.append(np.full(len(order), first + q))
+                    places.append(order)
+                    values.append(row[order])
         at = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, places, values)]
         return pa.table({"query_id": block.column("query_id").take(pa.array(at[0])), "item_id": own.column("item_id").take(pa.array(at[1])), "score": at[2].astype(np.float64)})
 
-    groups = left.groupBy("__block", "__part").cogroup(right.groupBy("__block", "__part"))
+    groups = left.groupBy(*keys).cogroup(right.groupBy(*keys))
     return _top(groups.applyInArrow(best, f"query_id {kinds[1]}, item_id {kinds[0]}, score double"), k)
 
 
+def _best_of_blocks(items: DataFrame, asked: DataFrame, scores: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int) -> DataFrame:
+    """The `k` best of all items (item_id, x) for each query (query_id, q), in blocks and parts."""
+    return _best_of_groups(*_dealt(items, asked, "query_id"), ["__block", "__part"], scores, k)
+
+
 def _products(items: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Inner products; each pair is summed in the same order wherever it stands, so that equal
     vectors have equal scores."""
@@ -117,14 +128,35 @@ def _centroid_rows(centres: list, first: int) -> list[tuple[int, list[float]]]:
     return [(first + i, [float(x) for x in c]) for i, c in enumerate(centres)]
 
 
+def _spread(items: DataFrame) -> DataFrame:
+    """Vectors over all tasks, as a file of some hundred thousand is read by one or two."""
+    return items.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "item_id")
+
+
+def _gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances, added from the first component to the last."""
+    gaps = np.zeros((len(x), len(centres)))
+    for d in range(x.shape[1]):
+        gaps += (x[:, d, None] - centres[None, :, d]) ** 2
+    return gaps
+
+
 def assign_cells(items: DataFrame, centroids: DataFrame) -> DataFrame:
     """item_id, embedding (normalized) and the cell of the nearest centroid, ties to the smaller
     cell.  Centroids (cell, centroid) are some thousands at most."""
-    cells = centroids.agg(F.array_sort(F.collect_list(F.struct("cell", "centroid"))).alias("cells"))
-    apart = lambda c: F.aggregate(F.zip_with("embedding", c["centroid"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
-    nearest = F.array_min(F.transform("cells", lambda c: F.struct(apart(c).alias("apart"), c["cell"].alias("cell"))))
-    known = l2_normalize(items).where(F.col("embedding").isNotNull())
-    return known.join(F.broadcast(cells)).select("item_id", "embedding", nearest["cell"].alias("cell"))
+    rows = F.array_sort(F.collect_list(F.struct("cell", "centroid")))
+    cells = centroids.agg(F.transform(rows, lambda c: c["cell"]).alias("cells"), F.transform(rows, lambda c: c["centroid"]).alias("centres"))
+    known = l2_normalize(_spread(items)).where(F.col("embedding").isNotNull()).select("item_id", "embedding").join(F.broadcast(cells)).where(F.size("cells") > 0)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                names, centres = np.asarray(batch.column("cells")[0].as_py()), np.asarray(batch.column("centres")[0].as_py())
+                found = names[_gaps(_matrix(pa.Table.from_batches([batch]), "embedding"), centres).argmin(1)]
+                yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("embedding"), pa.array(found, pa.int32())], ["item_id", "embedding", "cell"])
+
+    kind = items.schema["item_id"].dataType.simpleString()
+    return known.mapInArrow(nearest, f"item_id {kind}, embedding array<double>, cell int")
 
 
 def build_ivf(items: DataFrame, nlist: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -135,7 +167,7 @@ def build_ivf(items: DataFrame, nlist: int | None = None, seed: int = 42) -> tup
     by a k-means of its own, SPLITS times at most; all vectors of a cell may be one, so that
     the search deals large cells over several tasks.
     """
-    known = l2_normalize(items).where(F.col("embedding").isNotNull()).withColumn("features", array_to_vector("embedding"))
+    known = materialize(l2_normalize(_spread(items)).where(F.col("embedding").isNotNull()).select("item_id", "embedding", array_to_vector("embedding").alias("features")), "normalized")
     n = known.count()
     cells = nlist or max(1, min(1000, n // 10))
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(_sample(known, MAX_TRAINING, seed))
@@ -168,6 +200,7 @@ def ivf_search(index: DataFrame, centroids: DataFrame, queries: DataFrame, k: in
     about PART_ITEMS, which a probe meets one by one.
     """
     asked = l2_normalize(queries).where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").alias("q"))
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     apart = F.aggregate(F.zip_with("q", "centroid", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
     near = Window.partitionBy("query_id").orderBy("apart", "cell")
     sizes = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.ceil(F.col("n") / PART_ITEMS).cast("int").alias("parts"))
@@ -175,14 +208,17 @@ def ivf_search(index: DataFrame, centroids: DataFrame, queries: DataFrame, k: in
     every = centroids.agg(F.collect_list(F.struct("cell", "centroid")).alias("cells"))
     probes = asked.join(F.broadcast(every)).select("query_id", "q", F.explode("cells").alias("c")).select("query_id", "q", "c.*").withColumn("apart", apart)
     probes = probes.withColumn("n", F.row_number().over(near)).where(F.col("n") <= nprobe).join(F.broadcast(sizes), "cell")
-    probes = probes.select("query_id", "q", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    # A cell's queries are dealt into blocks like those of an exact search.
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+    probes = probes.select("query_id", "q", "cell", block, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     dealt = index.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int"))
-    return _top(dealt.join(probes, ["cell", "part"]).select("query_id", "item_id", dot("q", "embedding").alias("score")), k)
+    dealt = dealt.select("item_id", F.col("embedding").alias("x"), "cell", "part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return _best_of_groups(dealt, probes, ["cell", "part", "block"], _products, k)
 
 
 def train_pq(items: DataFrame, m: int = 8, nbits: int = 4, seed: int = 42) -> DataFrame:
     """Codebooks: (part, code, centre) by one k-means for each of `m` sub-vectors."""
-    known = materialize(_sample(l2_normalize(items).where(F.col("embedding").isNotNull()), MAX_TRAINING, seed).select("embedding"), "pq-training")
+    known = materialize(_sample(l2_normalize(_spread(items)).where(F.col("embedding").isNotNull()), MAX_TRAINING, seed).select("embedding"), "pq-training")
     first = known.select(F.size("embedding").alias("n")).first()
     if first is None:
         return items.sparkSession.createDataFrame([], "part int, code int, centre array<double>")
@@ -203,16 +239,23 @@ def _codebook(books: DataFrame) -> DataFrame:
 
 
 def encode_pq(items: DataFrame, books: DataFrame) -> DataFrame:
-    """item_id and its code in each part: the nearest centre."""
-    known = l2_normalize(items).where(F.col("embedding").isNotNull()).join(F.broadcast(_codebook(books)))
-    width = F.size("embedding") / F.size("book")
+    """item_id and its code in each part: the nearest centre, ties to the smaller code."""
+    known = l2_normalize(_spread(items)).where(F.col("embedding").isNotNull()).join(F.broadcast(_codebook(books))).select("item_id", "embedding", "book")
+    kind = items.schema["item_id"].dataType.simpleString()
 
-    def code(centres: Column, part: Column) -> Column:
-        own = F.slice("embedding", (part * width + 1).cast("int"), width.cast("int"))
-        gaps = F.transform(centres, lambda c: F.aggregate(F.zip_with(own, c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
-        return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("smallint")
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if not len(rows):
+                continue
+            x, book = _matrix(rows, "embedding"), batch.column("book")[0].as_py()
+            codes, width = np.empty((len(rows), len(book)), np.int16), x.shape[1] // len(book)
+            for part, centres in enumerate(book):
+                codes[:, part] = _gaps(x[:, part * width : (part + 1) * width], np.asarray(centres)).argmin(1)
+            offsets = pa.array(np.arange(len(rows) + 1) * len(book), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.ListArray.from_arrays(offsets, pa.array(codes.ravel()))], ["item_id", "codes"])
 
-    return known.select("item_id", F.transform("book", code).alias("codes"))
+    return known.mapInArrow(coded, f"item_id {kind}, codes array<smallint>")
 
 
 def pq_search(codes: DataFrame, books: DataFrame, queries: DataFrame, n: int = 100) -> DataFrame:
@@ -240,6 +283,23 @@ def rerank(cands: DataFrame, items: DataFrame, queries: DataFrame, k: int) -> Da
     return _top(rows.select("query_id", "item_id", dot("q", "embedding").alias("score")), k)
 
 
+def rerank_groups(items: DataFrame, queries: DataFrame, group: str, k: int) -> DataFrame:
+    """The best `k` by exact cosine where a query's candidates are all items of its `group`.
+
+    Candidates are no rows: items of a group are packed CHUNK_ITEMS to a row, dealt into
+    chunks by their id, and a query keeps the `k` best of each chunk.
+    """
+    sizes = items.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / CHUNK_ITEMS).cast("int").alias("__chunks"))
+    known = l2_normalize(items).where(F.col("embedding").isNotNull()).join(sizes, group).withColumn("__chunk", F.pmod(F.xxhash64("item_id"), F.col("__chunks")).cast("int"))
+    packed = known.groupBy(group, "__chunk").agg(F.collect_list(F.struct("item_id", "embedding")).alias("__items"))
+    asked = l2_normalize(queries).where(F.col("embedding").isNotNull()).join(sizes, group).select(group, "query_id", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)).alias("__chunk"))
+    scored = F.transform("__items", lambda x: F.struct((-dot("q", x["embedding"])).alias("less"), x["item_id"].alias("item_id")))
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked, packed = (x.repartition(tasks, group, "__chunk") for x in (asked, packed))  # pairs are the work, and rows few
+    best = asked.join(packed.hint("shuffle_hash"), [group, "__chunk"]).select("query_id", F.explode(F.slice(F.array_sort(scored), 1, k)).alias("b"))
+    return _top(best.select("query_id", F.col("b.item_id").alias("item_id"), (-F.col("b.less")).alias("score")), k)
+
+
 def recall_at_k(truth: DataFrame, found: DataFrame, ks: tuple[int, ...] = (1, 5, 10, 50, 100)) -> DataFrame:
     """k and the mean over queries of the share of the true `k` best that were found."""
     both = truth.select("query_id", "item_id", F.col("rank").alias("true_rank")).join(found.select("query_id", "item_id", "rank"), ["query_id", "item_id"], "left")

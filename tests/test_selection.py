@@ -120,3 +120,23 @@ def test_pending_operations_of_one_seq(spark):
         found.append({(r.item_id, r.batch_id) for r in vectors.pending_operations(ops, cap=301, batch=25).collect()})
     kept = sorted(rows, key=lambda r: (-r[0], r[2]))[:301]
     assert found[0] == found[1] == {(r[2], k // 25) for k, r in enumerate(reversed(kept))}
+
+
+def test_a_length_is_worked_out_once(spark):
+    from signalspark.functions.vectors import unit
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>").select(unit(F.col("v")).alias("u"))
+    assert [r.u for r in df.collect()] == [[0.6, 0.8], None, None]
+    assert df._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+
+
+def test_candidates_of_a_group_are_no_rows(spark):
+    rng = random.Random(3)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(4)] if k % 97 else [0.0] * 4, k % 3 if k % 50 else None) for k in range(1500)]
+    items = spark.createDataFrame(rows, "item_id long, embedding array<double>, label int")
+    asked = items.where("item_id % 31 = 0").withColumnRenamed("item_id", "query_id")
+    pairs = asked.select("query_id", "label").join(items.select("item_id", "label"), "label").select("query_id", "item_id")
+    got, want = (sorted((r.query_id, r.rank, r.item_id) for r in x.collect()) for x in (vectors.rerank_groups(items, asked, "label", 7), vectors.rerank(pairs, items.where("item_id % 97 <> 0"), asked.where("query_id % 97 <> 0"), 7)))
+    assert got == want and len(got) > 300
+    plan = QUERIES["f7_rerank"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and "__chunk" in plan
