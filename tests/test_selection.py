@@ -140,3 +140,11 @@ def test_candidates_of_a_group_are_no_rows(spark):
     assert got == want and len(got) > 300
     plan = QUERIES["f7_rerank"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" in plan and "__chunk" in plan
+
+
+def test_the_last_words_of_a_long_url_are_mined(spark):
+    from signalspark.llm import url_filters
+
+    rows = [("http://a.b/" + "/".join(f"w{k}x{i}" for i in range(90)) + ("/evil" if k % 2 else ""), bool(k % 2)) for k in range(60)]
+    found, counts = url_filters.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"))
+    assert counts["p:evil"] == 30 and ["p:evil"] in [r.tokens for r in found.collect()]
