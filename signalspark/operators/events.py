@@ -38,10 +38,16 @@ REQUIRED: dict[str, dict[str, tuple[str, ...] | None]] = {
 DEFAULTS = {"feature_update": {"update_type": "incremental"}, "recommendation_request": {"request_context.num_recommendations": 10}}
 
 
+def _parsed_once(df: DataFrame, name: str, parsed: Column) -> DataFrame:
+    """Add `parsed` as a row's own value: a plain column of from_json is written into each
+    expression that names one of its fields, and parses the text anew in each."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.explode(F.array(parsed)).alias(name))
+
+
 def decode_events(df: DataFrame, *, value_col: str = "msg_value", schema: str = EVENT_SCHEMA) -> DataFrame:
     """Add `event` (struct) and `decode_ok`; an undecodable value gives null fields."""
     parsed = F.from_json(value_col, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return df.withColumn("event", parsed).withColumn("decode_ok", F.col("event").isNotNull() & F.col("event._corrupt").isNull())
+    return _parsed_once(df, "event", parsed).withColumn("decode_ok", F.col("event").isNotNull() & F.col("event._corrupt").isNull())
 
 
 def decode_contracts(df: DataFrame, *, value_col: str = "msg_value", contract_col: str = "contract") -> DataFrame:
@@ -50,7 +56,7 @@ def decode_contracts(df: DataFrame, *, value_col: str = "msg_value", contract_co
     out, ok = df, F.lit(False)
     for name, schema in SCHEMAS.items():
         own = F.col(contract_col) == name
-        out = out.withColumn(name, F.from_json(F.when(own, F.col(value_col)), f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+        out = _parsed_once(out, name, F.from_json(F.when(own, F.col(value_col)), f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
         for field, value in DEFAULTS.get(name, {}).items():
             parent = F.col(f"{name}.{field}".rpartition(".")[0])
             filled = F.col(name).withField(field, F.coalesce(F.col(f"{name}.{field}"), F.lit(value)))

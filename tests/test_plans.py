@@ -47,3 +47,10 @@ def test_items_are_not_copied_for_few_queries(spark):
     left, right = vectors._dealt(items, items.limit(1000).select(F.col("item_id").alias("query_id")), "query_id")
     assert left.count() == 10_000 and right.count() == 3 * 1000
     assert left.groupBy("__part").count().agg(F.max("count")).first()[0] < 1.2 * vectors.PART_ITEMS
+
+
+@pytest.mark.parametrize("name, contracts", [("a2_decode_events", 1), ("a4_validate_contracts", 4), ("a5_dead_letters", 1)])
+def test_a_message_is_parsed_once(spark, name, contracts):
+    """Not once for each field that a reason names."""
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == contracts
