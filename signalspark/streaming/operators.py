@@ -7,7 +7,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -36,17 +36,19 @@ def stream_popularity(stream: DataFrame, by: str = "item_id") -> DataFrame:
 
 # -- sessions ------------------------------------------------------------------------------
 
-SESSION_STATE = "session_id string, session_no long, started timestamp, last timestamp, total long, own long, items long, categories long, timer long"
-SESSION_OUT = "user_id string, event_id long, session_no long, session_seconds double, total_events long, session_events long, unique_items long, unique_categories long, events_per_minute double"
+SESSION_STATE = "session_id string, session_no long, started long, last long, total long, own long, items long, categories long, timer long"
+SESSION_OUT = "user_id string, event_id long, session_no long, micros long, total_events long, session_events long, unique_items long, unique_categories long"
 
 
-def _times(value: Any) -> np.datetime64:
-    return np.datetime64(pd.Timestamp(value).tz_localize(None), "us")
+_session_row = Row(*[f.split()[0] for f in SESSION_OUT.split(", ")])
 
 
 class _Sessions(StatefulProcessor):
     """A user's state: one row of counters, and the items and categories of the session that
-    goes on, each under its own key, so that a batch touches only those it brings."""
+    goes on, each under its own key, so that a batch touches only those it brings.
+
+    Most users bring few rows: they are folded one by one, in microseconds since 1970, and each
+    call of the state, which is a message to the executor, is made only where it is needed."""
 
     def __init__(self, ttl_seconds: int | None):
         self.ttl = ttl_seconds
@@ -56,64 +58,52 @@ class _Sessions(StatefulProcessor):
         self.state = handle.getValueState("session", SESSION_STATE)
         self.seen = handle.getMapState("seen", "kind string, name string", "at long")
 
-    def _first_seen(self, kind: str, names: np.ndarray, session: np.ndarray, goes_on: bool) -> np.ndarray:
-        """Whether a row's name is new to its session."""
-        rows = pd.DataFrame({"session": session, "name": names})
-        new = (~rows.duplicated() & rows["name"].notna()).to_numpy()
-        if goes_on:
-            for k in np.flatnonzero(new & (session == session[0])):
-                new[k] = not self.seen.containsKey((kind, names[k]))
-        return new
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        ts = batch["ts"].to_numpy().astype("datetime64[us]")
-        ids = batch["session_id"].astype(object).where(batch["session_id"].notna(), None).to_numpy()
-        known = self.state.get() if self.state.exists() else None
-        timer = known[8] if known else 0  # it is replaced, also that of a user who is new again
-        before = np.concatenate([[_times(known[3])] if known else ts[:1], ts[:-1]])
-        # An idle user is forgotten at the same event, wherever a micro-batch ends.
-        forgotten = ts - before > np.timedelta64(self.ttl, "s") if self.ttl else np.zeros(len(ts), bool)
-        forgotten[0] |= known is None
-        if forgotten[0]:
-            known = None
-        changed = forgotten | (ids != np.concatenate([[known[0] if known else None], ids[:-1]]))
-        place, goes_on = np.arange(len(ts)), not changed[0]
-        chain = np.maximum.accumulate(np.where(forgotten, place, -1))  # row at which the user is new; -1: before this batch
-        session = np.maximum.accumulate(np.where(changed, place, -1))
-        upto = np.cumsum(changed)
-        old = known or (None, 0, None, None, 0, 0, 0, 0)
-        number = np.where(chain < 0, old[1] + upto, upto - upto[chain] + 1)
-        total = np.where(chain < 0, old[4] + place + 1, place - chain + 1)
-        own = np.where(session < 0, old[5] + place + 1, place - session + 1)
-        started = np.where(session < 0, _times(old[2]) if known else ts[0], ts[session])
-        counts, fresh = [], []
-        for kind, column, held in (("item", "item_id", old[6]), ("category", "item_category", old[7])):
-            names = batch[column].astype(object).where(batch[column].notna(), None).to_numpy()
-            new = self._first_seen(kind, names, session, goes_on)
-            running = np.cumsum(new)
-            counts.append(np.where(session < 0, held + running, running - np.where(session > 0, running[session - 1], 0)))
-            fresh += [(kind, n) for n in names[new & (session == session[-1])]]
-        if session[-1] >= 0:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        # In order of time and id, nulls last.
+        batch = sorted((tuple(r[1:6]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0))
+        held = self.state.get()
+        session_id, number, started, last, total, own, items, categories, timer = held or (None, 0, None, None, 0, 0, 0, 0, 0)
+        fresh, old, known, goes_on = {}, set(), held is not None, held is not None
+
+        def new(kind: str, name: str | None) -> bool:
+            """Whether a name is new to the session."""
+            if name is None or (kind, name) in fresh or (kind, name) in old:
+                return False
+            if goes_on and self.seen.containsKey((kind, name)):
+                old.add((kind, name))
+                return False
+            fresh[kind, name] = True
+            return True
+
+        for at, event_id, visit, item, category in batch:
+            # An idle user is forgotten at the same event, wherever a micro-batch ends.
+            if not known or (self.ttl and at is not None and last is not None and at - last > self.ttl * 1_000_000):
+                number = total = 0
+            if not total or visit != session_id:
+                session_id, number, started, own, items, categories, goes_on = visit, number + 1, at, 0, 0, 0, False
+                fresh.clear()
+                old.clear()
+            known, last, total, own = True, at if at is not None else last, total + 1, own + 1
+            items, categories = items + new("item", item), categories + new("category", category)
+            micros = at - started if at is not None and started is not None else None
+            yield _session_row(key[0], event_id, number, micros, total, own, items, categories)
+        if held is not None and not goes_on:
             self.seen.clear()
         for name in fresh:
             self.seen.updateValue(name, (1,))
-        seconds = (ts - started) / np.timedelta64(1, "s")
-        self._keep(ids[-1], int(number[-1]), started[-1], ts[-1], int(total[-1]), int(own[-1]), int(counts[0][-1]), int(counts[1][-1]), timer)
-        columns = [key[0], batch["event_id"].to_numpy(), number, seconds, total, own, *counts, total / np.maximum(seconds / 60, 1)]
-        yield pd.DataFrame(dict(zip([f.split()[0] for f in SESSION_OUT.split(", ")], columns)))
+        self._keep(session_id, number, started, last, total, own, items, categories, timer)
 
-    def _keep(self, session_id: Any, number: int, started: np.datetime64, last: np.datetime64, *others: int) -> None:
+    def _keep(self, session_id: str | None, number: int, started: int | None, last: int | None, *others: int) -> None:
         *counters, timer = others
-        if self.ttl:
-            at = int(last.astype("datetime64[ms]").astype(np.int64)) + self.ttl * 1000 + 1
+        if self.ttl and last is not None:
+            at = last // 1000 + self.ttl * 1000 + 1
             if timer and timer != at:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(at)
             timer = at
-        self.state.update((session_id, number, pd.Timestamp(started).to_pydatetime(), pd.Timestamp(last).to_pydatetime(), *counters, timer))
+        self.state.update((session_id, number, started, last, *counters, timer))
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         self.state.clear()
         self.seen.clear()
         return iter(())
@@ -131,11 +121,15 @@ def stream_sessions(stream: DataFrame, *, ttl_seconds: int | None = SESSION_TTL,
     Without `ttl_seconds` states stay for good.
     """
     use_rocksdb(stream.sparkSession)
-    rows = stream.select("user_id", "ts", "event_id", "session_id", "item_id", "item_category")
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    rows = stream.select("user_id", at, "event_id", "session_id", "item_id", "item_category", *(["ts"] if ttl_seconds else []))
     if ttl_seconds:
         rows = rows.withWatermark("ts", late)
     mode = "EventTime" if ttl_seconds else "None"
-    return rows.groupBy("user_id").transformWithStateInPandas(_Sessions(ttl_seconds), outputStructType=SESSION_OUT, outputMode="Append", timeMode=mode)
+    out = rows.groupBy("user_id").transformWithState(_Sessions(ttl_seconds), outputStructType=SESSION_OUT, outputMode="Append", timeMode=mode)
+    seconds = F.col("micros") / F.lit(1_000_000)
+    out = out.withColumns({"session_seconds": seconds, "events_per_minute": F.col("total_events") / F.greatest(seconds / 60, F.lit(1.0))})
+    return out.select("user_id", "event_id", "session_no", "session_seconds", "total_events", "session_events", "unique_items", "unique_categories", "events_per_minute")
 
 
 # -- debounce ------------------------------------------------------------------------------

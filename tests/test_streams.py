@@ -158,3 +158,19 @@ def test_pipeline_keeps_every_failed_message(spark, tmp_path):
     pipeline.start(read_event_stream(spark, str(tmp_path / "in")), str(tmp_path / "dead"), str(tmp_path / "cp")).awaitTermination()
     assert seen == [("x", 1), ("y", "user_event")]
     assert sorted(r.offset for r in spark.read.parquet(str(tmp_path / "dead")).collect()) == [2, 3]
+
+
+def test_a_new_user_costs_few_calls_of_the_state():
+    """Each call is a message to the executor; a new user's map needs no clearing, and one call tells whether there is a state."""
+    calls = []
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *a: self if name.startswith("getV") or name.startswith("getM") else calls.append(name)
+
+    sessions = op._Sessions(None)
+    sessions.init(Handle())
+    rows = [("u", t, n, s, i, c) for n, (t, s, i, c) in enumerate([(5, "s", "i", "c"), (1, "r", "i", "c"), (None, "s", None, None), (7, "s", "j", "c")])]
+    got = {r.event_id: tuple(r)[2:] for r in sessions.handleInputRows(("u",), iter(rows), None)}
+    assert got == {1: (1, 0, 1, 1, 1, 1), 0: (2, 0, 2, 1, 1, 1), 3: (2, 2, 3, 2, 2, 1), 2: (2, None, 4, 3, 2, 1)}
+    assert calls == ["get", "updateValue", "updateValue", "updateValue", "update"]
