@@ -362,3 +362,15 @@ def test_every_query_meets_every_item(spark, monkeypatch):
     got = [(r.item_id, r.a.query_id) for r in vectors.meet(items, asked, "query_id", least=1).collect()]
     assert sorted(got) == [(i, q) for i in range(40) for q in range(25)]
     assert vectors.meet(items, asked.limit(0), "query_id").count() == 0
+
+
+def test_factors_read_the_interactions_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    rows = spark.sparkContext.parallelize([(k % 5, k % 7) for k in range(70)], 2).map(seen)
+    users, items = training.train_factors(spark.createDataFrame(rows, "user_id long, item_id long"), 4)
+    assert users.count() == 5 and items.count() == 7 and read.value == 70
