@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from .slabs import micros, reset_steps
+from .slabs import micros
 
 COMPARISONS = {
     ">": lambda a, b: a > b,
@@ -163,6 +163,24 @@ def _spans(leaves: Sequence[Series], step: int) -> list[tuple[str, int, int]]:
     return sorted({("last" if x.fn == "last" else "increase", x.seconds, x.offset) for x in leaves})
 
 
+def _grown(counters: DataFrame) -> DataFrame:
+    """metric, labels, tick, value: the growth of each counter over the points of a tick (`slab`).
+
+    A fall is a reset and counts from 0.  A tick's points are looked at together, and its first
+    one then meets the last of the tick before, so that all points are shuffled once.
+    """
+    series = ["metric", "labels"]
+    own = Window.partitionBy(*series, "slab").orderBy("ts", "value")
+    growth = lambda last: F.when(F.col("value") < last, F.col("value")).otherwise(F.col("value") - last)
+    steps = counters.withColumn("step", growth(F.lag("value").over(own)))
+    at = F.struct("ts", "value")
+    ticks = steps.groupBy(*series, "slab").agg(F.sum("step").alias("inside"), F.min(at)["value"].alias("value"), F.max(at)["value"].alias("newest"))
+    # One row for each series and tick that has points.
+    last = F.lag("newest").over(Window.partitionBy(*series).orderBy("slab"))
+    first = F.when(last.isNull(), F.lit(0.0)).otherwise(growth(last))
+    return ticks.select(*series, F.col("slab").alias("tick"), (F.coalesce("inside", F.lit(0.0)) + first).alias("value"))
+
+
 def series_values(points: DataFrame, leaves: Sequence[Series], *, step: int = 60) -> DataFrame:
     """(kind, seconds, offset, metric, labels, tick, value) of every series that the leaves
     read, at every tick whose window holds a point.  A written table.
@@ -176,10 +194,10 @@ def series_values(points: DataFrame, leaves: Sequence[Series], *, step: int = 60
     names = sorted(set().union(*kinds.values()))
     rows = points.where(F.col("metric").isin(names) & F.col("value").isNotNull() & F.col("ts").isNotNull())
     # A map is no key: its entries in order are.
-    rows = rows.select("ts", "metric", F.array_sort(F.map_entries(F.coalesce("labels", F.create_map().cast("map<string,string>")))).alias("labels"), F.col("value").cast("double").alias("value"))
+    rows = rows.select("ts", "metric", F.sort_array(F.map_entries(F.coalesce("labels", F.create_map().cast("map<string,string>")))).alias("labels"), F.col("value").cast("double").alias("value"))
     tick = F.ceil(micros("ts") / F.lit(step * 1_000_000)).cast("long").alias("tick")
-    counters = reset_steps(rows.where(F.col("metric").isin(sorted(kinds.get("increase", ())))), ["metric", "labels"], "ts", "value")
-    grown = counters.groupBy("metric", "labels", tick).agg(F.sum("step").alias("value")).withColumn("kind", F.lit("increase"))
+    counters = rows.where(F.col("metric").isin(sorted(kinds.get("increase", ())))).withColumn("slab", tick)
+    grown = _grown(counters).withColumn("kind", F.lit("increase"))
     gauges = rows.where(F.col("metric").isin(sorted(kinds.get("last", ()))))
     newest = gauges.groupBy("metric", "labels", tick).agg(F.max_by("value", F.struct("ts", "value")).alias("value")).withColumn("kind", F.lit("last"))
     held = grown.unionByName(newest)

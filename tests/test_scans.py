@@ -221,3 +221,21 @@ def test_windows_of_two_slabs(spark):
     for r in metrics.rate_limit_audit(asked, limit=3, seconds=60).where("event_id % 10 = 0 or ts is null").collect():
         near = [u for _, m, u, _ in rows if m == r.user_id and ((r.ts is None and u is None) or (r.ts is not None and u is not None and r.ts - dt.timedelta(seconds=60) <= u <= r.ts))]
         assert r.n == len(near) and (r.retry_after is None or math.isclose(r.retry_after, 60 - (r.ts - min(near)).total_seconds()))
+
+
+def test_points_of_rules_are_read_once_for_each_kind(spark):
+    """Counters across ticks, with resets, ties and gaps; their points are not read to sample a range besides."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    series = [(0, 5.0), (30, 7.0), (30, 7.0), (60, 9.0), (61, 2.0), (61, 4.0), (200, 1.0), (240, 6.0)]
+    rows = [(at(t), "c", {"b": "2", "a": "1"}, v) for t, v in series] + [(at(7), "c", None, 3.0), (at(8), "g", None, 4.0)]
+    points = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(seen), "ts timestamp_ntz, metric string, labels map<string,string>, value double")
+    got = rules.series_values(points, [increase("c", 60), last("g")])
+    assert read.value == 2 * len(rows)
+    start = min(r.tick for r in got.collect())
+    found = sorted((r.metric, len(r.labels), r.tick - start, r.value) for r in got.where("kind = 'increase'").collect())
+    assert found == [("c", 0, 1, 0.0), ("c", 2, 0, 0.0), ("c", 2, 1, 4.0), ("c", 2, 2, 4.0), ("c", 2, 4, 6.0)]
