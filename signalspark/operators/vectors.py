@@ -26,6 +26,8 @@ SIZE_FACTORS = {"flat": 1.0, "ivf": 1.0, "hnsw": 1.5}
 MAX_TRAINING = 100_000
 #: Queries of a block and items of a part that meet in one group.
 BLOCK_QUERIES, PART_ITEMS = 1024, 4096
+#: Items that a part may hold where fewer parts are tasks enough, and only the best of a part leave it.
+GROUP_ITEMS = 65_536
 #: Items of a group that stand on one row.
 CHUNK_ITEMS = 512
 #: A cell may hold so many times the mean of a cell before it is split.
@@ -44,13 +46,21 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "item_id", "score")
 
 
-def _dealt(items: DataFrame, asked: DataFrame, key: str, least: int = 1) -> tuple[DataFrame, DataFrame]:
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _dealt(items: DataFrame, asked: DataFrame, key: str, least: int = 1, most: int = 0) -> tuple[DataFrame, DataFrame]:
     """Both with __block and __part, so that every item meets every row of `asked` (a stated
     query set) in one group: parts of about PART_ITEMS items, blocks of about BLOCK_QUERIES.
+    With `most`, parts of up to so many items, if there are groups enough for all tasks.
 
     An item is copied once for each block, that is hardly ever; a query once for each part.
     """
-    blocks, parts = max(least, -(-asked.count() // BLOCK_QUERIES)), max(1, -(-items.count() // PART_ITEMS))
+    n = items.count()
+    blocks, parts = max(least, -(-asked.count() // BLOCK_QUERIES)), max(1, -(-n // PART_ITEMS))
+    if most:
+        parts = max(-(-n // most), min(parts, -(-_tasks(items) // blocks)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = items.select("*", F.pmod(F.xxhash64(items.columns[0]), F.lit(parts)).cast("int").alias("__part")).select("*", every(blocks).alias("__block"))
     right = asked.select("*", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("__block")).select("*", every(parts).alias("__part"))
@@ -72,34 +82,59 @@ def _matrix(table: pa.Table, column: str) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).reshape(len(table), -1)
 
 
-def _best_of_groups(left: DataFrame, right: DataFrame, keys: list[str], scores: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int) -> DataFrame:
+def _best_rows(x: np.ndarray, asked: np.ndarray, scores: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of `asked`, row of `x`, score) of the `k` best rows of `x`, ties to the earlier one,
+    NaN above all as in Spark's own order.
+
+    Items are scored PART_ITEMS at a time, and only what beats the `k` best so far is kept.
+    """
+    rows, places, values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    least, full = np.full(len(asked), -np.inf), np.zeros(len(asked), bool)
+    ranked = lambda v: np.where(np.isnan(v), np.inf, v)
+    for first in range(0, len(x), PART_ITEMS):
+        exact = scores(x[first : first + PART_ITEMS], asked)
+        found = ranked(exact)
+        better = found > least[:, None]
+        better[~full] = True
+        n = found.shape[1]
+        if k < n and np.count_nonzero(better) > 2 * k * len(asked):
+            better &= found >= np.partition(found, n - k, axis=1)[:, n - k, None]
+        at, near = np.nonzero(better)
+        rows, places, values = np.concatenate([rows, at]), np.concatenate([places, first + near]), np.concatenate([values, exact[at, near]])
+        order = np.lexsort((places, -ranked(values), rows))
+        begin = np.searchsorted(rows[order], np.arange(len(asked)))
+        order = order[np.arange(len(order)) - begin[rows[order]] < k]
+        rows, places, values = rows[order], places[order], values[order]
+        full = np.bincount(rows, minlength=len(asked)) == k
+        least[full] = ranked(values)[np.searchsorted(rows, np.flatnonzero(full)) + k - 1]
+    return rows, places, values
+
+
+def _best_of_groups(left: DataFrame, right: DataFrame, keys: list[str], scores: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int, prepared: Callable[[np.ndarray], np.ndarray] = lambda q: q) -> DataFrame:
     """The `k` best items (item_id, x) of each query (query_id, q) among those that share a group
-    of `keys`: every group scores its pairs with numpy, and only its `k` best of a query leave it."""
+    of `keys`: every group scores its pairs with numpy, and only its `k` best of a query leave it.
+    `scores` gets the queries as `prepared`, which is called once for a block of them."""
     kinds = left.schema["item_id"].dataType.simpleString(), right.schema["query_id"].dataType.simpleString()
 
     def best(own: pa.Table, block: pa.Table) -> pa.Table:
         own = own.take(pc.sort_indices(own, sort_keys=[("item_id", "ascending")]))  # ties to the smaller id
-        rows, places, values = [], [], []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(own) and len(block):
             x, asked = _matrix(own, "x"), _matrix(block, "q")
             for first in range(0, len(block), BLOCK_QUERIES):
-                found = scores(x, asked[first : first + BLOCK_QUERIES])
-                for q, row in enumerate(found):
-                    near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if k < len(row) else np.arange(len(row))
-                    order = near[np.argsort(-row[near], kind="stable")[:k]]
-                    rows.append(np.full(len(order), first + q))
-                    places.append(order)
-                    values.append(row[order])
-        at = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, places, values)]
-        return pa.table({"query_id": block.column("query_id").take(pa.array(at[0])), "item_id": own.column("item_id").take(pa.array(at[1])), "score": at[2].astype(np.float64)})
+                rows, places, values = _best_rows(x, prepared(asked[first : first + BLOCK_QUERIES]), scores, k)
+                found.append((first + rows, places, values))
+        rows, places, values = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"query_id": block.column("query_id").take(pa.array(rows)), "item_id": own.column("item_id").take(pa.array(places)), "score": values})
 
-    groups = left.groupBy(*keys).cogroup(right.groupBy(*keys))
-    return _top(groups.applyInArrow(best, f"query_id {kinds[1]}, item_id {kinds[0]}, score double"), k)
+    # A number is given, as pairs and not the shuffled rows are the work of a task.
+    left, right = (x.repartition(_tasks(left), *keys).groupBy(*keys) for x in (left, right))
+    return _top(left.cogroup(right).applyInArrow(best, f"query_id {kinds[1]}, item_id {kinds[0]}, score double"), k)
 
 
-def _best_of_blocks(items: DataFrame, asked: DataFrame, scores: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int) -> DataFrame:
+def _best_of_blocks(items: DataFrame, asked: DataFrame, scores: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int, prepared: Callable[[np.ndarray], np.ndarray] = lambda q: q) -> DataFrame:
     """The `k` best of all items (item_id, x) for each query (query_id, q), in blocks and parts."""
-    return _best_of_groups(*_dealt(items, asked, "query_id"), ["__block", "__part"], scores, k)
+    return _best_of_groups(*_dealt(items, asked, "query_id", most=GROUP_ITEMS), ["__block", "__part"], scores, k, prepared)
 
 
 def _products(items: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -259,20 +294,31 @@ def encode_pq(items: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def pq_search(codes: DataFrame, books: DataFrame, queries: DataFrame, n: int = 100) -> DataFrame:
-    """The `n` best items for each query by the sum of looked-up inner products."""
-    asked = l2_normalize(queries).where(F.col("embedding").isNotNull()).join(F.broadcast(_codebook(books)))
-    width = F.size("embedding") / F.size("book")
-    table = F.transform("book", lambda centres, part: F.transform(centres, lambda c: dot(F.slice("embedding", (part * width + 1).cast("int"), width.cast("int")), c)))
-    asked = asked.select("query_id", table.alias("table"))
-
-    def scores(own: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        by_part = tables.reshape(len(tables), own.shape[1], -1)
-        found = np.zeros((len(tables), len(own)))
+    """The `n` best items for each query by the sum of looked-up inner products.
+
+    Codes are written once, and queries move as vectors: the products of a query with all
+    centres, some hundred times as long, are worked out where it meets the items.
+    """
+    asked = l2_normalize(queries).where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").alias("q"))
+    book = [np.asarray(centres) for centres in _codebook(books).first()["book"] or []]  # 2^nbits vectors in all
+
+    def tables(q: np.ndarray) -> np.ndarray:
+        """query, part, code: inner products, added from the first component to the last."""
+        width = q.shape[1] // max(1, len(book))
+        found = np.zeros((len(q), len(book), max((len(c) for c in book), default=0)))
+        for part, centres in enumerate(book):
+            for d in range(width):
+                found[:, part, : len(centres)] += q[:, part * width + d, None] * centres[None, :, d]
+        return found
+
+    def scores(own: np.ndarray, by_part: np.ndarray) -> np.ndarray:
+        found = np.zeros((len(by_part), len(own)))
         for part in range(own.shape[1]):
-            found += by_part[:, part, own[:, part]]
+            found += np.take(by_part[:, part], own[:, part], axis=1)
         return found
 
-    return _best_of_blocks(codes.select("item_id", F.col("codes").alias("x")), asked.withColumnRenamed("table", "q"), scores, n)
+    known = materialize(codes.select("item_id", F.col("codes").alias("x")), "pq-codes")
+    return _best_of_blocks(known, asked, scores, n, tables)
 
 
 def rerank(cands: DataFrame, items: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import os
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from signalspark.operators import recommend
+from signalspark.operators import recommend, vectors
 
 
 def _bytes(folder):
@@ -36,3 +38,53 @@ def test_blocks_slices_and_chunks_lose_no_pair(spark, monkeypatch):
         if (cs is None or c in cs) and (bs is None or b in bs) and (lo is None or p is not None and p >= lo) and (hi is None or p is not None and p <= hi) and (not stock or s)
     ]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def _coded(spark, n=3000):
+    """Vectors of 8 components with many copies, and codebooks of 4 parts by 16 codes."""
+    rng = np.random.default_rng(4)
+    rows = rng.standard_normal((n // 3, 8))[rng.integers(0, n // 3, n)]
+    items = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "item_id long, embedding array<double>")
+    centres = [(p, c, [float(x) for x in rng.standard_normal(2) / 2]) for p in range(4) for c in range(16)]
+    books = spark.createDataFrame(centres, "part int, code int, centre array<double>")
+    return rows / np.linalg.norm(rows, axis=1)[:, None], items, centres, books
+
+
+def test_queries_move_without_their_products(spark, monkeypatch):
+    """Shuffled are vectors and codes; the products with all centres are worked out in the groups."""
+    monkeypatch.setattr(vectors, "PART_ITEMS", 100)
+    unit, items, centres, books = _coded(spark)
+    asked = items.where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id")
+    found = vectors.pq_search(vectors.encode_pq(items, books), books, asked, 20)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and "book" not in plan
+    book = np.array([c for *_, c in centres]).reshape(4, 16, 2)
+    codes = np.stack([((unit[:, None, 2 * p : 2 * p + 2] - book[p]) ** 2).sum(2).argmin(1) for p in range(4)], 1)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.item_id, r.score))
+    assert len(got) == 60
+    for q, rows in got.items():
+        score = sum((unit[q, 2 * p : 2 * p + 2] * book[p]).sum(1)[codes[:, p]] for p in range(4)).round(9)
+        want = sorted(range(len(unit)), key=lambda i: (-score[i], i))[:20]
+        assert [(i, round(s, 9)) for _, i, s in sorted(rows)] == [(i, score[i]) for i in want]
+
+
+def test_few_parts_where_tasks_are_enough(spark):
+    """Each part sends the best of each query: 4 parts for 4 tasks, not 49."""
+    items, asked = spark.range(200_000).withColumnRenamed("id", "item_id"), spark.range(10).withColumnRenamed("id", "query_id")
+    left, right = vectors._dealt(items, asked, "query_id", most=vectors.GROUP_ITEMS)
+    assert left.count() == 200_000 and right.count() == 4 * 10
+
+
+@pytest.mark.parametrize("k", [1, 7, 300])
+def test_best_rows_in_chunks(monkeypatch, k):
+    """As by sorting all: ties to the earlier row, NaN first."""
+    monkeypatch.setattr(vectors, "PART_ITEMS", 16)
+    rng = np.random.default_rng(k)
+    table = rng.integers(0, 40, (200, 5)).astype(float)
+    table[:, 1], table[:, 2], table[50:60, 3], table[:, 4] = np.arange(200), 1.0, np.nan, -np.inf
+    rows, places, values = vectors._best_rows(table, np.arange(5), lambda x, q: x[:, q].T, k)
+    for q in range(5):
+        want = sorted(range(200), key=lambda i: (not np.isnan(table[i, q]), -np.nan_to_num(table[i, q]), i))[:k]
+        assert list(places[rows == q]) == want and np.array_equal(values[rows == q], table[want, q], equal_nan=True)
