@@ -70,6 +70,17 @@ def test_queries_move_without_their_products(spark, monkeypatch):
         assert [(i, round(s, 9)) for _, i, s in sorted(rows)] == [(i, score[i]) for i in want]
 
 
+def test_reranked_candidates_carry_no_products(spark):
+    """Neither the search before the re-ranking nor the join with the vectors."""
+    unit, items, _, books = _coded(spark)
+    asked = items.where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id")
+    best = vectors.rerank(vectors.pq_search(vectors.encode_pq(items, books), books, asked, len(unit)), items, asked, 5)
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and "book" not in plan
+    for r in best.collect():  # all are candidates: the exact order
+        assert abs(np.sort(unit @ unit[r.query_id])[-r["rank"]] - r.score) < 1e-9
+
+
 def test_few_parts_where_tasks_are_enough(spark):
     """Each part sends the best of each query: 4 parts for 4 tasks, not 49."""
     items, asked = spark.range(200_000).withColumnRenamed("id", "item_id"), spark.range(10).withColumnRenamed("id", "query_id")
