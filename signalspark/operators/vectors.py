@@ -19,6 +19,7 @@ from ..functions.vectors import as_doubles, dot, unit
 from ..sources.commits import commit_text, names_in, read_text, remove
 from ..sources.scratch import materialize
 from .quantiles import exact_quantiles
+from .training import number_rows
 
 #: Factor of an index's size over the raw vectors, by kind (fixed values).
 SIZE_FACTORS = {"flat": 1.0, "ivf": 1.0, "hnsw": 1.5}
@@ -368,13 +369,15 @@ def index_stats(items: DataFrame, kind: str, *, m: int = 64, nbits: int = 8) ->
     return stats.select(F.lit(kind).alias("kind"), "n_items", "dim", size.alias("size_mb"))
 
 
-def pending_operations(ops: DataFrame, *, cap: int = 10_000, batch: int = 100) -> DataFrame:
-    """The newest operation per item, the newest `cap` of them, in batches of `batch`; of equal
-    seq the smaller item_id is newer, of one item the smaller op."""
+def pending_operations(ops: DataFrame, *, cap: int | None = None, batch: int = 100) -> DataFrame:
+    """The newest operation per item, from the oldest on in batches of `batch`; of equal seq the
+    smaller item_id is newer, of one item the smaller op.  All are kept, or the newest `cap`
+    where a caller bounds the queue."""
     newest = Window.partitionBy("item_id").orderBy(F.desc("seq"), "op")
-    kept = ops.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n").orderBy(F.desc("seq"), "item_id").limit(cap)
-    # The queue is bounded by `cap`, and so one task may number it.
-    return kept.withColumn("batch_id", F.floor((F.row_number().over(Window.orderBy("seq", F.desc("item_id"))) - 1) / batch).cast("int"))
+    kept = ops.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
+    if cap is not None:
+        kept = kept.orderBy(F.desc("seq"), "item_id").limit(cap)
+    return number_rows(kept, "seq", F.desc("item_id"), name="__n").withColumn("batch_id", F.floor(F.col("__n") / batch).cast("int")).drop("__n")
 
 
 def apply_index_ops(items: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:

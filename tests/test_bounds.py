@@ -99,3 +99,14 @@ def test_best_rows_in_chunks(monkeypatch, k):
     for q in range(5):
         want = sorted(range(200), key=lambda i: (not np.isnan(table[i, q]), -np.nan_to_num(table[i, q]), i))[:k]
         assert list(places[rows == q]) == want and np.array_equal(values[rows == q], table[want, q], equal_nan=True)
+
+
+def test_every_pending_operation_is_kept(spark):
+    """A queue has no bound but the caller's, and batches are numbered by many tasks."""
+    ops = spark.range(25_000).select(F.col("id").alias("seq"), F.lit("add").alias("op"), (F.col("id") * 7919 % 12_345).alias("item_id")).repartition(5)
+    pending = vectors.pending_operations(ops)
+    newest = {k * 7919 % 12_345: k for k in range(25_000)}
+    order = sorted(newest, key=lambda i: (newest[i], -i))
+    assert sorted((r.batch_id, r.seq, r.item_id) for r in pending.collect()) == [(k // 100, newest[i], i) for k, i in enumerate(order)]
+    assert pending.columns == ["seq", "op", "item_id", "batch_id"] and "__part" in pending._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.seq for r in vectors.pending_operations(ops, cap=11).collect()) == list(range(24_989, 25_000))
